@@ -33,25 +33,25 @@ def degrees(edges_: DataFrame) -> DataFrame:
     return ends.groupBy("person_id").agg(F.sum("t").alias("teachers"), F.sum("s").alias("students"))
 
 
-def pagerank(edges_: DataFrame, damping: float = 0.85, iterations: int = 60, freeze_every: int = 10) -> DataFrame:
+def pagerank(edges_: DataFrame, damping: float = 0.85, iterations: int = 60) -> DataFrame:
     """PageRank weighted by how often, sink mass shared evenly, a fixed number of rounds.
 
-    The edges with their shares are frozen once; the ranks are frozen every ``freeze_every`` rounds. Within a round a
-    teacher with very many students costs one combined row per task: sums are combined before the shuffle."""
+    The edges with their shares are frozen once and the ranks once a round (a round reads them twice, so an unfrozen
+    plan would double each time). A teacher with very many students costs one combined row per task: sums are combined
+    before the shuffle."""
     out = edges_.groupBy("src").agg(F.sum("weight").alias("_out"))
     shares = frozen(edges_.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")))
     nodes = frozen(shares.select(F.col("src").alias("person_id"), F.lit(0).alias("sink")).union(
         shares.select("dst", F.lit(1))).groupBy("person_id").agg(F.min("sink").alias("sink")))
     n = nodes.count()
     ranks = nodes.select("person_id", F.lit(1.0 / n).alias("score"), "sink")
-    for turn in range(1, iterations + 1):
+    for _ in range(iterations):
         flow = (shares.join(ranks.select(F.col("person_id").alias("src"), "score"), "src")
                 .groupBy(F.col("dst").alias("person_id")).agg(F.sum(F.col("score") * F.col("share")).alias("flow")))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink") == 1, F.col("score"))), F.lit(0.0)).alias("lost"))
         new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)
-        ranks = nodes.join(flow, "person_id", "left").crossJoin(lost).select("person_id", new.alias("score"), "sink")
-        if turn % freeze_every == 0 and turn < iterations:
-            ranks = frozen(ranks)
+        ranks = frozen(nodes.join(flow, "person_id", "left").crossJoin(lost)  # lost is one row
+                       .select("person_id", new.alias("score"), "sink"))
     return ranks.select("person_id", "score")
 
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from corpuslink.queries.registry import ORACLES, QUERIES
 
-MODULES = ("corpus", "graph")
+MODULES = ("corpus", "graph", "text", "search")
 
 for _name in MODULES:
     import_module(f"corpuslink.queries.{_name}")

@@ -350,7 +350,7 @@ def corpus_roles_present(spark, d):
                            pick("part", "p_partkey", F.col("p_size") > 25))
 
 
-@query("corpus_alias_owners", "links", """a AS (SELECT DISTINCT p_brand AS alias, l_suppkey AS person_id FROM lineitem
+@query("corpus_alias_owners", "links", """a AS (SELECT DISTINCT p_name AS alias, l_suppkey AS person_id FROM lineitem
     JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49),
     u AS (SELECT person_id, count(*) AS links FROM links WHERE person_id IS NOT NULL GROUP BY 1),
     h AS (SELECT alias, person_id, coalesce(links, 0) AS links, row_number() OVER (PARTITION BY alias
@@ -360,7 +360,7 @@ def corpus_roles_present(spark, d):
     AND links >= 2 * nxt))""")
 def corpus_alias_owners(spark, d):
     aliases = (X.table(spark, d, "lineitem").where("l_quantity >= 49")
-               .join(X.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
-               .select(F.col("p_brand").alias("alias"), F.col("l_suppkey").alias("person_id")).distinct())
+               .join(X.table(spark, d, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+               .select(F.col("p_name").alias("alias"), F.col("l_suppkey").alias("person_id")).distinct())
     uses = C.use_counts(X.person_uses(spark, d), X.persons(spark, d))
     return C.alias_owners(aliases, uses)

@@ -79,7 +79,8 @@ def graph_learning_trees(spark, d):
 
 
 NAMED = """named AS (SELECT s_suppkey AS person_id, CAST(1 + s_suppkey % 12 AS INTEGER) AS generation,
-    ['a' || s_suppkey % 13, 'b' || s_suppkey % 7, 'c' || s_suppkey % 13, 'b' || s_suppkey % 5] AS seg FROM supplier)"""
+    [CAST(s_suppkey % 10 AS VARCHAR), CAST(s_suppkey // 10 % 10 AS VARCHAR), CAST(s_suppkey * 7 % 10 AS VARCHAR),
+    CAST(s_suppkey % 4 AS VARCHAR)] AS seg FROM supplier)"""
 
 
 @query("graph_father_edges", "", NAMED + """, k AS (SELECT s.person_id AS son, f.person_id AS father, 3 AS depth,
@@ -91,11 +92,10 @@ NAMED = """named AS (SELECT s_suppkey AS person_id, CAST(1 + s_suppkey % 12 AS I
     FROM k) WHERE r = 1 GROUP BY son HAVING count(DISTINCT father) = 1""")
 def graph_father_edges(spark, d):
     key = F.col("s_suppkey")
-    part = lambda letter, m: F.concat(F.lit(letter), (key % m).cast("string"))
     # names made so that the second and third segment of some persons are the first two of others
     people = X.table(spark, d, "supplier").select(
         key.alias("person_id"), (1 + key % 12).cast("int").alias("generation"),
-        F.array(part("a", 13), part("b", 7), part("c", 13), part("b", 5)).alias("segments"))
+        F.array(*[c.cast("string") for c in (key % 10, F.floor(key / 10) % 10, key * 7 % 10, key % 4)]).alias("segments"))
     return G.father_edges(people)
 
 
