@@ -64,20 +64,28 @@ def _char_class(characters: str) -> str:
     return "[" + "".join(out) + "]"
 
 
-SEVERAL_CLASS = _char_class("".join(FOLD_SEVERAL))
+# The letters of running Latin text that become several; the rest are rare.
+LATIN_SEVERAL = {ch: folded for ch, folded in FOLD_SEVERAL.items() if ord(ch) < 0x0180 and ch.isalpha()}
+LATIN_CLASS = _char_class("".join(LATIN_SEVERAL))
+RARE_CLASS = _char_class("".join(ch for ch in FOLD_SEVERAL if ch not in LATIN_SEVERAL))
 
 
 def normalize(text: Column) -> Column:
     """The folded form two spellings of a word share (T1): marks deleted, letters folded, everything lower case.
 
-    Plain ASCII takes the short way; letters that become several (ß, ligatures) are spelt out only in texts that have
-    them."""
+    Plain ASCII takes the short way; letters that become several are spelt out only in texts that have them, those of
+    Latin script one by one, the others (ligatures, fractions) by table."""
     plain = F.octet_length(text) == F.length(text)
     short = F.lower(F.translate(text, "'`", ""))
-    table = F.create_map(*[F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair])
-    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")
-    return (F.when(plain, short).when(text.rlike(SEVERAL_CLASS), F.translate(spelt, FOLD_FROM, FOLD_TO))
-            .otherwise(F.translate(text, FOLD_FROM, FOLD_TO)))
+    latin = text
+    for ch, folded in LATIN_SEVERAL.items():
+        latin = F.replace(latin, F.lit(ch), F.lit(folded))
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{f}" for c, f in FOLD_SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
+        F.octet_length(c) > 1, F.coalesce(table[c], c)).otherwise(c)), "")
+    folded = lambda t: F.translate(t, FOLD_FROM, FOLD_TO)
+    return (F.when(plain, short).when(text.rlike(RARE_CLASS), folded(spelt)).when(text.rlike(LATIN_CLASS), folded(latin))
+            .otherwise(folded(text)))
 
 
 def normalize_sql(text: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslink.functions.names import closeness, loose, name_tokens, one_off, skeleton
 from corpuslink.functions.text import blank_split, normalize
+from corpuslink.session import frozen
 
 # Fewer exact matches than this bring the close passes; what each pass costs; the pages that are reranked.
 FUZZY_BELOW = 10
@@ -59,26 +60,27 @@ def search_persons(names: DataFrame, queries: DataFrame, uses: DataFrame | None
         raise ValueError(f"at most {QUERIES_AT_ONCE} queries at once: names are scanned per query")
     asked = queries.select("query_id", F.when(arabic(F.col("text")), name_tokens(F.col("text"))).otherwise(
         key(F.lower("text"))).alias("_q"), arabic(F.col("text")).alias("_arabic"))
+    asked = asked.withColumn("_q_loose", F.transform("_q", loose))
     people = names.select("person_id", "own", name_tokens(F.col("name")).alias("_words"), key(F.col("name")).alias("_bones"))
+    people = people.withColumn("_words_loose", F.transform("_words", loose)).withColumn("_bones_loose", F.transform("_bones", loose))
 
-    def run(wanted: DataFrame, same, cost: int, loosened: bool, number: int) -> DataFrame:
-        name = F.when(F.col("_arabic"), F.col("_words")).otherwise(F.col("_bones"))
-        query = F.col("_q")
-        if loosened:
-            name, query = F.transform(name, loose), F.transform(query, loose)
-        score = ordered_score(query, name, same)
-        pairs = people.crossJoin(wanted)  # the queries: a handful, as the caller bounds
-        scored = pairs.withColumn("_s", score).where(F.col("_s").isNotNull())
+    def run(wanted: DataFrame, same, cost: int, tail: str, number: int) -> DataFrame:
+        pairs = people.crossJoin(wanted).select(  # the queries: a handful, bounded above
+            "query_id", "person_id", "own", F.col("_q" + tail).alias("_query"),
+            F.when(F.col("_arabic"), F.col("_words" + tail)).otherwise(F.col("_bones" + tail)).alias("_name"))
+        scored = pairs.withColumn("_s", ordered_score(F.col("_query"), F.col("_name"), same)).where(F.col("_s").isNotNull())
         weight = F.when(F.col("own"), own_weight).otherwise(1)
         return scored.groupBy("query_id", "person_id").agg((F.max(F.col("_s") * weight) - cost).alias("score")).withColumn(
             "pass", F.lit(number))
 
-    out = run(asked, _same, 0, False, 0)
+    out = frozen(run(asked, _same, 0, "", 0))
     for number, (same, cost) in enumerate(((_loose_same, LOOSE_COST), (one_off, ONE_OFF_COST)), start=1):
         counts = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
         short = asked.join(counts, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < FUZZY_BELOW).drop("_n")
-        more = run(short, same, cost, True, number).join(out.select("query_id", "person_id"), ["query_id", "person_id"], "left_anti")
-        out = out.union(more)
+        if short.isEmpty():
+            break
+        more = run(short, same, cost, "_loose", number)
+        out = frozen(out.union(more.join(out.select("query_id", "person_id"), ["query_id", "person_id"], "left_anti")))
     if uses is None:
         return out
     return out.join(uses.select("person_id", "links"), "person_id", "left").na.fill(0, ["links"])

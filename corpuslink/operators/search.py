@@ -45,20 +45,22 @@ def normalized_texts(texts: DataFrame, known: DataFrame | None = None, key: str
     return new.withColumn("norm", normalize(F.col("text")))
 
 
+def grams(text: Column) -> Column:
+    """Every three letters in a row, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
+
+
 def trigrams(normed: DataFrame, key: str = "report_id") -> DataFrame:
     """The distinct (trigram, text) pairs of normalised texts (Q2)."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("norm") - 2), lambda i: F.substr(F.col("norm"), i, F.lit(3)))
-    long = normed.where(F.length("norm") >= 3)
-    return long.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    return normed.select(key, F.explode(F.array_distinct(grams(F.col("norm")))).alias("gram"))
 
 
 def trigram_candidates(terms: DataFrame, postings: DataFrame, key: str = "report_id") -> DataFrame:
     """(query_id, term, text) where the text holds every trigram of the term (Q2). ``terms(query_id, term)`` of three
     letters or more; the pairs still have to be verified."""
-    grams = terms.where(F.length("term") >= 3).select("query_id", "term", F.explode(F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substr(F.col("term"), i, F.lit(3))))).alias("gram"))
-    needed = grams.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_needed"))
-    found = grams.join(postings, "gram").groupBy("query_id", "term", key).agg(F.count(F.lit(1)).alias("_found"))
+    asked = terms.select("query_id", "term", F.explode(F.array_distinct(grams(F.col("term")))).alias("gram"))
+    needed = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_needed"))
+    found = asked.join(postings, "gram").groupBy("query_id", "term", key).agg(F.count(F.lit(1)).alias("_found"))
     return found.join(needed, ["query_id", "term"]).where(F.col("_found") == F.col("_needed")).select("query_id", "term", key)
 
 
@@ -266,27 +268,25 @@ def page(hits: DataFrame, order: DataFrame, offset: int, limit: int) -> DataFram
     return placed.orderBy(*columns).offset(offset).limit(limit).drop("place").crossJoin(total)  # total is one row
 
 
+def _places(norm: Column, pattern: str, length: int | None) -> Column:
+    """Where a pattern begins and ends, overlapping finds included: the text is cut before each find, in one pass."""
+    pieces = F.split(norm, f"(?={pattern})")
+    begins = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")))["starts"]
+    real = F.filter(begins, lambda i: (i > 0) | norm.rlike(f"^(?={pattern})"))
+    if length is not None:
+        return F.transform(real, lambda i: F.struct(i.alias("s"), (i + length).alias("e")))
+    size = lambda i: F.length(F.regexp_extract(F.substr(norm, i + 1), f"^({pattern})", 1))
+    return F.transform(real, lambda i: F.struct(i.alias("s"), (i + size(i)).alias("e")))
+
+
 def spans(norm: Column, terms: list[str], phrase: bool = False, whole_words: bool = False) -> Column:
     """The places of the terms in a normalised text, 0-based half-open, overlaps merged (Q13)."""
     found = []
-    if phrase or whole_words:
-        for term in terms:
-            body = (NOT_WORD + "+").join(_quoted(w) for w in term.split(" ")) if phrase else _quoted(term)
-            pattern = _whole(body) if whole_words else body
-            pieces = F.split(norm, pattern)
-            hits = F.regexp_extract_all(norm, F.lit(f"({pattern})"))
-            # the k-th hit starts after the first k pieces and k−1 hits
-            place = lambda k, pieces=pieces, hits=hits: (
-                F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, p: a + F.length(p))
-                + F.aggregate(F.slice(hits, 1, k - 1), F.lit(0), lambda a, h: a + F.length(h)))
-            numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))), lambda k, hits=hits: k <= F.size(hits))
-            found.append(F.transform(numbers, lambda k, place=place, hits=hits: F.struct(
-                place(k).alias("s"), (place(k) + F.length(F.element_at(hits, k))).alias("e"))))
-    else:
-        for term in terms:
-            starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(norm) - len(term), F.lit(0))),
-                              lambda i, term=term: F.substr(norm, i + 1, F.lit(len(term))) == term)
-            found.append(F.transform(starts, lambda i, term=term: F.struct(i.alias("s"), (i + len(term)).alias("e"))))
+    for term in terms:
+        body = (NOT_WORD + "+").join(_quoted(w) for w in term.split(" ")) if phrase else _quoted(term)
+        found.append(_places(norm, _whole(body) if whole_words else body, None if phrase else len(term)))
     empty = F.array().cast("array<struct<s:int,e:int>>")
     ordered = F.array_sort(reduce(lambda a, b: F.concat(a, b), found))
 

@@ -36,8 +36,9 @@ def search_new_texts(spark, d):
     return S.normalized_texts(texts, texts.where("language = 'en'")).select("report_id", F.length("norm").alias("letters"))
 
 
-@query("search_trigrams", "reports", NORM + """, g AS (SELECT DISTINCT report_id, substr(norm, i, 3) AS gram FROM n,
-    range(1, length(norm) - 1) t(i)) SELECT gram, count(*) AS texts FROM g GROUP BY 1""")
+@query("search_trigrams", "reports", NORM + """, c AS (SELECT report_id, string_split(norm, '') AS c FROM n
+    WHERE length(norm) >= 3), g AS (SELECT report_id, unnest(list_distinct([c[i] || c[i + 1] || c[i + 2] for i in
+    range(1, len(c) - 1)])) AS gram FROM c) SELECT gram, count(*) AS texts FROM g GROUP BY 1""")
 def search_trigrams(spark, d):
     return S.trigrams(normed(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
 
@@ -131,8 +132,9 @@ MANY_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, '{t}')" for q,
     b AS (SELECT level, query_id, term, word AS alt FROM (SELECT *, row_number() OVER (PARTITION BY level, query_id, term
       ORDER BY n DESC, word) AS k FROM c) WHERE k <= 30 UNION SELECT l, query_id, term, term FROM m, range(0, 3) t(l)
       WHERE NOT wild),
-    h AS (SELECT level, query_id, report_id FROM b JOIN n ON contains(norm, alt) GROUP BY ALL HAVING count(DISTINCT term) =
-      (SELECT count(*) FROM asked x WHERE x.query_id = b.query_id))
+    z AS (SELECT query_id, count(*) AS k FROM asked GROUP BY 1),
+    h AS (SELECT level, b.query_id, report_id FROM b JOIN z USING (query_id) JOIN n ON contains(norm, alt)
+      GROUP BY level, b.query_id, report_id, k HAVING count(DISTINCT term) = k)
     SELECT query_id, CAST(level AS INTEGER) AS level, report_id FROM h WHERE level = (SELECT min(level) FROM h y
       WHERE y.query_id = h.query_id)""")
 def search_ladder(spark, d):
@@ -213,14 +215,15 @@ def search_page(spark, d):
     return S.page(found, order, 50, 25).select("report_id", "collection", "total")
 
 
-@query("search_highlights", "reports", NORM + """, p AS (SELECT * FROM n WHERE contains(norm, 'einheit')),
-    s AS (SELECT report_id, i FROM p, range(1, length(norm) + 1) t(i) WHERE substr(norm, i, 7) = 'einheit')
-    SELECT report_id, count(*) AS marks, CAST(min(i) - 1 AS INTEGER) AS first_start FROM s JOIN p USING (report_id)
-    WHERE length(text) = length(norm) GROUP BY 1""")
+@query("search_highlights", "reports", NORM + """ SELECT report_id, CAST((length(norm) - length(replace(norm, 'tion', ''))) / 4
+    AS BIGINT) AS marks, CAST(strpos(norm, 'tion') - 1 AS INTEGER) AS first_start FROM n WHERE contains(norm, 'tion')
+    AND length(text) = length(norm)""")
 def search_highlights(spark, d):
-    found = normed(spark, d).where(S.matches([["einheit"]], "all", False))
-    marked = S.highlighted(found, ["einheit"]).where(F.length("text") == F.length("norm"))
-    return marked.select("report_id", F.size("spans").cast("long").alias("marks"),
+    found = normed(spark, d).where(S.matches([["tion"]], "all", False))
+    marked = S.highlighted(found, ["tion"]).where(F.length("text") == F.length("norm"))
+    # marks that touch are shown as one: their letters are counted
+    letters = F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
+    return marked.select("report_id", (letters / 4).cast("long").alias("marks"),
                          F.element_at("spans", 1)["start"].alias("first_start"))
 
 
@@ -236,12 +239,12 @@ def search_assembled(spark, d):
                        F.when(F.col("ratings").isNull(), 0).otherwise(F.size("ratings")).alias("ratings"))
 
 
-@query("search_spelling_report", "reports", f"""{NORM}, {VOCAB}, a AS (SELECT word FROM v WHERE regexp_full_match(word, 'gr.*')
+@query("search_spelling_report", "reports", f"""{NORM}, {VOCAB}, a AS (SELECT word FROM v WHERE regexp_full_match(word, 'sch.*')
     ORDER BY n DESC, word LIMIT 30) SELECT (SELECT min(word) FROM a) AS word, word AS spelling FROM a WHERE word IN (
     SELECT unnest(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+')) FROM n WHERE EXISTS (SELECT 1 FROM a x WHERE contains(norm, x.word)))""")
 def search_spelling_report(spark, d):
     texts = normed(spark, d)
-    found, terms = S.search(texts, S.vocabulary(texts), S.SearchParams("gr*"))
+    found, terms = S.search(texts, S.vocabulary(texts), S.SearchParams("sch*"))
     return S.spelling_report(found, terms)
 
 
@@ -268,7 +271,7 @@ def search_neighbours(spark, d):
     AS report_id FROM a JOIN reports_o r USING (collection) GROUP BY ALL""")
 def search_nearest(spark, d):
     reports = X.reports_o(spark, d)
-    asked = X.collections(spark, d).select("collection", F.explode(F.array(F.lit(777), F.lit(123456))).cast("long").alias("wanted"))
+    asked = X.collections(spark, d).select("collection", F.explode(F.array(F.lit(777).cast("long"), F.lit(123456).cast("long"))).alias("wanted"))
     return S.nearest(reports, asked)
 
 
@@ -341,7 +344,7 @@ def part_names(spark, d):
 
 
 @query("people_search", "", """q AS (SELECT * FROM (VALUES (1, 'red'), (2, 'small ring'), (3, 'hot gear')) t(query_id, text)),
-    n AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)
+    n AS (SELECT p_partkey, replace(p_name, 'rod', 'red') AS p_name, string_split(replace(p_name, 'rod', 'red'), ' ') AS w FROM part)
     SELECT query_id, p_partkey AS person_id, CAST(10 * (len(string_split(text, ' ')) + CASE WHEN starts_with(p_name,
     string_split(text, ' ')[1]) THEN 2 ELSE 0 END + CASE WHEN p_name = text THEN 100 ELSE 0 END) AS INTEGER) AS score, 0 AS pass
     FROM q, n WHERE list_has_all(w, string_split(text, ' ')) AND (len(string_split(text, ' ')) = 1 OR

@@ -121,7 +121,6 @@ rule("rules_rating_groups", "orders", "o_orderkey", RATINGS, "INTEGER", R.rating
 rule("rules_chain_only", "orders", "o_orderkey", [(v, "Isnaad" in v) for v, _ in RATINGS], "BOOLEAN", R.chain_only)
 rule("rules_attribution", "orders", "o_orderkey", [("Mawquf Sahih", "mawquf"), ("Hasan", None)], "VARCHAR", R.attribution)
 rule("rules_second_groups", "orders", "o_orderkey", SECOND, "INTEGER", R.second_group)
-rule("rules_death_years", "orders", "o_orderkey", YEARS, "INTEGER", lambda c: R.death_year(c, F.lit(2)))
 rule("rules_assessments", "orders", "o_orderkey", ASSESSED, "INTEGER", lambda c: R.assessment(c)["rank"])
 rule("rules_generation_words", "orders", "o_orderkey", [("من الثانية", 2), ("من الثانية عشرة", 12), ("من كبار العاشرة", 10)],
      "INTEGER", R.generation_number)
@@ -142,6 +141,12 @@ rule("text_number_keys", "orders", "o_orderkey", [("5:1740", 501740.0), ("12a",
 rule("text_number_texts", "orders", "o_orderkey", [("12.0", "12"), (" 7 ‏", "7"), ("402.2", "402.2")], "VARCHAR", T.number_text)
 
 
+@query("rules_death_years", "", cases_sql("o_orderkey", "orders", [r for _, r in YEARS], "INTEGER"))
+def rules_death_years(spark, d):
+    rows = cases(spark, d, "o_orderkey", "orders", [v for v, _ in YEARS]).withColumn("generation", F.lit(2))
+    return counted(R.with_death_year(rows, "value", "generation"), F.col("death_year"))
+
+
 @query("rules_generation_labels", "persons", """SELECT CASE WHEN generation = 1 THEN 'sahabi' WHEN generation <= 5 THEN 'tabi''i'
     WHEN generation = 6 THEN 'contemporary of junior tabi''in' WHEN generation <= 9 THEN 'tabi'' al-tabi''in' ELSE 'later'
     END AS label, count(*) AS persons FROM persons GROUP BY 1""")
@@ -151,8 +156,7 @@ def rules_generation_labels(spark, d):
 
 
 @query("names_closeness", "", """w AS (SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z]', '', 'g')) AS w FROM supplier)
-    SELECT s_suppkey AS person_id, round(1 - levenshtein('sopplier', translate(w, 'eoy', 'aui')) / 8.0, 6) AS alike FROM w"""
-       .replace("'sopplier'", "'supplair'"))
+    SELECT s_suppkey AS person_id, round(1 - levenshtein('suppliar', translate(w, 'eoy', 'aui')) / 8.0, 6) AS alike FROM w""")
 def names_closeness(spark, d):
     alike = N.closeness(F.lit("Supplyer"), F.col("s_name"))
     return X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.round(alike, 6).alias("alike"))
