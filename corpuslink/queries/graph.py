@@ -60,7 +60,7 @@ def graph_reports_of_persons(spark, d):
 
 
 @query("graph_learning_trees", "links", EDGES + """, p AS (SELECT * FROM edges WHERE src <> dst),
-    l0 AS (SELECT DISTINCT src AS root, src AS person_id FROM p WHERE src % 25 = 1),
+    l0 AS (SELECT DISTINCT src AS root, src AS person_id FROM p),
     c1 AS (SELECT root, src, dst, weight, row_number() OVER (PARTITION BY root, src ORDER BY weight DESC, dst) AS k
       FROM l0 JOIN p ON src = person_id WHERE dst <> root),
     l1 AS (SELECT root, src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY root, dst ORDER BY weight DESC,
@@ -74,7 +74,7 @@ def graph_reports_of_persons(spark, d):
     UNION ALL SELECT root, src, dst, 1, weight FROM l1 UNION ALL SELECT root, src, dst, 2, weight FROM l2""")
 def graph_learning_trees(spark, d):
     edges = G.edges(X.links(spark, d))
-    roots = edges.where("src <> dst and src % 25 = 1").select(F.col("src").alias("person_id")).distinct()
+    roots = edges.where("src <> dst").select(F.col("src").alias("person_id")).distinct()
     return G.learning_tree(edges, roots, depth=2, width=3)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the reliable checkpoint folder: lineage ends here and a lost executor costs
-    nothing. Used by iterative jobs and wherever a partition number must not change between two uses."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of ``df`` written to a table in the shared checkpoint folder and read back: lineage ends here, a lost
+    executor costs nothing, and each row is computed once. Used by iterative jobs, and wherever a partition number must
+    not change between two uses."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
