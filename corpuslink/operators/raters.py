@@ -7,9 +7,11 @@ number of units."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,24 +154,29 @@ def coincidences(patterns_: DataFrame, extra: list[str] | None = None) -> DataFr
     return both.groupBy(*(extra or []), F.col("x.grade").alias("i"), F.col("y.grade").alias("j")).agg(F.sum("_w").alias("w"))
 
 
-def alpha_of(coincidence: DataFrame, by: list[str]) -> DataFrame:
-    """Krippendorff's α with the ordinal metric from a coincidence table."""
-    cell = lambda i, j: F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col("w")).otherwise(0.0))
-    rows = coincidence.groupBy(*by).agg(*[cell(i, j).alias(f"_c{i}{j}") for i in range(K) for j in range(K)])
-    add = lambda terms: reduce(lambda a, b: a + b, terms)
-    rows = rows.select(*by, *[F.col(f"_c{i}{j}") for i in range(K) for j in range(K)],
-                       *[add([F.col(f"_c{i}{j}") for j in range(K)]).alias(f"_n{i}") for i in range(K)])
-    n = [F.col(f"_n{i}") for i in range(K)]
+def _alpha(table: np.ndarray) -> float | None:
+    """α with the ordinal metric from one K × K coincidence table."""
+    n = table.sum(axis=1)
+    total = n.sum()
+    if total <= 1:
+        return None
+    upto = np.concatenate([[0.0], np.cumsum(n)])
+    low, high = np.minimum.outer(range(K), range(K)), np.maximum.outer(range(K), range(K))
+    distance = (upto[high + 1] - upto[low] - np.add.outer(n, n) / 2) ** 2
+    np.fill_diagonal(distance, 0.0)
+    expected = (np.outer(n, n) * distance).sum() / (total - 1)
+    return float(1 - (table * distance).sum() / expected) if expected > 0 else None
+
 
-    def distance(c: int, k: int) -> Column:
-        low, high = min(c, k), max(c, k)
-        span = add(n[low:high + 1]) - (n[c] + n[k]) / 2
-        return span * span
+def alpha_of(coincidence: DataFrame, by: list[str]) -> DataFrame:
+    """Krippendorff's α from coincidence tables of K × K cells."""
+    def one(cells: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((K, K))
+        np.add.at(table, (cells["i"].to_numpy(int), cells["j"].to_numpy(int)), cells["w"].to_numpy(float))
+        return pd.DataFrame([[*cells[by].iloc[0], _alpha(table)]], columns=[*by, "alpha"])
 
-    cells = [(c, k) for c in range(K) for k in range(K) if c != k]
-    observed = add([F.col(f"_c{c}{k}") * distance(c, k) for c, k in cells])
-    expected = add([n[c] * n[k] * distance(c, k) for c, k in cells]) / (add(n) - 1)
-    return rows.select(*by, F.when((add(n) > 1) & (expected > 0), 1 - observed / expected).alias("alpha"))
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in coincidence.schema.fields if f.name in by] + ["alpha double"])
+    return coincidence.withColumn("_one", F.lit(1)).groupBy(*(by or ["_one"])).applyInPandas(one, types)
 
 
 def krippendorff(patterns_: DataFrame, replicates: int = BOOT // 3) -> DataFrame:
@@ -203,39 +210,80 @@ def posterior(prior: list[float], theta: dict[str, list[list[float]]]) -> Column
         a, likelihood[F.concat_ws(":", v["rater"], v["grade"].cast("string"))], lambda x, y: x * y))
 
 
-def dawid_skene(patterns_: DataFrame, iterations: int = 200, tolerance: float = 1e-6) -> DawidSkene:
-    """EM for the raters' confusion matrices (I4): soft-majority start, +0.5 smoothing, until the likelihood stands.
-
-    A round is one aggregate over the patterns; what comes back to the driver is raters × K × K numbers."""
-    data = frozen(patterns_.select("votes", "n").withColumn(
-        "_ballots", F.concat(F.array(F.struct(F.lit("*").alias("rater"), F.lit(0).alias("grade"))), F.col("votes"))))
-    share = F.array(*[F.size(F.filter("votes", _is_grade(k))) / F.size("votes") for k in range(K)])
-    weights, previous, prior, theta, loglik, turn = share, None, [], {}, 0.0, 0
-    for turn in range(1, iterations + 1):
-        rows = data.select("n", "_ballots", weights.alias("_w"))
-        total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)
-        scaled = rows.select("n", "_ballots", total.alias("_t"), F.transform("_w", lambda x: x / total).alias("_p"))
-        sums = (scaled.select("n", "_t", "_p", F.explode("_ballots").alias("v")).groupBy("v.rater", "v.grade")
-                .agg(*[F.sum(F.col("n") * F.col("_p")[k]).alias(f"p{k}") for k in range(K)],
-                     F.sum(F.col("n") * F.log("_t")).alias("ll")).collect())
-        loglik = next(r["ll"] for r in sums if r["rater"] == "*")
-        if previous is not None and turn > 2 and abs(loglik - previous) < tolerance * abs(previous):
+def _expected_counts(data: DataFrame, raters: list[str], models: dict[int, tuple[np.ndarray, np.ndarray]] | None) -> dict:
+    """One round over ``data(rep, n, raters, grades)``: per replicate the log-likelihood, Σ p(k) and each rater's expected
+    counts. Without models the votes' own shares stand for the probabilities."""
+    place = {r: i for i, r in enumerate(raters)}
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            sizes = part["raters"].map(len).to_numpy()
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            who = np.array([place[r] for r in np.concatenate(part["raters"].to_numpy())])
+            what = np.concatenate(part["grades"].to_numpy()).astype(int)
+            weight = part["n"].to_numpy(float)
+            for rep, index in part.groupby("rep").indices.items():
+                if models is not None and rep not in models:
+                    continue
+                votes = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in index])
+                first = np.concatenate([[0], np.cumsum(sizes[index])[:-1]])
+                if models is None:
+                    p = np.add.reduceat(np.eye(K)[what[votes]], first) / sizes[index][:, None]
+                    loglik = 0.0
+                else:
+                    prior, theta = models[rep]
+                    logs = np.add.reduceat(np.log(theta[who[votes], :, what[votes]]), first) + np.log(np.maximum(prior, 1e-12))
+                    top = logs.max(axis=1, keepdims=True)
+                    p = np.exp(logs - top)
+                    total = p.sum(axis=1, keepdims=True)
+                    loglik = float((weight[index] * (np.log(total) + top)[:, 0]).sum())
+                    p = p / total
+                p = p * weight[index][:, None]
+                counts = np.zeros((len(raters), K, K))
+                np.add.at(counts, (who[votes], slice(None), what[votes]), np.repeat(p, sizes[index], axis=0))
+                flat = np.concatenate([[loglik], p.sum(axis=0), counts.ravel()])
+                yield pd.DataFrame({"rep": rep, "at": np.arange(len(flat)), "v": flat})
+
+    sums = data.mapInPandas(batches, "rep int, at int, v double").groupBy("rep", "at").agg(F.sum("v").alias("v")).collect()
+    out: dict[int, np.ndarray] = {}
+    for row in sums:
+        out.setdefault(row["rep"], np.zeros(1 + K + len(raters) * K * K))[row["at"]] = row["v"]
+    return out
+
+
+def fit_all(data: DataFrame, iterations: int, tolerance: float) -> dict[int, DawidSkene]:
+    """The model of every replicate of ``data(rep, votes, n)`` at once (I4, I5): one pass a round over the patterns; what
+    returns is replicates × raters × K² numbers. A replicate whose likelihood stands is left as it is."""
+    rows = frozen(data.select(F.col("rep").cast("int").alias("rep"), F.col("n").cast("double").alias("n"),
+                              F.transform("votes", lambda v: v["rater"]).alias("raters"), F.transform("votes", lambda v: v["grade"]).alias("grades")))
+    raters = sorted(r[0] for r in rows.select(F.explode("raters")).distinct().collect())
+    found: dict[int, DawidSkene] = {}
+    models: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+    previous: dict[int, float] = {}
+    for turn in range(1, iterations + 2):
+        sums = _expected_counts(rows, raters, models)
+        following = {}
+        for rep, flat in sums.items():
+            if models is not None:
+                prior, theta = models[rep]
+                named = {r: theta[i].tolist() for i, r in enumerate(raters)}
+                found[rep] = DawidSkene(prior.tolist(), named, flat[0], turn - 1)
+                if turn > iterations or (rep in previous and abs(flat[0] - previous[rep]) < tolerance * abs(previous[rep])):
+                    continue
+                previous[rep] = flat[0]
+            counts = flat[1 + K:].reshape(len(raters), K, K) + 0.5
+            following[rep] = (flat[1:1 + K] / flat[1:1 + K].sum(), counts / counts.sum(axis=2, keepdims=True))
+        if not following:
             break
-        previous = loglik
-        whole = next(r for r in sums if r["rater"] == "*")
-        units = sum(whole[f"p{k}"] for k in range(K))
-        prior = [whole[f"p{k}"] / units for k in range(K)]
-        counts: dict[str, np.ndarray] = {}
-        for row in sums:
-            if row["rater"] != "*":
-                counts.setdefault(row["rater"], np.full((K, K), 0.5))[:, row["grade"]] += [row[f"p{k}"] for k in range(K)]
-        theta = {r: (m / m.sum(axis=1, keepdims=True)).tolist() for r, m in counts.items()}
-        weights = posterior(prior, theta)
-    return DawidSkene(prior, theta, loglik, turn)
+        models = following
+    return found
 
 
-def _is_grade(k: int):
-    return lambda v: v["grade"] == k
+def dawid_skene(patterns_: DataFrame, iterations: int = 200, tolerance: float = 1e-6) -> DawidSkene:
+    """EM for the raters' confusion matrices (I4): soft-majority start, +0.5 smoothing, until the likelihood stands."""
+    return fit_all(patterns_.withColumn("rep", F.lit(0)), iterations, tolerance)[0]
 
 
 def with_posterior(patterns_: DataFrame, model: DawidSkene) -> DataFrame:
@@ -302,9 +350,8 @@ def strictness(patterns_: DataFrame, refits: int = 40, seed: int = SEED) -> Data
     spark = patterns_.sparkSession
     data = frozen(patterns_)
     value = dawid_skene(data).strictness()
-    drawn = frozen(resampled(data, ["pattern"], replicates=refits, seed=seed)) if refits else None
-    found = [(rep, r, v) for rep in range(refits) for r, v in dawid_skene(
-        drawn.where(F.col("rep") == rep), iterations=60, tolerance=1e-5).strictness().items()]
+    fits = fit_all(resampled(data, ["pattern"], replicates=refits, seed=seed), 60, 1e-5) if refits else {}
+    found = [(rep, r, v) for rep, model in fits.items() for r, v in model.strictness().items()]
     out = spark.createDataFrame(sorted(value.items()), "rater string, strictness double")
     if not found:
         return out

@@ -114,6 +114,20 @@ def top_within(df: DataFrame, keys: list[str], order: list[Column], k: int, name
     return numbered.where(F.col(name) <= k)
 
 
+def beside(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], hot: bool | None = None) -> DataFrame:
+    """``df`` with ``<column>_before`` and ``<column>_after``: the columns of the row before and after in the group. In a
+    hot group the rows are numbered and joined to their neighbours' numbers."""
+    if hot is None:
+        hot = has_hot_group(df, keys)
+    if not hot:
+        window = W.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(c).over(window).alias(f"{c}_before") for c in columns],
+                         *[F.lead(c).over(window).alias(f"{c}_after") for c in columns])
+    placed = frozen(number_within(df, keys, order, "_n", hot=True))
+    side = lambda step, end: placed.select(*keys, (F.col("_n") + step).alias("_n"), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    return placed.join(side(1, "before"), [*keys, "_n"], "left").join(side(-1, "after"), [*keys, "_n"], "left").drop("_n")
+
+
 BLOCK = 4096
 
 

@@ -152,7 +152,7 @@ def raters_disputed(spark, d):
 
 @query("raters_strictness")
 def raters_strictness(spark, d):
-    return R.strictness(pats(spark, d), refits=3)
+    return R.strictness(pats(spark, d))
 
 
 @query("raters_kinds", "ratings", """SELECT CAST(rater AS INTEGER) AS rater, count(*) AS ratings, CASE WHEN count(*) < 20 THEN 'few'
