@@ -69,8 +69,12 @@ PROFILE_A = Profile()
 PROFILE_B = Profile(terms=TERMS_B, bare_first=True)
 
 
+_PART = r"[\p{L}\p{N}\p{M}_]"
+
+
 def _edge(pattern: str) -> str:
-    return rf"(?<!{WORD}){pattern}(?!{WORD})"
+    """Whole words of text as written: a mark on a letter is part of its word."""
+    return rf"(?<!{_PART}){pattern}(?!{_PART})"
 
 
 def chain_links(text: Column, profile: Profile = PROFILE_A) -> Column:
