@@ -77,39 +77,39 @@ def _edge(pattern: str) -> str:
     return rf"(?<!{_PART}){pattern}(?!{_PART})"
 
 
-def chain_links(text: Column, profile: Profile = PROFILE_A) -> Column:
-    """``array<struct(term, name, end)>`` of the chain at the head of a text (C1, C2), empty when there is none. A name
-    runs to the next comma, term, honorific or end marker; the chain goes on while only fillers follow a name; a term
-    without a name passes to the next term; asides between dashes are passed over."""
+def with_chain_links(df: DataFrame, text: str, profile: Profile = PROFILE_A, name: str = "found") -> DataFrame:
+    """``df`` with ``array<struct(term, name, end)>`` of the chain at the head of a text (C1, C2), empty when there is
+    none. A name runs to the next comma, term, honorific or end marker; the chain goes on while only fillers follow a
+    name; a term without a name passes to the next term; asides between dashes are passed over. The pieces between terms
+    are read in steps, each step once per piece."""
     terms, fillers = any_of(profile.terms), any_of(profile.fillers)
-    plain = F.regexp_replace(text, r"\s[-–—ـ]\s[^-–—ـ]{1,80}\s[-–—ـ](?=\s)", " ")
-    head = F.regexp_replace(plain, r"^[\s\d\-–—().:\[\]]+", "")
-    marked = F.regexp_replace(head, _edge(rf"{re.escape(profile.conjunction)}?({terms})"), "\u0001$1\u0002")
-    pieces = F.split(marked, "\u0001")
     honour, end = any_of(profile.honorifics), any_of(profile.ends)
     filler = rf"(?:[\s،,:;.\"'\-]|{_edge(fillers)}|{_edge(honour)})"
     stop = rf"(?=\s*(?:[،,:;.\"()]|{_edge(fillers)}|{_edge(honour)}|{_edge(end)}|$))"
-    name = rf"^{filler}*([^،,:;.\"()]{{1,{profile.longest}}}?){stop}"
-
-    def read(piece: Column) -> Column:
-        term = F.regexp_extract(piece, "^([^\u0002]*)\u0002", 1)
-        rest = F.regexp_replace(piece, "^[^\u0002]*\u0002", "")
-        ended = rest.rlike(rf"^{filler}*{_edge(end)}")
-        found = F.when(ended, "").otherwise(F.trim(F.regexp_extract(rest, name, 1)))
-        tail = F.when(found == "", rest).otherwise(F.regexp_replace(rest, name, ""))
-        reaches = tail.rlike(rf"^{filler}*{_edge(end)}") | ended
-        return F.struct(term.alias("term"), found.alias("name"), reaches.alias("end"),
-                        (~tail.rlike(rf"^{filler}*$") | reaches).alias("stops"))
-
-    first = F.trim(F.regexp_replace(F.element_at(pieces, 1), rf"^{filler}*|{filler}*$", ""))
-    later = F.transform(F.filter(pieces, lambda p, i: i > 0), read)
-    stops = F.array_position(F.transform(later, lambda p: p["stops"]), True).cast("int")
-    kept = F.filter(F.when(stops > 0, F.slice(later, 1, stops)).otherwise(later), lambda p: (p["name"] != "") | p["end"])
-    opens = F.array(F.struct(F.lit("").alias("term"), first.alias("name"), F.lit(False).alias("end"), F.lit(False).alias("stops")))
-    bare = (first != "") & (F.size(later) > 0) & (F.length(first) <= profile.longest)
-    whole = F.when(bare, F.concat(opens, kept)).otherwise(kept) if profile.bare_first else F.when(first == "", kept).otherwise(
-        F.array().cast("array<struct<term:string,name:string,end:boolean,stops:boolean>>"))
-    return F.transform(whole, lambda p: F.struct(p["term"].alias("term"), p["name"].alias("name"), p["end"].alias("end")))
+    one_name = rf"^([^،,:;.\"()]{{1,{profile.longest}}}?){stop}"
+    plain = F.regexp_replace(F.col(text), r"\s[-–—ـ]\s[^-–—ـ]{1,80}\s[-–—ـ](?=\s)", " ")
+    head = F.regexp_replace(plain, r"^[\s\d\-–—().:\[\]]+", "")
+    marked = F.regexp_replace(head, _edge(rf"{re.escape(profile.conjunction)}?({terms})"), "\u0001$1\u0002")
+    rows = df.withColumn("_pieces", F.split(marked, "\u0001"))
+    lead = lambda c: F.regexp_replace(c, rf"^{filler}+", "")
+    first = F.trim(F.regexp_replace(lead(F.element_at("_pieces", 1)), r"[\s،,:;.]+$", ""))
+    cut = F.transform(F.slice("_pieces", 2, F.size("_pieces")), lambda p: F.struct(
+        F.substring_index(p, "\u0002", 1).alias("term"), lead(F.substring_index(p, "\u0002", -1)).alias("rest")))
+    named = F.transform(cut, lambda p: F.struct(p["term"].alias("term"), p["rest"].alias("rest"), F.when(
+        p["rest"].rlike(rf"^{_edge(end)}"), "").otherwise(F.regexp_extract(p["rest"], one_name, 1)).alias("name")))
+    tails = F.transform(named, lambda p: F.struct(p["term"].alias("term"), p["name"].alias("name"),
+                                                  lead(F.substr(p["rest"], F.length(p["name"]) + 1)).alias("tail")))
+    rows = rows.withColumn("_first", first).withColumn("_read", F.transform(tails, lambda p: F.struct(
+        p["term"].alias("term"), F.trim(p["name"]).alias("name"), p["tail"].rlike(rf"^{_edge(end)}").alias("end"), (p["tail"] != "").alias("stops"))))
+    stops = F.array_position(F.transform("_read", lambda p: p["stops"]), True).cast("int")
+    kept = F.filter(F.when(stops > 0, F.slice("_read", 1, stops)).otherwise(F.col("_read")), lambda p: (p["name"] != "") | p["end"])
+    out = lambda items: F.transform(items, lambda p: F.struct(p["term"].alias("term"), p["name"].alias("name"), p["end"].alias("end")))
+    opens = F.array(F.struct(F.lit("").alias("term"), F.col("_first").alias("name"), F.lit(False).alias("end")))
+    none = F.array().cast("array<struct<term:string,name:string,end:boolean>>")
+    bare = (F.col("_first") != "") & (F.size("_read") > 0) & (F.length("_first") <= profile.longest)
+    whole = (F.when(bare, F.concat(opens, out(kept))).otherwise(out(kept)) if profile.bare_first
+             else F.when(F.col("_first") == "", out(kept)).otherwise(none))
+    return rows.withColumn(name, whole).drop("_pieces", "_first", "_read")
 
 
 def extract_links(texts: DataFrame, profile: Profile = PROFILE_A) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +117,7 @@ def extract_links(texts: DataFrame, profile: Profile = PROFILE_A) -> tuple[DataF
     position, term, name)``. A text with a switch sign has a road per part, each a chain of its own."""
     sign = _edge(profile.switch)
     roads = texts.select("report_id", F.posexplode(F.split("text", sign)).alias("_i", "_road"))
-    read = roads.select("report_id", (F.col("_i") + 1).alias("ordinal"), chain_links(F.col("_road"), profile).alias("found"))
+    read = with_chain_links(roads.select("report_id", (F.col("_i") + 1).alias("ordinal"), "_road"), "_road", profile).drop("_road")
     read = frozen(read.withColumn("named", F.filter("found", lambda p: p["name"] != "")))
     chains = read.select("report_id", "ordinal", F.exists("found", lambda p: p["end"]).alias("reaches"),
                          F.when(F.size("named") == 0, NO_CHAIN).alias("problem"))
