@@ -69,17 +69,36 @@ def term_weights(bodies_: DataFrame, max_share: float = MAX_DF_SHARE) -> DataFra
     return raw.join(norm, "body_id").where("_norm > 0").select("body_id", "word", "df", (F.col("_w") / F.col("_norm")).alias("w"))
 
 
-def candidate_pairs(weights: DataFrame, threshold: float = CANDIDATE) -> DataFrame:
-    """Pairs of bodies that can reach a cosine (R4), found by their rarest words only.
-
-    With the words of every body in one order, rarest first, a word is kept while what follows it could still make up
-    the threshold. Two bodies without a kept word in common have a cosine below it, so no pair is lost and the frequent
-    words, whose lists are long, are hardly ever joined."""
-    rest = W.partitionBy("body_id").orderBy(F.desc("df"), F.desc("word")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    kept = (weights.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rest))
-            .where(F.col("_rest") >= threshold * threshold - 1e-9).select("word", "body_id"))
-    a, b = kept.withColumnRenamed("body_id", "a"), kept.withColumnRenamed("body_id", "b")
-    return a.join(b, "word").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+def rarest_first(long: DataFrame, by: list[str], element: str) -> DataFrame:
+    """Set elements ``(…by, element)`` with the set's ``size``, how many sets hold the element (``df``) and its ``place``
+    in the set, the rarest first. Elements of one set alone keep their place and are then left out: they meet nothing."""
+    df = long.groupBy(element).agg(F.count(F.lit(1)).alias("df"))
+    window = W.partitionBy(*by).orderBy("df", element)
+    placed = long.join(df, element).withColumn("place", F.row_number().over(window)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy(*by)))
+    return placed.where(F.col("df") > 1)
+
+
+def asking(ranked: DataFrame, threshold: float) -> DataFrame:
+    """The elements by which a set looks for larger sets that hold ``threshold`` of it, and how many must be met.
+
+    Of |S| elements at least α = ⌈t·|S|⌉ must be shared, so of any |S| − α + ℓ of them at least ℓ: the rarest are asked
+    for, with ℓ a quarter of α. The frequent elements, whose lists are long, are not joined, and sets that share a few
+    by chance are dropped by a count."""
+    least = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
+    need = F.greatest(F.lit(1), F.floor(least / 4))
+    return ranked.withColumn("need", need).where(F.col("place") <= F.col("size") - least + F.col("need"))
+
+
+def candidate_pairs(informative: DataFrame, threshold: float = SAME_REPORT) -> DataFrame:
+    """Pairs of bodies that can reach a containment of word pairs (R4, R5), none lost. The shared elements are counted
+    per pair with map-side combine; no list of a pair's texts is made here."""
+    long = informative.select("body_id", F.explode("pairs").alias("pair"))
+    ranked = frozen(rarest_first(long, ["body_id"], "pair"))
+    small = asking(ranked, threshold).select("pair", F.col("body_id").alias("a"), F.col("size").alias("_za"), "need")
+    large = ranked.select("pair", F.col("body_id").alias("b"), F.col("size").alias("_zb"))
+    met = small.join(large, "pair").where((F.col("_za") < F.col("_zb")) | ((F.col("_za") == F.col("_zb")) & (F.col("a") < F.col("b"))))
+    kept = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("need").alias("need")).where(F.col("_n") >= F.col("need"))
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def containments(pairs: DataFrame, sets: DataFrame, key: str = "body_id", values: str = "pairs") -> DataFrame:
@@ -94,9 +113,8 @@ def containments(pairs: DataFrame, sets: DataFrame, key: str = "body_id", values
 def body_pairs(informative: DataFrame, weights: DataFrame) -> DataFrame:
     """Pairs of different bodies whose cosine and containment are high enough to be related (R4–R6):
     ``(a, b, containment)``."""
-    weights = frozen(weights)
-    candidates = frozen(candidate_pairs(weights))
-    near = containments(candidates, informative).where(F.col("containment") >= SAME_REPORT).select("a", "b", "containment")
+    near = frozen(containments(frozen(candidate_pairs(informative)), informative).where(F.col("containment") >= SAME_REPORT)
+                  .select("a", "b", "containment"))
     cosines = pair_cosines(near.select("a", "b"), weights)
     return near.join(cosines.where(F.col("cosine") >= CANDIDATE).select("a", "b"), ["a", "b"])
 
@@ -178,19 +196,16 @@ def contained_pairs(items: DataFrame, others: DataFrame, threshold: float, least
     """``(a, b, overlap, containment)`` of items and others whose word sets overlap enough: shared over the smaller
     size (R9). ``items(a, words)``, ``others(b, words)``.
 
-    A pair that shares the threshold of the smaller set shares one of that set's rarest words: of |S| words, the
-    |S| − ⌈t·|S|⌉ + 1 rarest. Only those are looked up in the other side."""
+    The smaller set asks for the larger by its rarest words (``asking``); either side may be the smaller."""
     one = items.select(F.lit(0).alias("side"), F.col("a").cast("long").alias("id"), "words").union(
         others.select(F.lit(1), F.col("b").cast("long"), "words")).where(F.size("words") > 0)
-    long = one.select("side", "id", F.size("words").alias("size"), F.explode("words").alias("word"))
-    df = long.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(W.partitionBy("side", "id").orderBy("df", "word"))
-    ranked = frozen(long.join(df, "word").withColumn("place", place))
-    asks = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1)
-    left = lambda d, s: d.where(F.col("side") == s).select("word", F.col("id").alias(f"_{s}"), F.col("size").alias(f"_z{s}"))
-    small_items = left(asks, 0).join(left(ranked, 1), "word").where("_z0 <= _z1")
-    small_others = left(asks, 1).join(left(ranked, 0), "word").where("_z1 < _z0")
-    pairs = small_items.select("_0", "_1").union(small_others.select("_0", "_1")).distinct()
+    ranked = frozen(rarest_first(one.select("side", "id", F.explode("words").alias("word")), ["side", "id"], "word"))
+    asks = asking(ranked, threshold)
+    small = lambda s: asks.where(F.col("side") == s).select("word", F.col("id").alias(f"_{s}"), F.col("size").alias("_zs"), "need")
+    large = lambda s: ranked.where(F.col("side") == s).select("word", F.col("id").alias(f"_{s}"), F.col("size").alias("_zl"))
+    met = small(0).join(large(1), "word").where("_zs <= _zl").select("_0", "_1", "need").union(
+        small(1).join(large(0), "word").where("_zs < _zl").select("_0", "_1", "need"))
+    pairs = met.groupBy("_0", "_1").agg(F.count(F.lit(1)).alias("_n"), F.max("need").alias("need")).where("_n >= need").select("_0", "_1")
     both = (pairs.join(items.select(F.col("a").cast("long").alias("_0"), F.col("words").alias("_wa")), "_0")
             .join(others.select(F.col("b").cast("long").alias("_1"), F.col("words").alias("_wb")), "_1"))
     overlap = F.size(F.array_intersect("_wa", "_wb"))

@@ -33,6 +33,19 @@ def scale_key(collection: Column) -> Column:
     return F.when(collection == "BUILDING", F.lit("B")).otherwise(F.lit("A"))
 
 
+@lru_cache(maxsize=64)
+def _splits(application: str, folder: str, name: str) -> int:
+    return table(SparkSession.active(), folder, name).rdd.getNumPartitions()
+
+
+def spread(df: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """A table that comes in fewer splits than there are cores (one small file) is spread over them before heavy work on
+    its texts; a table of many splits is left where it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if _splits(spark.sparkContext.applicationId, folder, name) >= cores else df.repartition(cores, key)
+
+
 def collections(spark: SparkSession, folder: str) -> DataFrame:
     return (table(spark, folder, "customer").select(F.col("c_mktsegment").alias("collection")).distinct()
             .withColumn("scale", scale_key(F.col("collection"))))
@@ -101,8 +114,9 @@ def label_ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    rows = table(spark, folder, "documents").select(
         F.col("doc_id").alias("report_id"), F.col("source").alias("collection"), F.col("lang").alias("language"), "text")
+    return spread(rows, folder, "documents", "report_id")
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
