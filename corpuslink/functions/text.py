@@ -77,15 +77,13 @@ def normalize(text: Column) -> Column:
     Latin script one by one, the others (ligatures, fractions) by table."""
     plain = F.octet_length(text) == F.length(text)
     short = F.lower(F.translate(text, "'`", ""))
-    latin = text
-    for ch, folded in LATIN_SEVERAL.items():
-        latin = F.replace(latin, F.lit(ch), F.lit(folded))
+    folded = F.translate(text, FOLD_FROM, FOLD_TO)
+    latin = folded
+    for ch, spelt in LATIN_SEVERAL.items():
+        latin = F.replace(latin, F.lit(ch), F.lit(spelt))
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{f}" for c, f in FOLD_SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
-    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
-        F.octet_length(c) > 1, F.coalesce(table[c], c)).otherwise(c)), "")
-    folded = lambda t: F.translate(t, FOLD_FROM, FOLD_TO)
-    return (F.when(plain, short).when(text.rlike(RARE_CLASS), folded(spelt)).when(text.rlike(LATIN_CLASS), folded(latin))
-            .otherwise(folded(text)))
+    rare = F.array_join(F.transform(F.split(folded, ""), lambda c: F.when(F.octet_length(c) > 1, F.coalesce(table[c], c)).otherwise(c)), "")
+    return F.when(plain, short).when(text.rlike(RARE_CLASS), rare).when(text.rlike(LATIN_CLASS), latin).otherwise(folded)
 
 
 def normalize_sql(text: str) -> str:

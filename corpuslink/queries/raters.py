@@ -304,7 +304,7 @@ def spearman_sql() -> str:
     parts = [f"""SELECT '{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y FROM lab WHERE {a} IS NOT NULL AND {b} IS NOT NULL""" for a, b in combinations(VARIABLES, 2)]
     return LAB + f""", long AS ({' UNION ALL '.join(parts)}), rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx,
         rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM long)
-        SELECT a, b, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho FROM rk GROUP BY ALL"""
+        SELECT a, b, count(*) AS n, CASE WHEN count(*) >= 10 AND NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 6) + 0.0 END AS rho FROM rk GROUP BY ALL"""
 
 
 @query("tests_spearman", "links chains persons", spearman_sql())
