@@ -91,8 +91,7 @@ def chains_cut_repeats(spark, d):
 
 @query("chains_borrowed", "reports_o", """t AS (SELECT r.*, o_orderstatus, CASE WHEN o_orderpriority < '3' THEN 'whole' ELSE 'last' END AS kind FROM reports_o r JOIN orders ON o_orderkey = report_id),
     s AS (SELECT *, last_value(CASE WHEN o_orderstatus = 'F' THEN report_id END IGNORE NULLS) OVER (PARTITION BY collection ORDER BY number_sort ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM t)
-    SELECT report_id, CASE kind WHEN 'whole' THEN 2 ELSE 1 END AS links, 'name ' || src AS last_name FROM s WHERE o_orderstatus <> 'F' AND src IS NOT NULL""".replace(
-        "CASE kind WHEN 'whole' THEN 2 ELSE 1 END AS links", "CAST(CASE kind WHEN 'whole' THEN 2 ELSE 1 END AS BIGINT) AS links"))
+    SELECT report_id, CAST(CASE kind WHEN 'whole' THEN 2 ELSE 1 END AS BIGINT) AS links, 'name ' || src AS last_name FROM s WHERE o_orderstatus <> 'F' AND src IS NOT NULL""")
 def chains_borrowed(spark, d):
     orders = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), "o_orderstatus", "o_orderpriority")
     rows = X.reports_o(spark, d).join(orders, "report_id")

@@ -55,9 +55,9 @@ def meaning_search(spark, d):
     return M.closest(M.hybrid_scores(weights, matrix, near, points))
 
 
-@query("meaning_embeddings", "", """q AS (SELECT label AS query_id, [avg(embedding[i]) FOR i IN [1]] AS x FROM embeddings GROUP BY 1), e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+@query("meaning_embeddings", "", """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     f AS (SELECT label AS query_id, arg_min(v, vec_id) AS q FROM e GROUP BY 1) SELECT query_id, vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-    ORDER BY list_cosine_similarity(v, q) DESC, vec_id) AS k FROM e, f) WHERE k <= 10""".replace("q AS (SELECT label AS query_id, [avg(embedding[i]) FOR i IN [1]] AS x FROM embeddings GROUP BY 1), ", ""))
+    ORDER BY list_cosine_similarity(v, q) DESC, vec_id) AS k FROM e, f) WHERE k <= 10""")
 def meaning_embeddings(spark, d):
     rows = X.table(spark, d, "embeddings").select("vec_id", F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     asked = rows.groupBy(F.col("label").alias("query_id")).agg(F.min_by("v", "vec_id").alias("v"))

@@ -93,8 +93,8 @@ def ingest_entry_pages(spark, d):
 FLAT = REPORT_RATINGS + """, g AS (SELECT report_id, string_agg(rater || ': ' || grade, '; ' ORDER BY rater) AS ratings FROM report_ratings GROUP BY 1)"""
 
 
-@query("export_flat_reports", "reports_o", FLAT + """ SELECT report_id, collection, 'status ' || CASE WHEN o_orderstatus = 'F' THEN 'F' END AS text_f, CASE WHEN o_orderstatus = 'O' THEN 'status O' ELSE '' END AS text_o,
-    coalesce(ratings, '') AS ratings FROM reports_o JOIN orders ON o_orderkey = report_id LEFT JOIN g USING (report_id)""".replace("'status ' || CASE WHEN o_orderstatus = 'F' THEN 'F' END", "CASE WHEN o_orderstatus = 'F' THEN 'status F' ELSE '' END"))
+@query("export_flat_reports", "reports_o", FLAT + """ SELECT report_id, collection, CASE WHEN o_orderstatus = 'F' THEN 'status F' ELSE '' END AS text_f, CASE WHEN o_orderstatus = 'O' THEN 'status O' ELSE '' END AS text_o,
+    coalesce(ratings, '') AS ratings FROM reports_o JOIN orders ON o_orderkey = report_id LEFT JOIN g USING (report_id)""")
 def export_flat_reports(spark, d):
     texts = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.lower("o_orderstatus").alias("language"),
                                                F.concat(F.lit("status "), "o_orderstatus").alias("text"))

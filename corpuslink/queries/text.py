@@ -56,9 +56,6 @@ def text_solar_years(spark, d):
     return X.persons(spark, d).select("person_id", T.ce_year(F.col("death_year")).alias("solar_year"))
 
 
-WORDS = r"""w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(name), '[\p{L}\p{N}_]+')) AS word FROM names)"""
-
-
 @query("names_near", "names", r"""w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
     SELECT a.word AS a, b.word AS b FROM w a, w b WHERE a.word < b.word AND damerau_levenshtein(a.word, b.word) <= 1""")
 def names_near(spark, d):
@@ -79,7 +76,7 @@ def cases(spark, d, key: str, table: str, values: list[str]):
 def cases_sql(key: str, table: str, results: list, kind: str) -> str:
     listed = ", ".join("NULL" if r is None else (f"'{r}'" if isinstance(r, str) else str(r).lower()) for r in results)
     return f"""SELECT CAST(list_extract([{listed}], CAST({key} % {len(results)} + 1 AS INTEGER)) AS {kind}) AS result,
-        count(*) AS rows FROM {table} GROUP BY 1""".replace("''", "''")
+        count(*) AS rows FROM {table} GROUP BY 1"""
 
 
 def counted(rows, result):
