@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import decontaminate, exact_dedup
+from corpuslink.llm import chat_format, decontaminate, exact_dedup, secrets
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,45 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, *columns: Column | str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+@query("op2_chat_format", r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+    SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c') || ': '
+    || replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e') || '</turn>' || chr(10) AS piece FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted and read back. The table's rows come in the layout of turn rows, conversation -7 in that
+    of message lists."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    messages = F.array(*(F.struct(F.lit(role).alias("role"), said.alias("content")) for role in ("user", "assistant")))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    rows = table(spark, folder, "conversations", "conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    done = chat_format.formatted(chat_format.canonical_turns(rows.unionByName(extra), "conv_id", "record"))
+    done = done.select("id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"),
+                       F.concat_ws("", chat_format.under_mask(F.col("formatted"), F.col("loss_spans"))).alias("loss"))
+    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return done.select(F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's secret spans; a source is an owner, a document a repository."""
+    found = secrets.scan(table(spark, folder, "documents", "doc_id", "text", "source"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+                        secrets.written(F.sort_array(F.concat("base", "added"))).alias("spans"), "n_live", "n_copied")
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 r AS (SELECT *, row_number() OVER w AS place, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
