@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import chat_format, decontaminate, exact_dedup, secrets
+from corpuslink.llm import chat_format, decontaminate, exact_dedup, packing, secrets, token_counts
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
                         secrets.written(F.sort_array(F.concat("base", "added"))).alias("spans"), "n_live", "n_copied")
 
 
+@query("op5_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(packing.pieces(table(spark, folder, "documents", "doc_id", "text"), path))
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 r AS (SELECT *, row_number() OVER w AS place, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
@@ -93,3 +101,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.hits(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = token_counts.token_counts(table(spark, folder, "documents", "doc_id", "text"), path, keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
