@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import chat_format, decontaminate, exact_dedup, packing, secrets, token_counts
+from corpuslink.llm import chat_format, decontaminate, exact_dedup, packing, secrets, substring_dedup, token_counts
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups_of_copies(table(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query("op8_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+g AS (SELECT gram FROM o GROUP BY gram HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM o JOIN g USING (gram))),
+k AS (SELECT e.doc_id, count(*) FILTER (h.q IS NOT NULL) AS gone, string_agg(e.word, ' ' ORDER BY e.q) FILTER (h.q IS NULL) AS kept
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) e LEFT JOIN h ON h.doc_id = e.doc_id AND h.q = e.q GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words that a repeated window covers."""
+    left = substring_dedup.without_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op9_decontaminate", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
