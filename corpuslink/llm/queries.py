@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import chat_format, decontaminate, exact_dedup, packing, secrets, substring_dedup, token_counts
+from corpuslink.llm import chat_format, decontaminate, exact_dedup, html_extract, packing, secrets, substring_dedup, token_counts
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: Column | str) -
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+@query("op1_html_extract")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    return html_extract.extracted(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
 @query("op2_chat_format", r"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
     SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
