@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import chat_format, decontaminate, exact_dedup, html_extract, packing, secrets, substring_dedup, token_counts
+from corpuslink.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, packing, secrets, substring_dedup, token_counts
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
                         secrets.written(F.sort_array(F.concat("base", "added"))).alias("spans"), "n_live", "n_copied")
 
 
+@query("op4_ngram_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(4, len(w)) - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r.y) AS component_id FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of linked documents."""
+    return ngram_join.classes(table(spark, folder, "documents", "doc_id", "text"), words=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
