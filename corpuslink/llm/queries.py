@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, packing, secrets, substring_dedup, token_counts
+from corpuslink.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, packing, secrets, substring_dedup, token_counts, toxicity
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, folder, "documents", "doc_id", "text"), path))
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    grammar = toxicity.fit(toxicity.labelled(docs, table(spark, folder, "labels", "doc_id", "toxic")))
+    return toxicity.scored(docs, grammar, keep_text=False).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op7_exact_dedup", r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 r AS (SELECT *, row_number() OVER w AS place, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
