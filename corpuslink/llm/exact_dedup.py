@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslink.llm.keys import only
 from corpuslink.session import frozen
 
 SALTS = 32
@@ -46,14 +47,19 @@ def groups_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay. Ids are taken to be unique; of repeated rows under one id one stays."""
-    columns = docs.columns
-    kept = groups_of_copies(docs, id_col, text_col).where("kept").select(F.col("id").alias("_kept_id"))
-    stays = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    # rows that share an id, as a table with repeated rows has, are few: only those are compared again
-    repeated = frozen(stays.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_kept_id")))
-    if repeated.isEmpty():
-        return stays.select(*columns)
-    again = F.col(id_col).eqNullSafe(F.col("_kept_id"))
-    once = stays.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col])
-    return stays.join(repeated, again, "left_anti").select(*columns).unionByName(once.select(*columns))
+    """The rows of ``docs`` that stay, with all columns. Only ids of rows that go are carried back. Where rows share an id, one
+    row of each of the id's texts that stay is kept, the longest."""
+    found = frozen(groups_of_copies(docs, id_col, text_col).select(F.col("id").alias(id_col), "kept", "text_sha256"))
+    by_id = found.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = frozen(by_id.where(~F.col("kept")).select(id_col))
+    shared = frozen(by_id.where("kept AND n > 1").select(id_col))
+    stays = only(docs, gone, id_col, "left_anti")
+    if shared.isEmpty():
+        return stays
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, ""), 256)
+    rows = only(stays, shared, id_col, "left_semi").withColumn("_sha", sha)
+    kept = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    longest = Window.partitionBy(id_col, "_sha").orderBy(F.char_length(text_col).desc(), text_col)
+    once = rows.withColumn("_place", F.row_number().over(longest)).where("_place = 1")
+    return only(stays, shared, id_col, "left_anti").unionByName(once.select(*docs.columns))

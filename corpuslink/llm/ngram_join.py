@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslink.llm.components import components
+from corpuslink.llm.keys import BROADCAST_KEYS, only
 from corpuslink.llm.words import NOT_WHITE, U64, Words, mixed, signed, words_of
 from corpuslink.session import frozen
 
 WORDS, PERCENT = 5, 80
 CROWDED = 200_000
 CHUNK, OFTEN = 2_000_000, 4
-BROADCAST_KEYS = 4_000_000
 
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
@@ -202,6 +202,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` of smallest id of each class (and those without words), with all columns."""
-    kept = classes(docs.select(id_col, text_col), id_col, text_col, words, percent).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` without those that belong to the class of a smaller id, with all columns. Rows that share an id
+    share its fate."""
+    found = classes(docs, id_col, text_col, words, percent)
+    gone = frozen(found.where(F.col("id") > F.col("component_id")).select(F.col("id").alias(id_col)).distinct())
+    return only(docs, gone, id_col, "left_anti")

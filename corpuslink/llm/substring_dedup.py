@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslink.llm.keys import only
 from corpuslink.llm.words import NOT_WHITE, STEP2, U64, Words, signed, words_of
 from corpuslink.session import frozen
 
 SIZE = 35
-BROADCAST_KEYS = 4_000_000
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -112,11 +112,6 @@ def _occurrences(texts: DataFrame, size: int, lengths: list[int], level: int) ->
     return texts.mapInArrow(run, "code bigint, more int, row bigint, place int, chosen int")
 
 
-def _only(texts: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """``texts`` with (left_semi) or without (left_anti) the rows named in ``keys``; broadcast only while they are few."""
-    return texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "row", how)
-
-
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.withColumn(text_col, text).withColumn("row", F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]))
@@ -133,7 +128,7 @@ def repeated(docs: DataFrame, text_col: str = "text", size: int = SIZE, first: i
         if level == 0:
             singles = frozen(by_text)
             dead = singles.where(F.size("once_0") == F.col("chosen")).select("row")
-            texts = _only(texts, dead, "left_anti").join(singles.drop("chosen"), "row", "left")
+            texts = only(texts, frozen(dead), "row", "left_anti").join(singles.drop("chosen"), "row", "left")
         else:
             texts = texts.join(by_text.drop("chosen"), "row", "left")
         texts = frozen(texts)
@@ -147,8 +142,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE, f
     onces = [f"once_{k}" for k in range(len(lengths))]
     keyed = _keyed(docs, text_col)
     marks = texts.select("row", *onces).dropDuplicates(["row"])
-    clean = _only(keyed, marks.select("row"), "left_anti")
-    cut = _only(keyed, marks.select("row"), "left_semi").join(marks, "row")
+    marked = frozen(marks.select("row"))
+    clean = only(keyed, marked, "row", "left_anti")
+    cut = only(keyed, marked, "row", "left_semi").join(marks, "row")
     return _kept(cut, text_col, size, lengths, onces).unionByName(_kept(clean, text_col, size, lengths, []))
 
 
