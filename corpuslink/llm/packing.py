@@ -29,6 +29,7 @@ from corpuslink.session import frozen
 SIZE = 2048
 UNIT = 8
 SALTS = 256
+STEADY, GAP = 0.5, 5e-4
 END_ID = 1
 WORDS, CHUNKS = 600_000, 300_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -147,30 +148,44 @@ def best_pattern(prices: np.ndarray, lengths: np.ndarray, room: int) -> tuple[fl
 
 def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     """(pattern as class -> pieces, how often): sequences of ``room`` units that hold every piece of ``demand`` (class ->
-    pieces). A pattern may ask for more of a class than is left; such slots stay empty."""
+    pieces), and no slot more."""
     lengths = np.array(sorted(demand), np.int64)
     if not len(lengths):
         return []
     wanted = np.array([demand[int(c)] for c in lengths], float)
-    basis = np.diag((room // lengths).astype(float))
     plans: list[tuple[np.ndarray, int]] = []
-    for _ in range(20 * len(lengths)):  # stops far earlier; a basis short of the best is still a right packing
-        prices = np.linalg.solve(basis.T, np.ones(len(lengths)))
-        value, pattern = best_pattern(np.maximum(prices, 0), lengths, room)
-        if value <= 1 + 1e-7:
-            break
-        amounts, way = np.linalg.solve(basis, wanted), np.linalg.solve(basis, pattern.astype(float))
+    n = len(lengths)
+    basis, costs = np.diag((room // lengths).astype(float)), np.ones(n)
+    bound, centre = 0.0, np.zeros(n)
+    for _ in range(40 * n):  # stops far earlier; a basis short of the best is still a right packing
+        prices, amounts = np.linalg.solve(basis.T, costs), np.linalg.solve(basis, wanted)
+        if prices.min() < -1e-9:  # more pieces of a class than wanted cost nothing
+            column, cost = -np.eye(n)[int(np.argmin(prices))], 0.0
+        else:
+            # prices near the best bound's so far make steadier patterns; where those fail, the prices themselves decide
+            for trial in ((1 - STEADY) * prices + STEADY * centre, prices):
+                value, pattern = best_pattern(np.maximum(trial, 0), lengths, room)
+                fair = np.maximum(trial, 0) / max(1.0, value)
+                if fair @ wanted > bound:
+                    bound, centre = fair @ wanted, fair
+                if prices @ pattern > 1 + 1e-7:
+                    break
+            if prices @ pattern <= 1 + 1e-7 or costs @ amounts <= bound * (1 + GAP):
+                break
+            column, cost = pattern.astype(float), 1.0
+        way = np.linalg.solve(basis, column)
         ratio = np.where(way > 1e-9, np.maximum(amounts, 0) / np.where(way > 1e-9, way, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = pattern
+        out = int(np.argmin(ratio))
+        basis[:, out], costs[out] = column, cost
     amounts = np.floor(np.linalg.solve(basis, wanted) + 1e-9).astype(np.int64)
     left = wanted.astype(np.int64)
-    for k in np.flatnonzero(amounts > 0):
-        pattern = np.rint(basis[:, k]).astype(np.int64)
-        # never more than whole patterns of what is left
-        times = int(min(amounts[k], *(left[pattern > 0] // pattern[pattern > 0])))
-        if times > 0:
+    for k in np.flatnonzero((amounts > 0) & (costs > 0)):
+        pattern, open_ = np.rint(basis[:, k]).astype(np.int64), int(amounts[k])
+        while open_ and (pattern := np.minimum(pattern, left)).any():  # slots of a class that is used up stay out
+            times = int(min(open_, (left[pattern > 0] // pattern[pattern > 0]).min()))
             plans.append((pattern, times))
-            left -= pattern * times
+            left = left - pattern * times
+            open_ -= times
     while left.any():
         pattern, free = np.zeros(len(lengths), np.int64), room
         for k in range(len(lengths) - 1, -1, -1):
