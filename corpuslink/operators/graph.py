@@ -51,7 +51,7 @@ def pagerank(edges_: DataFrame, damping: float = 0.85, iterations: int = 60) ->
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink") == 1, F.col("score"))), F.lit(0.0)).alias("lost"))
         new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)
         ranks = frozen(nodes.join(flow, "person_id", "left").crossJoin(lost)  # lost is one row
-                       .select("person_id", new.alias("score"), "sink"))
+                       .select("person_id", new.alias("score"), "sink"), ranks)
     return ranks.select("person_id", "score")
 
 
@@ -102,43 +102,47 @@ def father_edges(people: DataFrame) -> DataFrame:
             .where(F.col("_n") == 1).select("son", "father"))
 
 
-def closure(tree: DataFrame, parent: str = "parent_id", node: str = "node_id", limit: int = 64) -> DataFrame:
-    """(ancestor, node, depth) of a forest, each node under itself at depth 0.
-
-    Paths double each round, so a tree of depth d takes log2(d) joins; a node met again is not followed (cycle-safe)."""
-    reach = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("node"), F.lit(0).alias("depth"))
-    step = (tree.where(F.col(parent).isNotNull())
-            .select(F.col(parent).alias("ancestor"), F.col(node).alias("node"), F.lit(1).alias("depth")))
-    known, hop, reachable = reach, step, 1
-    while reachable < limit:
-        further = known.select(F.col("ancestor").alias("mid"), "node", F.col("depth").alias("_low")).join(
-            hop.select("ancestor", F.col("node").alias("mid"), F.col("depth").alias("_up")), "mid")
-        known = frozen(known.union(further.select("ancestor", "node", (F.col("_low") + F.col("_up")).alias("depth")))
-                       .groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
-        next_hop = hop.alias("a").join(hop.alias("b"), F.col("a.node") == F.col("b.ancestor")).select(
-            F.col("a.ancestor").alias("ancestor"), F.col("b.node").alias("node"),
-            (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        hop = frozen(next_hop.where(F.col("ancestor") != F.col("node")).groupBy("ancestor", "node")
-                     .agg(F.min("depth").alias("depth")))
-        reachable *= 2
-        if hop.isEmpty():
-            break
-    return known
-
-
-def reading_order(tree: DataFrame, levels: int) -> DataFrame:
+def closure(tree: DataFrame, parent: str = "parent_id", node: str = "node_id") -> DataFrame:
+    """(ancestor, node, depth) of a forest, each node under itself at depth 0."""
+    return _below(tree, tree.select(F.col(node).alias("chosen")), parent, node).withColumnRenamed("chosen", "ancestor")
+
+
+def _below(tree: DataFrame, chosen: DataFrame, parent: str = "parent_id", node: str = "node_id", up: bool = False) -> DataFrame:
+    """(chosen, node, depth): everything below each chosen node (``up``: above it), itself at depth 0.
+
+    Steps double each round, so a tree of depth d takes log2(d) joins; a node met again is not followed, and the search
+    ends when a round finds nothing new (cycle-safe at any depth)."""
+    hop = tree.where(F.col(parent).isNotNull()).select(F.col(parent).alias("from"), F.col(node).alias("to"), F.lit(1).alias("step"))
+    hop = frozen(hop.select(F.col("to").alias("from"), F.col("from").alias("to"), "step") if up else hop)
+    known = frozen(chosen.distinct().select("chosen", F.col("chosen").alias("node"), F.lit(0).alias("depth")))
+    before = known.count()
+    while True:
+        further = known.join(hop, F.col("node") == F.col("from")).select("chosen", F.col("to").alias("node"), (F.col("depth") + F.col("step")).alias("depth"))
+        known = frozen(known.union(further).groupBy("chosen", "node").agg(F.min("depth").alias("depth")), known)
+        now = known.count()
+        if now == before:
+            return known
+        before = now
+        twice = hop.alias("a").join(hop.alias("b"), F.col("a.to") == F.col("b.from")).select(
+            F.col("a.from").alias("from"), F.col("b.to").alias("to"), (F.col("a.step") + F.col("b.step")).alias("step"))
+        hop = frozen(twice.groupBy("from", "to").agg(F.min("step").alias("step")), hop)
+
+
+def reading_order(tree: DataFrame) -> DataFrame:
     """Every node with its path of (ordinal, id) from the root: sorting by the path is the depth-first reading order
-    (G11). One equi-join per level from the roots down."""
+    (G11). One equi-join per level from the roots down, until a level is empty."""
     place = lambda: F.concat(F.lpad(F.col("ordinal").cast("string"), 12, "0"), F.lit(":"), F.col("node_id"))
     level = tree.where(F.col("parent_id").isNull()).select("node_id", "kind", "label", place().alias("path"),
                                                            F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, levels):
+    out, depth = level, 0
+    while True:
+        depth += 1
         parents = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("_above"))
-        level = tree.join(parents, "parent_id").select(
-            "node_id", "kind", "label", F.concat_ws("/", "_above", place()).alias("path"), F.lit(depth).alias("depth"))
+        level = frozen(tree.join(parents, "parent_id").select(
+            "node_id", "kind", "label", F.concat_ws("/", "_above", place()).alias("path"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            return out
         out = out.union(level)
-    return out
 
 
 def child_counts(tree: DataFrame, leaf: str) -> DataFrame:
@@ -147,56 +151,26 @@ def child_counts(tree: DataFrame, leaf: str) -> DataFrame:
         F.count(F.lit(1)).alias("children"), F.count_if(F.col("kind") == leaf).alias("leaves"))
 
 
-def leaves_under(tree: DataFrame, chosen: DataFrame, leaf: str, limit: int = 64) -> DataFrame:
-    """The leaves under each chosen node (G11, Q11). ``chosen(node_id)``. The search goes up from the chosen nodes'
-    side only: a level's children are joined until no level is left."""
-    level = chosen.select(F.col("node_id").alias("chosen"), "node_id")
-    out = level
-    for _ in range(limit):
-        level = tree.select("parent_id", F.col("node_id").alias("_child")).join(
-            level.withColumnRenamed("node_id", "parent_id"), "parent_id").select("chosen", F.col("_child").alias("node_id"))
-        level = frozen(level)
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out.join(tree.where(F.col("kind") == leaf).select("node_id", "label"), "node_id").distinct()
+def leaves_under(tree: DataFrame, chosen: DataFrame, leaf: str) -> DataFrame:
+    """The leaves under each chosen node (G11, Q11). ``chosen(node_id)``."""
+    found = _below(tree, chosen.select(F.col("node_id").alias("chosen"))).select("chosen", F.col("node").alias("node_id"))
+    return found.join(tree.where(F.col("kind") == leaf).select("node_id", "label"), "node_id")
 
 
-def path_to_root(tree: DataFrame, start: DataFrame, limit: int = 64) -> DataFrame:
+def path_to_root(tree: DataFrame, start: DataFrame) -> DataFrame:
     """(start, node_id, distance) from each start node up to its root (G9); a repeated node ends the path."""
-    level = start.select(F.col("node_id").alias("start"), "node_id")
-    out = level.withColumn("distance", F.lit(0))
-    parents = tree.where(F.col("parent_id").isNotNull()).select("node_id", "parent_id")
-    for distance in range(1, limit):
-        level = level.join(parents, "node_id").select("start", F.col("parent_id").alias("node_id"))
-        level = frozen(level.where(F.col("node_id") != F.col("start")))
-        if level.isEmpty():
-            break
-        out = out.union(level.withColumn("distance", F.lit(distance)))
-    return out
+    return _below(tree, start.select(F.col("node_id").alias("chosen")), up=True).select(
+        F.col("chosen").alias("start"), F.col("node").alias("node_id"), F.col("depth").alias("distance"))
 
 
-def family_tree(fathers: DataFrame, person: int, limit: int = 64) -> DataFrame:
+def family_tree(fathers: DataFrame, person: int) -> DataFrame:
     """The eldest ancestor of a person and all descendants of that ancestor, with depth (G7). Cycle-safe: a person met
-    before is not followed."""
-    spark = fathers.sparkSession
-    eldest, seen = person, {person}
-    for _ in range(limit):  # one small lookup per generation
-        row = fathers.where(F.col("son") == eldest).select("father").head()
-        if row is None or row[0] in seen:
-            break
-        eldest = row[0]
-        seen.add(eldest)
-    level = spark.createDataFrame([(eldest, None, 0)], "person_id long, father long, depth int")
-    out = level
-    for depth in range(1, limit):
-        level = frozen(fathers.join(level.select(F.col("person_id").alias("father")), "father")
-                       .select(F.col("son").alias("person_id"), "father", F.lit(depth).alias("depth"))
-                       .join(out.select("person_id"), "person_id", "left_anti"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+    before is not followed. ``fathers(son, father)``, one father a son."""
+    start = fathers.sparkSession.createDataFrame([(person,)], "chosen long")
+    eldest = _below(fathers, start, "father", "son", up=True).orderBy(F.desc("depth"), "node").limit(1)
+    found = _below(fathers, eldest.select(F.col("node").alias("chosen")), "father", "son").select(F.col("node").alias("person_id"), "depth")
+    own = fathers.select(F.col("son").alias("person_id"), "father")
+    return found.join(own, "person_id", "left").select("person_id", F.when(F.col("depth") > 0, F.col("father")).alias("father"), "depth")
 
 
 def learning_tree(edges_: DataFrame, roots: DataFrame, depth: int = 3, width: int = 3) -> DataFrame:
@@ -255,8 +229,3 @@ def assign_chapters(reports: DataFrame, starts: DataFrame, key: str = "collectio
 def nodes_by_prefix(tree: DataFrame, prefix: str) -> DataFrame:
     """Nodes whose label begins with a prefix, whatever its case."""
     return tree.where(F.startswith(F.lower("label"), F.lit(prefix.lower())))
-
-
-def first_of(column: str, order: Column) -> Column:
-    """The value of ``column`` at the least ``order``."""
-    return F.min_by(column, order)

@@ -86,13 +86,14 @@ def search_persons(names: DataFrame, queries: DataFrame, uses: DataFrame | None
     return out.join(uses.select("person_id", "links"), "person_id", "left").na.fill(0, ["links"])
 
 
-def rerank(found: DataFrame, people: DataFrame, query: str, featured: DataFrame | None = None) -> DataFrame:
-    """The first 400 matches of one query with the closest first (Q18): tier 0 known by that name and alike, 1 in the
+def rerank(found: DataFrame, people: DataFrame, query: str, featured: DataFrame | None = None, first: int = RERANK) -> DataFrame:
+    """The first ``first`` matches of one query with the closest first, later ones in plain order (Q18): tier 0 known by that name and alike, 1 in the
     name, 2 in words about the person; close spellings ten tiers later, scholars −1, featured persons −100 first; weak
     likeness last. ``found(person_id, score, pass)``, ``people(person_id, known_as, name, reading, scholar)``,
     ``featured(person_id, place)``."""
-    first = found.orderBy(F.desc("score"), "person_id").limit(RERANK)
-    rows = first.join(people, "person_id")
+    ahead = found.orderBy(F.desc("score"), "person_id").limit(first).select("person_id", F.lit(True).alias("_ahead"))
+    rows = found.join(ahead, "person_id", "left").join(people, "person_id")
+    late = F.col("_ahead").isNull()
     asked = normalize(F.lit(query))
     alike = F.greatest(closeness(F.lit(query), F.col("reading")), closeness(F.lit(query), F.col("known_as")))
     begins = F.startswith(normalize(F.col("known_as")), asked)
@@ -102,9 +103,9 @@ def rerank(found: DataFrame, people: DataFrame, query: str, featured: DataFrame
     if featured is not None:
         rows = rows.join(featured, "person_id", "left")
         tier = F.when(F.col("place").isNotNull(), -100 + F.col("place")).otherwise(tier)
-    return (rows.withColumn("alike", alike).withColumn("tier", tier)
-            .withColumn("weak", (F.col("alike") < WEAK_BELOW) & (F.col("tier") > -1))
-            .orderBy("weak", "tier", F.desc(F.round("alike", 1)), F.desc("score"), "person_id"))
+    rows = rows.withColumn("alike", F.when(~late, alike)).withColumn("tier", F.when(~late, tier))
+    return (rows.withColumn("weak", (F.col("alike") < WEAK_BELOW) & (F.col("tier") > -1))
+            .orderBy(F.coalesce("_ahead", F.lit(False)).desc(), "weak", "tier", F.desc(F.round("alike", 1)), F.desc("score"), "person_id").drop("_ahead"))
 
 
 def featured_by_alias(aliases: DataFrame, query: str) -> DataFrame:

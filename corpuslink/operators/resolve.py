@@ -60,17 +60,19 @@ def _in_order(short: Column, long: Column) -> Column:
 def name_candidates(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(name, person_id, tier, way)`` for distinct names (E1): a whole alias, or the same given name and father with the
     other words in order; names nothing fits are tried again without the accusative ending. ``aliases(person_id, alias,
-    tier)``. Names and aliases meet by a key: the whole name, or its first three words."""
+    tier)``. Names and aliases meet by a key: the whole name, or its given name and father."""
     asked = names.select("name").distinct().withColumn("_w", looked_up(F.col("name"))).where(F.size("_w") > 0)
     known = aliases.select("person_id", "tier", looked_up(F.col("alias")).alias("_a")).where(F.size("_a") > 0)
 
     def find(wanted: DataFrame) -> DataFrame:
         exact = wanted.withColumn("_k", F.array_join("_w", " ")).join(known.withColumn("_k", F.array_join("_a", " ")), "_k").select(
             "name", "person_id", "tier", F.lit("name").alias("way"))
-        head = lambda c: F.array_join(F.slice(c, 1, 3), " ")
-        nasab = lambda c: (F.size(c) >= 3) & (F.element_at(F.slice(c, 2, 1), 1) == "بن")
-        longer = known.where(F.size("_a") > 3).withColumn("_k", head(F.col("_a")))
-        within = (wanted.where(F.size("_w") >= 3).where(nasab(F.col("_w"))).withColumn("_k", head(F.col("_w"))).join(longer, "_k")
+        # a given name is one word or two ("Abd Allah"): the head runs to the word after the first "son of"
+        son = lambda c: F.array_position(c, "بن").cast("int")
+        head = lambda c: F.array_join(F.slice(c, 1, son(c) + 1), " ")
+        nasab = lambda c: son(c).between(2, 3) & (F.size(c) > son(c))
+        longer = known.where(nasab(F.col("_a")) & (F.size("_a") > son(F.col("_a")) + 1)).withColumn("_k", head(F.col("_a")))
+        within = (wanted.where(nasab(F.col("_w"))).withColumn("_k", head(F.col("_w"))).join(longer, "_k")
                   .where(_in_order(F.col("_w"), F.col("_a"))).select("name", "person_id", "tier", F.lit("name").alias("way")))
         return exact.union(within).distinct()
 
@@ -125,14 +127,15 @@ def order_bounds(cands: DataFrame, hot: bool | None = None) -> DataFrame:
     return near.select(*SLOT, F.col("low_after").alias("_low"), F.col("high_before").alias("_high"))
 
 
-def monotone(cands: DataFrame, rounds: int = 20, hot: bool | None = None) -> DataFrame:
+def monotone(cands: DataFrame, rounds: int | None = None, hot: bool | None = None) -> DataFrame:
     """Generations never grow towards the origin (E5): candidates outside their neighbours' bounds go, again and again
-    until nothing changes."""
+    until nothing changes (or for ``rounds``)."""
     state, before = frozen(cands), -1
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         g = F.col("generation")
         fits = g.isNull() | ((F.col("_low").isNull() | (F.col("_low") <= g)) & (F.col("_high").isNull() | (F.col("_high") >= g)))
-        state = frozen(keep_if_any(state.join(order_bounds(state, hot), SLOT), fits).select(*cands.columns))
+        state = frozen(keep_if_any(state.join(order_bounds(state, hot), SLOT), fits).select(*cands.columns), state)
         now = state.count()
         if now == before:
             break
@@ -342,12 +345,14 @@ def father_pairs(results: DataFrame, cands: DataFrame, links: DataFrame, fathers
     return best.where(alone | seen).select(*SLOT, "_x.son", "_x.father")
 
 
-def drop_impossible(results: DataFrame, persons: DataFrame, rules: Rules = Rules(), rounds: int = 20) -> DataFrame:
+def drop_impossible(results: DataFrame, persons: DataFrame, rules: Rules = Rules(), rounds: int | None = None) -> DataFrame:
     """Pairs that cannot be (E15): a person who is his own teacher, a teacher four generations later or six earlier, or who
     died eighty years later. The less certain of the two is left open; on a tie the teacher, except at the first link.
-    One pair of a chain at a time, until none is left."""
+    One pair of a chain at a time, until none is left (or for ``rounds``)."""
     facts = persons.select("person_id", "generation", "death_year")
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         known = results.join(facts, "person_id", "left")
         after = known.select("chain_id", (F.col("position") - 1).alias("position"), F.col("person_id").alias("_t"), F.col("confidence").alias("_ct"),
                              F.col("generation").alias("_gt"), F.col("death_year").alias("_dt"))

@@ -112,7 +112,7 @@ def graph_tree_closure(spark, d):
     c.path || '/' || lpad(CAST(n.ordinal AS VARCHAR), 12, '0') || ':' || n.node_id, depth + 1
     FROM c JOIN nodes n ON n.parent_id = c.node_id) SELECT node_id, kind, label, path, depth FROM c""")
 def graph_reading_order(spark, d):
-    return G.reading_order(X.nodes(spark, d), levels=4)
+    return G.reading_order(X.nodes(spark, d))
 
 
 @query("graph_child_counts", "nodes", """SELECT parent_id AS node_id, count(*) AS children,

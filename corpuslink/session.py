@@ -17,27 +17,45 @@ WANTED = {
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """The session with adaptive execution and skew-join splitting on."""
+    """The session with adaptive execution and skew-join splitting on, where it has not been told otherwise."""
+    said = spark.conf.getAll
     for key, value in WANTED.items():
-        if spark.conf.get(key, None) != value:
+        if key not in said:
             spark.conf.set(key, value)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a local session, whose executors share the
+    driver's disk, gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-corpuslink-", dir="/tmp"))
 
 
-def frozen(df: DataFrame) -> DataFrame:
+def frozen(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` written to a table in the shared checkpoint folder and read back: lineage ends here, a lost
     executor costs nothing, and each row is computed once. Used by iterative jobs, and wherever a partition number must
-    not change between two uses."""
+    not change between two uses. ``instead_of``: the table of the round before, which nothing else reads; it is removed
+    once the new one is written."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/frozen-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        removed(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._frozen_at = path
+    return out
+
+
+def removed(table: DataFrame) -> None:
+    """Delete a frozen table; any other table is left as it is."""
+    path = getattr(table, "_frozen_at", None)
+    if path is not None:
+        context = table.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
