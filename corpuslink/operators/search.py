@@ -90,18 +90,18 @@ def spellings(vocab: DataFrame, terms: DataFrame, near: str = "") -> DataFrame:
     """The spellings a term stands for (Q6, Q7): ``(query_id, term, alt)``, the 30 most frequent of the words a
     wildcard fits; with ``near`` = "unknown" also those one letter from a word of no text, with "all" from any word. A
     term nothing fits stands for itself. ``terms(query_id, term)`` is the side that is small; the vocabulary is
-    joined by length first, then compared."""
+    met by keys (words with one letter left out, the fixed beginning of a pattern), then compared."""
     wild = F.col("term").rlike("[?؟*]")
     known = vocab.select(F.col("word").alias("term"), F.lit(True).alias("_known"))
     marked = terms.join(known, "term", "left").withColumn("_near", ~wild & (F.length("term") >= NEAR_LENGTH) & (
         F.lit(near == "all") | (F.lit(near == "unknown") & F.col("_known").isNull())))
-    by_pattern = (marked.where(wild).withColumn("_p", wildcard_pattern(F.col("term")))
-                  .join(vocab, F.expr("word rlike _p")).select("query_id", "term", F.col("word").alias("alt"), "n"))
-    band = marked.where("_near").withColumn("_len", F.explode(F.sequence(F.length("term") - 1, F.length("term") + 1)))
-    close = (band.join(vocab.withColumn("_len", F.length("word")), "_len")
-             .where((F.length("word") >= NEAR_LENGTH) & (F.col("word") != F.col("term"))
-                    & (F.levenshtein("term", "word", 1) >= 0))
-             .select("query_id", "term", F.col("word").alias("alt"), "n"))
+    patterns = marked.where(wild).withColumn("_p", wildcard_pattern(F.col("term")))
+    by_pattern = _opened(patterns, vocab).select("query_id", "term", F.col("word").alias("alt"), "n")
+    # words one letter apart have a common form among themselves and themselves with one letter left out
+    close = (marked.where("_near").select("query_id", "term", F.explode(_left_out(F.col("term"))).alias("_key")).distinct()
+             .join(vocab.where(F.length("word") >= NEAR_LENGTH - 1).select("word", "n", F.explode(_left_out(F.col("word"))).alias("_key")).distinct(), "_key")
+             .where((F.length("word") >= NEAR_LENGTH) & (F.col("word") != F.col("term")) & (F.levenshtein("term", "word", 1) >= 0))
+             .select("query_id", "term", F.col("word").alias("alt"), "n").distinct())
     best = top_within(by_pattern.union(close), ["query_id", "term"], [F.desc("n"), F.asc("alt")], SPELLINGS)
     itself = marked.where(~wild).select("query_id", "term", F.col("term").alias("alt"))
     none = (marked.where(wild).select("query_id", "term").join(best.select("query_id", "term"), ["query_id", "term"], "left_anti")
@@ -109,6 +109,36 @@ def spellings(vocab: DataFrame, terms: DataFrame, near: str = "") -> DataFrame:
     return best.select("query_id", "term", "alt").union(itself).union(none).distinct()
 
 
+def _left_out(word: Column) -> Column:
+    """The word, and the word without each of its letters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(word), F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))))
+
+
+def _opened(patterns: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Patterns with the words that fit them: met by the fixed letters before the first wildcard, up to three. Only a pattern
+    that begins with a wildcard is held against every word."""
+    fixed = F.least(F.length(F.regexp_extract("term", "^([^?؟*]*)", 1)), F.lit(3))
+    keyed = patterns.withColumn("_k", fixed).withColumn("_head", F.substr("term", F.lit(1), fixed))
+    heads = vocab.select("word", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("_k")).where(F.length("word") >= F.col("_k"))
+    heads = heads.withColumn("_head", F.substr("word", F.lit(1), F.col("_k")))
+    met = keyed.where("_k > 0").join(heads, ["_k", "_head"]).where(F.expr("word rlike _p")).select(*patterns.columns, "word", "n")
+    return met.unionByName(patterns.join(keyed.where("_k = 0").select("query_id", "term"), ["query_id", "term"], "left_semi").join(vocab, F.expr("word rlike _p"))
+                           .select(*patterns.columns, "word", "n"))
+
+
+def holding(pieces: DataFrame, parts: DataFrame) -> DataFrame:
+    """The words of ``pieces`` (word) that contain each of ``parts`` (part): (part, word). They meet by the part's first three
+    letters (all of a shorter part), then are compared."""
+    size = F.least(F.length("part"), F.lit(3))
+    asked_ = parts.select("part").distinct().where("part <> ''").withColumn("_size", size).withColumn("_gram", F.substr("part", F.lit(1), size))
+    sizes = asked_.select("_size").distinct()
+    grams = pieces.select("word").distinct().join(sizes, F.length("word") >= F.col("_size"))  # at most three sizes
+    places = F.sequence(F.lit(1), F.length("word") - F.col("_size") + 1)
+    grams = grams.select("word", "_size", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("word", i, F.col("_size"))))).alias("_gram"))
+    return asked_.join(grams, ["_size", "_gram"]).where(F.contains("word", F.col("part"))).select("part", "word")
+
+
 # ------------------------------------------------------------------ matching one query
 def _quoted(term: str) -> str:
     return re.sub(r"([\\.\[\]{}()+*?^$|])", r"\\\1", term)
@@ -190,9 +220,9 @@ def search_many(texts: DataFrame, vocab: DataFrame, terms: DataFrame) -> DataFra
         levels = alts if levels is None else levels.union(alts)
     postings = texts.select("report_id", F.explode(F.array_distinct(blank_split(F.col("norm")))).alias("word"))
     pieces = postings.select("word").distinct()
-    holding = pieces.join(levels, F.expr("contains(word, alt)")).select("query_id", "level", "term", "word").distinct()
+    held = holding(pieces, levels.select(F.col("alt").alias("part"))).withColumnRenamed("part", "alt").join(levels, "alt").select("query_id", "level", "term", "word").distinct()
     needed = levels.groupBy("query_id", "level").agg(F.countDistinct("term").alias("_needed"))
-    hits = (holding.join(postings, "word").select("query_id", "level", "report_id", "term").distinct()
+    hits = (held.join(postings, "word").select("query_id", "level", "report_id", "term").distinct()
             .groupBy("query_id", "level", "report_id").agg(F.count(F.lit(1)).alias("_found"))
             .join(needed, ["query_id", "level"]).where(F.col("_found") == F.col("_needed")))
     first = hits.groupBy("query_id").agg(F.min("level").alias("level"))
@@ -203,17 +233,24 @@ def phrases_in_texts(phrases: DataFrame, texts: DataFrame, whole_words: bool = T
     """(phrase_id, report_id) where a text holds a phrase's words in order, whatever stands between (Q4 for a table
     of phrases). ``phrases(phrase_id, norm)``, ``texts(report_id, norm)``.
 
-    Each phrase is looked up by the rarest of its words that must be whole; only texts holding that word are compared."""
+    Each phrase is looked up by the rarest of its words that must be whole, or by the words that hold its longest part; only
+    texts holding one are compared."""
     spoken = phrases.select("phrase_id", words(F.col("norm")).alias("_w")).where(F.size("_w") > 0)
-    inner = F.col("_w") if whole_words else F.when(F.size("_w") > 2, F.slice(F.col("_w"), 2, F.size("_w") - 2)).otherwise(F.col("_w"))
-    asked = spoken.select("phrase_id", F.explode(F.array_distinct(inner)).alias("word"))
     lines = texts.select("report_id", words(F.col("norm")).alias("_t"))
     postings = lines.select("report_id", F.explode(F.array_distinct("_t")).alias("word"))
+    inner = F.col("_w") if whole_words else F.when(F.size("_w") > 2, F.slice(F.col("_w"), 2, F.size("_w") - 2)).otherwise(F.array().cast("array<string>"))
+    asked = spoken.select("phrase_id", F.explode(F.array_distinct(inner)).alias("word"))
     wanted = postings.join(asked.select("word").distinct(), "word", "left_semi")
+    if not whole_words:
+        # a phrase of one or two words has edges only: the words that hold its longer one stand for it
+        edges = spoken.where(F.size("_w") <= 2).select("phrase_id", F.element_at(F.array_sort("_w", lambda a, b: F.length(b) - F.length(a)), 1).alias("part"))
+        held = holding(postings.select("word"), edges)
+        edge_pairs = edges.join(held, "part").join(postings, "word").select("phrase_id", "report_id").distinct()
     counts = wanted.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (asked.join(counts, "word", "left").groupBy("phrase_id")
               .agg(F.min_by("word", F.struct(F.coalesce("_df", F.lit(0)), F.col("word"))).alias("word")))
     pairs = rarest.join(wanted, "word").select("phrase_id", "report_id")
+    pairs = pairs if whole_words else pairs.union(edge_pairs)
     edge = F.lit(" ") if whole_words else F.lit("")
     said = spoken.select("phrase_id", F.concat(edge, F.array_join("_w", " "), edge).alias("_p"))
     line = lines.select("report_id", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_line"))

@@ -9,19 +9,21 @@ from corpuslink.operators import people as P
 from corpuslink.operators import search as S
 from corpuslink.plans import fixtures as X
 from corpuslink.queries.corpus import report_ratings
+from corpuslink.plans.stored import stored
 from corpuslink.queries.registry import query
-from corpuslink.queries.text import NORM, normed
+from corpuslink.queries.text import NORM, folded, normed
 
 VOCAB = r"v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(norm, '[\p{L}\p{N}_]+')) AS word FROM n) GROUP BY 1)"
 
 
 def vocab(spark, d):
-    return S.vocabulary(normed(spark, d))
+    """The stored table of words (Q3)."""
+    return stored(spark, "words", X.table(spark, d, "documents"), lambda: S.vocabulary(normed(spark, d)))
 
 
 @query("search_vocabulary", "reports", f"{NORM}, {VOCAB} SELECT word, n FROM v")
 def search_vocabulary(spark, d):
-    return vocab(spark, d)
+    return S.vocabulary(folded(spark, d))
 
 
 @query("search_vocabulary_merged", "reports", f"{NORM}, {VOCAB} SELECT word, n FROM v")
@@ -60,7 +62,7 @@ def search_trigram_candidates(spark, d):
 
 def hits(spark, d, **kw):
     texts = normed(spark, d)
-    return S.search(texts, S.vocabulary(texts), S.SearchParams(**kw))[0].select("report_id", "collection", "language")
+    return S.search(texts, vocab(spark, d), S.SearchParams(**kw))[0].select("report_id", "collection", "language")
 
 
 HIT = " SELECT report_id, collection, language FROM n WHERE "
@@ -139,7 +141,7 @@ MANY_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, '{t}')" for q,
       WHERE y.query_id = h.query_id)""")
 def search_ladder(spark, d):
     texts = normed(spark, d)
-    return S.search_many(texts, S.vocabulary(texts), spark.createDataFrame(MANY, "query_id int, term string"))
+    return S.search_many(texts, vocab(spark, d), spark.createDataFrame(MANY, "query_id int, term string"))
 
 
 @query("search_passages", "reports passages", NORM + r""", t AS (SELECT report_id, ' ' || array_to_string(
@@ -152,6 +154,16 @@ def search_passages(spark, d):
     return S.phrases_in_texts(phrases, normed(spark, d))
 
 
+@query("search_parts", "reports", NORM + r""", p AS (SELECT DISTINCT substr(string_split(p_name, ' ')[1], 2, CAST(2 + p_partkey % 4 AS INTEGER)) AS said FROM part),
+    t AS (SELECT report_id, ' ' || array_to_string(regexp_extract_all(norm, '[\p{L}\p{N}_]+'), ' ') || ' ' AS line FROM n)
+    SELECT said AS phrase_id, count(*) AS texts FROM p JOIN t ON contains(line, said) WHERE said <> '' GROUP BY 1""")
+def search_parts(spark, d):
+    """Parts of words looked up through the words that hold them."""
+    said = X.table(spark, d, "part").select(F.expr("substring(split(p_name, ' ')[0], 2, int(2 + p_partkey % 4))").alias("norm")).distinct()
+    found = S.phrases_in_texts(said.select(F.col("norm").alias("phrase_id"), "norm"), normed(spark, d), whole_words=False)
+    return found.groupBy("phrase_id").agg(F.count("*").alias("texts"))
+
+
 WORDING = {4: "Sahih", 3: "Hasan", 2: "Daif", 1: "Daif Jiddan", 0: "Mawdu"}
 WORDING_B = {4: "صحيح", 3: "حسن", 2: "موثق", 1: "ضعيف", 0: "كالسابق"}
 
@@ -244,7 +256,7 @@ def search_assembled(spark, d):
     SELECT unnest(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+')) FROM n WHERE EXISTS (SELECT 1 FROM a x WHERE contains(norm, x.word)))""")
 def search_spelling_report(spark, d):
     texts = normed(spark, d)
-    found, terms = S.search(texts, S.vocabulary(texts), S.SearchParams("sch*"))
+    found, terms = S.search(texts, vocab(spark, d), S.SearchParams("sch*"))
     return S.spelling_report(found, terms)
 
 
