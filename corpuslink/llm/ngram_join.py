@@ -163,13 +163,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     full = sets.where("n > 0")
     reps = frozen(full.groupBy("variant").agg(F.min("row").alias("row"), F.min("group").alias("group"), F.min("n").alias("n")))
     members = reps.groupBy("group").agg(F.min("variant").alias("lead"), F.count("*").alias("variants"))
-    posted = full.select("group", "n", "head").dropDuplicates(["group"]).select("group", "n", F.posexplode("head").alias("place", "shingle"))
+    posted = full.select("group", "n", "head").dropDuplicates(["group"]).select("group", "n", F.size("head").alias("held"), F.posexplode("head").alias("place", "shingle"))
     posted = frozen(posted)
 
-    # shingles of one group join nothing
-    first = F.min(F.struct("n", "group", "place")).alias("first")
-    lists = posted.groupBy("shingle").agg(F.count("*").alias("groups"), first).where("groups > 1").select("shingle", "first")
-    shared = frozen(posted.join(lists, "shingle").select("shingle", "group", "n", "place", "first"))
+    # shingles of one group join nothing; of the others each group meets the group most of whose head others hold too, which
+    # in a family of copies is the text that they were made from
+    lists = posted.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle")
+    shared = frozen(posted.join(lists, "shingle"))
+    common = shared.groupBy("group").agg((F.count("*") / F.max("held")).alias("common"))
+    first = F.min(F.struct((-F.col("common")).alias("own"), "n", "group", "place")).alias("first")
+    firsts = frozen(shared.join(common, "group").groupBy("shingle").agg(first))
+    shared = frozen(shared.drop("held").join(firsts, "shingle"))
     meet = shared.where("group <> first.group").where(_may_link("n", "first.n", "place", "first.place", percent)).select("group", F.col("first.group").alias("to")).distinct()
     leads = members.select(F.col("group").alias("to"), F.col("lead").alias("b"))
     across = meet.join(leads, "to").join(reps.select("group", F.col("variant").alias("a")), "group").select("a", "b")
