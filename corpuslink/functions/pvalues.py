@@ -62,8 +62,8 @@ def t_tails(t: float, df: float) -> float:
     if df <= 0:
         return 1.0
     if df > 1e7:
-        return 2 * normal_tail(abs(t))
-    return min(1.0, beta_share(df / (df + t * t), df / 2, 0.5))
+        return 2 * normal_tail(abs(float(t)))
+    return float(min(1.0, beta_share(df / (df + t * t), df / 2, 0.5)))
 
 
 @F.pandas_udf(DoubleType())
