@@ -271,13 +271,13 @@ def resolve_incremental(spark, d):
 
 
 @query("resolve_list_linkage", "", """e AS (SELECT p_partkey AS entry_id, p_name || ' ' || p_type AS n, p_size * 5 AS y FROM part), p AS (SELECT p_partkey + 100000 AS person_id, p_name || ' ' || p_type AS n,
-    p_size * 5 + CAST(floor(p_retailprice) AS INTEGER) % 7 AS y FROM part WHERE p_size > 40) SELECT entry_id, min(person_id) AS person_id, 2 AS depth FROM e JOIN p ON e.n = p.n AND abs(e.y - p.y) <= 3
+    p_size * 5 + CAST(floor(p_retailprice) AS INTEGER) % 7 AS y FROM part) SELECT entry_id, min(person_id) AS person_id, 2 AS depth FROM e JOIN p ON e.n = p.n AND abs(e.y - p.y) <= 3
     GROUP BY entry_id HAVING count(*) = 1""")
 def resolve_list_linkage(spark, d):
     part = X.table(spark, d, "part")
     name = F.concat_ws(" ", "p_name", "p_type")
     entries = part.select(F.col("p_partkey").alias("entry_id"), name.alias("name"), (F.col("p_size") * 5).alias("year"))
-    persons = part.where("p_size > 40").select((F.col("p_partkey") + 100000).alias("person_id"), name.alias("name"),
+    persons = part.select((F.col("p_partkey") + 100000).alias("person_id"), name.alias("name"),
                                                (F.col("p_size") * 5 + F.floor("p_retailprice").cast("int") % 7).alias("death_year"))
     return E.link_list(entries, persons)
 

@@ -350,8 +350,8 @@ def corpus_roles_present(spark, d):
                            pick("part", "p_partkey", F.col("p_size") > 25))
 
 
-@query("corpus_alias_owners", "links", """a AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS alias, l_suppkey AS person_id
-    FROM lineitem WHERE l_quantity >= 49),
+@query("corpus_alias_owners", "links", """a AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS alias, l_suppkey AS person_id
+    FROM lineitem),
     u AS (SELECT person_id, count(*) AS links FROM links WHERE person_id IS NOT NULL GROUP BY 1),
     h AS (SELECT alias, person_id, coalesce(links, 0) AS links, row_number() OVER (PARTITION BY alias
     ORDER BY coalesce(links, 0) DESC, person_id) AS rn, count(*) OVER (PARTITION BY alias) AS holders,
@@ -359,7 +359,7 @@ def corpus_roles_present(spark, d):
     USING (person_id)) SELECT alias, person_id, links, holders FROM h WHERE rn = 1 AND (holders = 1 OR (links >= 10
     AND links >= 2 * nxt))""")
 def corpus_alias_owners(spark, d):
-    aliases = X.table(spark, d, "lineitem").where("l_quantity >= 49").select(
-        F.col("l_partkey").cast("string").alias("alias"), F.col("l_suppkey").alias("person_id")).distinct()
+    aliases = X.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("alias"), F.col("l_suppkey").alias("person_id")).distinct()
     uses = C.use_counts(X.person_uses(spark, d), X.persons(spark, d))
     return C.alias_owners(aliases, uses)

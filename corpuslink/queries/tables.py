@@ -27,10 +27,10 @@ def ingest_ratings_from(spark, d):
 
 
 @query("ingest_resolve_refs", "reports_o", """SELECT 'book:' || collection AS chapter, row_number() OVER (PARTITION BY collection ORDER BY l_orderkey) AS ordinal, report_id, CAST(l_orderkey AS VARCHAR) AS number FROM (
-    SELECT DISTINCT l_orderkey, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45) JOIN reports_o ON report_id = l_orderkey WHERE o_orderpriority < '4'""")
+    SELECT DISTINCT l_orderkey, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey) JOIN reports_o ON report_id = l_orderkey WHERE o_orderpriority < '4'""")
 def ingest_resolve_refs(spark, d):
-    # references to reports that have a large line; the collection is named wrongly for the two last priorities
-    asked = X.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("report_id")).distinct()
+    # references to reports that have lines; the collection is named wrongly for the two last priorities
+    asked = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id")).distinct()
     named = asked.join(X.reports_o(spark, d), "report_id").join(X.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), "o_orderpriority"), "report_id")
     refs = named.select(F.col("report_id").alias("place"), F.when(F.col("o_orderpriority") < "4", F.col("collection")).otherwise("nowhere").alias("collection"),
                         F.col("report_id").cast("string").alias("number"))

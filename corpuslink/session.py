@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that let Spark split hot keys at run time. Each is set only where the session has not set it.
+# Settings that let Spark split hot keys at run time, and keep the batches of long texts that pass to Python small. Each is
+# set only where the session has not set it.
 WANTED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

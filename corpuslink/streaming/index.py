@@ -10,13 +10,28 @@ from corpuslink.functions.text import normalize
 from corpuslink.operators.search import trigrams, vocabulary
 
 
+def _stored_ids(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """The ids that other batches have stored."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/text_norm")
+    if not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(f"{folder}/text_norm").where(F.col("batch") != batch_id).select("report_id")
+
+
 def append_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
-    """One batch's normalised texts, trigrams and word counts, each in a folder named by the batch: a batch done again
-    after a failure writes the same folder again."""
-    normed = batch.withColumn("norm", normalize(F.col("text"))).persist()
+    """One batch's new texts, folded, with their trigrams and word counts, each in a folder named by the batch: a batch done
+    again after a failure writes the same folder again. Texts stored before are left out by a join with the stored ids, so
+    that the stream itself keeps no state."""
+    spark = batch.sparkSession
+    stored = _stored_ids(spark, folder, batch_id)
+    fresh = batch.dropDuplicates(["report_id"])
+    fresh = fresh if stored is None else fresh.join(stored, "report_id", "left_anti")
+    normed = fresh.withColumn("norm", normalize(F.col("text"))).persist()
     try:
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-        write(normed.select("report_id", "language", "norm"), "text_norm")
+        kept = [c for c in ("report_id", "collection", "language", "norm") if c in normed.columns]
+        write(normed.select(*kept), "text_norm")
         write(trigrams(normed), "trigrams")
         write(vocabulary(normed), "words")
     finally:
@@ -24,9 +39,9 @@ def append_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def index_stream(spark: SparkSession, arriving: str, schema, folder: str, checkpoint: str, form: str = "parquet") -> StreamingQuery:
-    """Index every file that has arrived since the last run, then stop (available-now). Texts seen before are dropped by
+    """Index every file that has arrived since the last run, then stop (available-now). Texts seen before are left out by
     ``report_id``."""
-    texts = spark.readStream.schema(schema).format(form).load(arriving).dropDuplicates(["report_id"])
+    texts = spark.readStream.schema(schema).format(form).load(arriving)
     return (texts.writeStream.foreachBatch(lambda df, i: append_batch(df, folder, i)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
