@@ -60,7 +60,23 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-@query("op3_secrets")
+@query("op3_secrets", r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, source, 0 AS rank, 'assign' AS kind, 8 AS least, string_split_regex(text, p) AS parts, regexp_extract_all(text, p, 0) AS whole, regexp_extract_all(text, p, 2) AS vals
+    FROM (SELECT *, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p FROM t)
+    UNION ALL SELECT doc_id, source, 1, 'access', 16, string_split_regex(text, p), regexp_extract_all(text, p, 0), regexp_extract_all(text, p, 0) FROM (SELECT *, 'AKIA[A-Z0-9]+' AS p FROM t)
+    UNION ALL SELECT doc_id, source, 2, 'hex', 32, string_split_regex(text, p), regexp_extract_all(text, p, 0), regexp_extract_all(text, p, 0) FROM (SELECT *, '[0-9a-f]+' AS p FROM t)
+    UNION ALL SELECT doc_id, source, 3, 'opaque', 20, string_split_regex(text, p), regexp_extract_all(text, p, 0), regexp_extract_all(text, p, 0) FROM (SELECT *, '[A-Za-z0-9+/_-]{20,}' AS p FROM t)),
+h AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m WHERE list_max(list_transform(vals, lambda v: length(v))) >= least),
+s AS (SELECT doc_id, source, rank, kind, vals[i] AS value, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start,
+    length(whole[i]) AS n FROM h WHERE length(vals[i]) >= least),
+g AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM s WHERE rank < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]'))),
+o AS (SELECT value, count(DISTINCT source) AS owners FROM g GROUP BY 1),
+r AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, rank, n) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank, n) FILTER (rank < 3 OR owners = 1) AS spans,
+    count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners > 1) AS n_copied FROM g JOIN o USING (value) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN r USING (doc_id)""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's secret spans; a source is an owner, a document a repository."""
     found = secrets.scan(table(spark, folder, "documents", "doc_id", "text", "source"))
