@@ -20,28 +20,31 @@ ORACLE_SQL = None
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by a grammar learnt from the labelled ones among them (never from held-out ids)."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    labels = tuned(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.not_toxic(docs, toxicity.fit(toxicity.labelled(docs, labels)))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space the longest, then of smallest id."""
+    tuned(spark)
     return exact_dedup.without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked by a Jaccard similarity of 0.8 over five-word shingles the one of smallest id."""
+    tuned(spark)
     return ngram_join.one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a test item occurs."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    items = tuned(spark).read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.without_hits(docs, items, "documents")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    tuned(spark)
     return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

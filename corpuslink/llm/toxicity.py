@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from corpuslink.session import frozen
 
 SAMPLE = 12_000
+# features a task holds before it hands their counts on
+HELD = 200_000
 STEM_FROM, STEM_TO = 4, 8
 # a feature is worth its newly explained toxic texts less COST times its clean ones, and is learnt if that is at least LEAST
 # and SHARE of the toxic texts
@@ -206,12 +208,19 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def summary() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())],
+                                              ["feature", "toxic", "clean"])
+
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic == 1].update(features(text))
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())],
-                                         ["feature", "toxic", "clean"])
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts[toxic == 1].update(features(text.as_py()))
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield summary()
+                    counts = (Counter(), Counter())
+        yield summary()
 
     counted = rows.select("text", "toxic").mapInArrow(run, "feature string, toxic bigint, clean bigint")
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
