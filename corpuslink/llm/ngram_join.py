@@ -8,9 +8,12 @@ changes the speed: any one order is exact.
 Texts with equal sets are one variant, and variants with an equal head and size are one group: only groups are posted under
 their heads' shingles. Candidates are found in two rounds. First every group of a shingle meets that shingle's first group
 alone, its members are expanded and verified, and the links are put together to classes; a class of near copies of any size
-costs one candidate a member and shingle. Then, for shingles that still join different classes, all group pairs of different
-classes that pass the size and position filters are expanded and verified as well. Pairs within a class cannot change the
-classes, so none that matters is left out; there is no cap. Verification counts the shared shingles of the two texts.
+costs one candidate a member and shingle. Then, for shingles that still join different classes, all pairs of variants of
+different classes are verified as well that pass the size, position and parity filters. Pairs within a class cannot change
+the classes, so none that matters is left out; there is no cap. Verification counts the shared shingles of the two texts.
+
+The parity filter compares bit fields in which every shingle of a set turns one bit: two fields differ in at most as many
+bits as the sets differ in shingles, so a pair whose fields differ in more than linked sets may can be left out safely.
 
 Defined cases: a null text, and one without words, has an empty set and links with nothing; a text shorter than a shingle is
 one shingle; repeated rows are texts of their own with equal sets; a null id is never the smallest unless all are null; an
@@ -32,7 +35,8 @@ from corpuslink.session import frozen
 
 WORDS, PERCENT = 5, 80
 CROWDED = 200_000
-CHUNK, OFTEN = 2_000_000, 4
+CHUNK, OFTEN = 1_000_000, 4
+BITS = 1024
 
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
@@ -87,16 +91,19 @@ def crowded(texts: DataFrame, size: int, most: int = CROWDED) -> tuple[np.ndarra
 
 
 def heads(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(row, id, n, one, two, head): every text's set by its size and a 128-bit sum, and the head of the ordered set."""
+    """(row, id, n, one, two, head, bits): every text's set by its size, a 128-bit sum and its parity field, and the head of the
+    ordered set."""
     shared = texts.sparkSession.sparkContext.broadcast(crowded(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = shared.value
         for batch in batches:
-            n, one, two, head = [], [], [], []
+            n, one, two, head, bits = [], [], [], [], []
             for _, _, words in words_of(batch.column(2), NOT_WHITE, True):
                 for own in shingle_sets(words, size):
                     n.append(len(own))
+                    parity = np.bincount((own & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                    bits.append(np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8"))
                     with np.errstate(over="ignore"):
                         one.append(int(signed(mixed(own).sum(keepdims=True, dtype=U64))[0]))
                         two.append(int(signed(mixed(own ^ U64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U64))[0]))
@@ -111,10 +118,11 @@ def heads(texts: DataFrame, size: int, percent: int) -> DataFrame:
                     else:
                         head.append(signed(own[:need]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                              pa.array(head, pa.list_(pa.int64()))], ["row", "id", "n", "one", "two", "head"])
+                                              pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                                             ["row", "id", "n", "one", "two", "head", "bits"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, n int, one bigint, two bigint, head array<bigint>")
+    return texts.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, n int, one bigint, two bigint, head array<bigint>, bits array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -122,8 +130,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, size: int, pe
     pairs = frozen(pairs)
     sides = pairs.select(F.explode(F.array("a", "b")).alias("variant")).distinct()
     wanted = frozen(sides.join(reps, "variant").select("variant", "row"))
-    named = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "row").dropDuplicates(["variant"]).select("variant", "text")
-    named = frozen(named)
+    n = wanted.count()
+    named = frozen(texts.join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted, "row").select("variant", "text"))
+    if named.count() > n:  # rows that stand in the table more than once
+        named = frozen(named.dropDuplicates(["variant"]), named)
     both = pairs.join(named.select(F.col("variant").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(named.select(F.col("variant").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -153,6 +163,12 @@ def _may_link(n: str, m: str, i: str, j: str, percent: int) -> str:
             f"{100 + percent} * (1 + least({n} - {i} - 1, {m} - {j} - 1)) >= {percent} * ({n} + {m})")
 
 
+def _differ_little(x: str, y: str, n: str, m: str, percent: int) -> str:
+    """Parity filter: sets of n and m that link differ in at most (100 - percent) / (100 + percent) of n + m shingles."""
+    apart = f"aggregate(zip_with({x}, {y}, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b)"
+    return f"{100 + percent} * {apart} <= {100 - percent} * ({n} + {m})"
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
@@ -161,7 +177,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = heads(texts, words, percent)
     sets = frozen(sets.withColumn("variant", F.xxhash64("n", "one", "two")).withColumn("group", F.xxhash64("n", "head")).drop("one", "two"))
     full = sets.where("n > 0")
-    reps = frozen(full.groupBy("variant").agg(F.min("row").alias("row"), F.min("group").alias("group"), F.min("n").alias("n")))
+    reps = frozen(full.groupBy("variant").agg(F.min("row").alias("row"), F.min("group").alias("group"), F.min("n").alias("n"), F.first("bits").alias("bits")))
     members = reps.groupBy("group").agg(F.min("variant").alias("lead"), F.count("*").alias("variants"))
     posted = full.select("group", "n", "head").dropDuplicates(["group"]).select("group", "n", F.size("head").alias("held"), F.posexplode("head").alias("place", "shingle"))
     posted = frozen(posted)
@@ -178,7 +194,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     leads = members.select(F.col("group").alias("to"), F.col("lead").alias("b"))
     across = meet.join(leads, "to").join(reps.select("group", F.col("variant").alias("a")), "group").select("a", "b")
     within = reps.join(members.where("variants > 1"), "group").where("variant <> lead").select(F.col("variant").alias("a"), F.col("lead").alias("b"))
-    tried = frozen(across.unionByName(within).distinct())
+    fields = reps.select("variant", "n", "bits")
+    tried = frozen(across.unionByName(within).distinct().join(fields.select(F.col("variant").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_x")), "a")
+                   .join(fields.select(F.col("variant").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_y")), "b")
+                   .where(_differ_little("_x", "_y", "_n", "_m", percent)).select("a", "b"))
     links = frozen(_verified(tried, texts, reps, words, percent))
     found = components(links)
 
@@ -189,9 +208,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     within = of.join(members.where("variants > 1").select("group"), "group").select(F.col("group").alias("shingle"), "group", F.lit(0).alias("place"), "variant", "n", "class")
     lists = frozen(lists.select("shingle", "group", "place", "variant", "n", "class").unionByName(within))
     open_ = lists.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
-    lists = frozen(lists.join(open_, "shingle"))
+    lists = frozen(lists.join(open_, "shingle").join(fields.select("variant", "bits"), "variant"))
     x, y = lists.alias("x"), lists.alias("y")
-    pairs = x.join(y, F.expr("x.shingle = y.shingle AND x.class < y.class AND " + _may_link("x.n", "y.n", "x.place", "y.place", percent)))
+    pairs = x.join(y, F.expr("x.shingle = y.shingle AND x.class < y.class AND " + _may_link("x.n", "y.n", "x.place", "y.place", percent)
+                            + " AND " + _differ_little("x.bits", "y.bits", "x.n", "y.n", percent)))
     pairs = pairs.select(F.col("x.variant").alias("a"), F.col("y.variant").alias("b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = frozen(_verified(pairs, texts, reps, words, percent))

@@ -1,7 +1,7 @@
 """Words of many texts at once, as numpy arrays over the bytes of an Arrow column.
 
 A text's bytes are UTF-8, and every rule here speaks of single ASCII characters, so that a byte above 0x7F always belongs
-to a word and no character is ever cut. Texts are worked on in pieces of some megabytes (one text is never divided), so a
+to a word and no character is ever cut. Texts are worked on in pieces of half a megabyte (one text is never divided), so a
 task's memory follows its longest text, not its partition."""
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 U64 = np.uint64
 
 
