@@ -8,7 +8,8 @@ many neighbouring candidates, so the first level handles a small part of all pos
 
 Each level is one aggregate over hashes, combined before its shuffle: a window that a third of all rows hold is one row per
 task. What comes back are only the places of windows seen once, by text; a text's places are at most its own words. Texts
-that lost all candidates are not read again. Windows are told apart by 96 bits of hash.
+that lost all candidates are not read again. Windows of the full length are told apart by 96 bits of hash, shorter ones by 64
+(there a collision only keeps a candidate for the next level).
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; repeated rows are texts of their own and
 repeat each other; overlapping repeats of a text with itself count; an empty table gives an empty table; other columns are
@@ -89,8 +90,9 @@ def _places(column: pa.Array, row: int, stop: int) -> list[np.ndarray]:
 
 
 def _occurrences(texts: DataFrame, size: int, lengths: list[int], level: int) -> DataFrame:
-    """(code, more, row, place, chosen) of what the candidates left in ``texts`` (row, text, once_0 …) choose at ``level``;
-    ``chosen`` is how many choices the text has."""
+    """(code, row, place) of what the candidates left in ``texts`` (row, text, once_0 …) choose at ``level``. The first level
+    has also ``chosen``, how many choices the text has; the last also ``more``, further bits of the hash."""
+    extra = (["chosen"] if level == 0 else []) + (["more"] if level == len(lengths) - 1 else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,13 +105,14 @@ def _occurrences(texts: DataFrame, size: int, lengths: list[int], level: int) ->
                     continue
                 at = Level(words, size, lengths[level]).chosen(alive)
                 text = np.searchsorted(words.first, at, side="right") - 1
-                chosen = np.bincount(text, minlength=stop - row)
-                more = (words.windows(lengths[level], STEP2)[at] >> U64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(words.windows(lengths[level])[at])), pa.array(more), pa.array(keys[row:stop][text]),
-                                                  pa.array((at - words.first[text]).astype(np.int32)), pa.array(chosen[text].astype(np.int32))],
-                                                 ["code", "more", "row", "place", "chosen"])
+                columns = [pa.array(signed(words.windows(lengths[level])[at])), pa.array(keys[row:stop][text]), pa.array((at - words.first[text]).astype(np.int32))]
+                if "chosen" in extra:
+                    columns.append(pa.array(np.bincount(text, minlength=stop - row)[text].astype(np.int32)))
+                if "more" in extra:
+                    columns.append(pa.array((words.windows(lengths[level], STEP2)[at] >> U64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["code", "row", "place", *extra])
 
-    return texts.mapInArrow(run, "code bigint, more int, row bigint, place int, chosen int")
+    return texts.mapInArrow(run, "code bigint, row bigint, place int" + "".join(f", {x} int" for x in extra))
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -121,17 +124,20 @@ def repeated(docs: DataFrame, text_col: str = "text", size: int = SIZE, first: i
     """((row, text, once_0, …) of every text with a repeated window, the lengths): what each level found to occur once."""
     lengths = lengths_up_to(size, first)
     texts = _keyed(docs, text_col).select("row", F.col(text_col).alias("text"))
+    before = None
     for level in range(len(lengths)):
         found = _occurrences(texts, size, lengths, level)
-        found = found.groupBy("code", "more").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("place").alias("place"), F.min("chosen").alias("chosen"))
-        by_text = found.where("n = 1").groupBy("row").agg(F.collect_list("place").alias(f"once_{level}"), F.min("chosen").alias("chosen"))
+        known = [c for c in ("code", "more") if c in found.columns]
+        others = [F.min(c).alias(c) for c in found.columns if c not in known]
+        once = found.groupBy(*known).agg(F.count("*").alias("n"), *others).where("n = 1")
+        by_text = once.groupBy("row").agg(F.collect_list("place").alias(f"once_{level}"), *([F.min("chosen").alias("chosen")] if level == 0 else []))
         if level == 0:
             singles = frozen(by_text)
-            dead = singles.where(F.size("once_0") == F.col("chosen")).select("row")
-            texts = only(texts, frozen(dead), "row", "left_anti").join(singles.drop("chosen"), "row", "left")
+            dead = frozen(singles.where(F.size("once_0") == F.col("chosen")).select("row"))
+            texts = frozen(only(texts, dead, "row", "left_anti").join(singles.drop("chosen"), "row", "left"), singles)
         else:
-            texts = texts.join(by_text.drop("chosen"), "row", "left")
-        texts = frozen(texts)
+            texts = frozen(texts.join(by_text, "row", "left"), before)
+        before = texts
     return texts, lengths
 
 
