@@ -31,40 +31,57 @@ UNIT = 8
 SALTS = 256
 STEADY, GAP = 0.5, 5e-4
 END_ID = 1
-WORDS, CHUNKS = 600_000, 300_000
+WORDS, CHUNKS = 250_000, 100_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 # Latin letters without combining marks, then ASCII marks other than the apostrophe: always two pre-tokens, letters in lower case
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+SIMPLE_CHAR = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\\[-`{-~]")
 
 
 class WordIds:
     """The ids of a text by the tokenizer file, from those of its parts between spaces and line feeds.
 
     The tokenizer normalises and splits at white space before all else and drops it, so parts are independent; parts seen
-    before come from a cache, and a part of plain letters and marks from the cache of its letters in lower case."""
+    before come from a cache, and a part of plain letters and marks from the cache of its letters in lower case. Those are one
+    pre-token each, so that the model itself encodes them, without normalising and splitting once more; a probe of all their
+    characters checks this when the file is loaded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {ord(c): "".join(x for x, _ in spelt.pre_tokenize_str(c)) for c in map(chr, range(0x21, 0x100)) if SIMPLE_CHAR.fullmatch(c)}
+        letters = [chr(c) for c in self.bytes if chr(c).isalpha()]
+        probe = [c.lower() for c in letters] + [(a + b).lower() for a, b in zip(letters, letters[7:], strict=False)] + ["".join(letters).lower(), "the", "walking"]
+        probe += [chr(c) for c in self.bytes if not chr(c).isalpha()] + ["...", "?!", "$%%"]
+        self.direct = all(self._modelled(w) == self._encoded(w) == self._encoded(w.upper() if len(w.upper()) == len(w) else w) for w in probe)
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _encoded(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _modelled(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word.translate(self.bytes))], "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
+        """The ids of lower-case letters or of marks."""
         ids = self.words.get(word)
         if ids is None:
             if len(self.words) >= WORDS:
                 self.words.clear()
-            ids = self.words[word] = self._encoded(word)
+            ids = self._modelled(word)
+            if len(word) <= 64:
+                self.words[word] = ids
         return ids
 
     def _chunk(self, part: str) -> bytes:
-        simple = SIMPLE.fullmatch(part)
+        simple = SIMPLE.fullmatch(part) if self.direct else None
         if not simple:
-            return self._word(part) if len(part) <= 64 else self._encoded(part)
+            return self._encoded(part)
         ids = self._word(simple[1].lower())
         return ids + self._word(simple[2]) if simple[2] else ids
 
