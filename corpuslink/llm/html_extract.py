@@ -32,7 +32,9 @@ VOID = frozenset("area base br col embed frame hr img input link meta param sour
 CONTAINERS = frozenset("article body center div main section table tbody td html".split())
 # never part of the text
 DROPPED = frozenset("""aside button canvas dialog footer form head iframe input label menu nav noscript object option script select
-    style svg template textarea""".split())
+    style svg template textarea title""".split())
+# start tags that leave an open head open; any other one, or text, ends it
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # words in a class or id that name what surrounds an article
 NAMES = frozenset("""ad ads adbox adslot advert adverts advertisement advertising adsense breadcrumb breadcrumbs banner comment comments
@@ -88,7 +90,7 @@ class Lines(HTMLParser):
         self.nodes: list[tuple[str, int]] = [("html", -1)]
         self.open: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]  # tag, node, surrounds, inside an article
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.heads = 0
 
     def flush(self) -> None:
         if self.parts:
@@ -98,7 +100,16 @@ class Lines(HTMLParser):
             self.parts = []
         self.tags = self.linked = 0
 
+    def _end_head(self, tag: str = "") -> None:
+        """The end tag of a head may be left out: close it at ``tag`` or, without one, at text. What stands in an element of
+        the head (a template, a noscript) stays there; only a body ends that too, if it is not a template's."""
+        if self.open[-1][0] == "head" or tag == "body" and all(o[0] != "template" for o in self.open):
+            while self.heads:
+                self._close("head")
+
     def handle_starttag(self, tag, attrs):
+        if self.heads and tag not in HEAD:
+            self._end_head(tag)
         if tag in BLOCKS:
             self.flush()
             if self.open[-1][0] == "p" or any(o[0] == "p" for o in self.open[-8:]):
@@ -121,6 +132,8 @@ class Lines(HTMLParser):
             node = len(self.nodes) - 1
         elif tag == "a":
             self.links += 1
+        elif tag == "head":
+            self.heads += 1
         self.open.append((tag, node, off, inside or tag in ("article", "main")))
 
     def handle_startendtag(self, tag, attrs):
@@ -134,7 +147,7 @@ class Lines(HTMLParser):
 
     def _close(self, tag: str) -> None:
         """Close the last open ``tag``; an inline element or a paragraph is not looked for beyond the enclosing block."""
-        block = tag in BLOCKS and tag != "p"
+        block = tag in BLOCKS and tag != "p" or tag == "head"
         for k in range(len(self.open) - 1, 0, -1):
             name = self.open[k][0]
             if name == tag:
@@ -144,6 +157,8 @@ class Lines(HTMLParser):
                         self.flush()
                     if name == "a":
                         self.links -= 1
+                    elif name == "head":
+                        self.heads -= 1
                     self.open.pop()
                 return
             if not block and name in BLOCKS and name != "p":
@@ -158,6 +173,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.heads and data.strip(" \t\n\r\f"):
+            self._end_head()
         if not self.open[-1][2]:
             self.parts.append(data)
             if self.links:

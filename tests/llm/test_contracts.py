@@ -396,6 +396,17 @@ def test_main_text():
     assert len(html_extract.main_text("<article>" + "<p>word</p>" * 20_000)) == 5 * 20_000 - 1
 
 
+def test_pages_without_the_end_tag_of_the_head():
+    said = ("many words of an article stand here " * 8).strip()
+    body = f"<div><article><h1>H</h1>{LONG}</article></div>"
+    heads = ["<head><title>T</title>", "<head><meta charset=x><title>T</title><body>", "<head><style>p {}</style><noscript><link href=x></noscript>",
+             "<head><title>T</title><noscript><div>no</div><body>", "<head><html><title>T</title><body>", "<head><div></div><title>T</title>",
+             "<head><template><body><p>no</p></body></template><title>T</title></head><body>", "<head><title>T</title><noscript><div>no</noscript></head><body>"]
+    for head in heads:
+        assert html_extract.main_text(f"<html>{head}{body}") == "H\n" + said, head
+    assert html_extract.main_text(f"<head><title>T</title>\n<link href=x> {said}") == said
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(i, h, "old") for i, (h, _) in enumerate(PAGES)] + [(4, PAGES[4][0], "old")], "page_id bigint, html string, text string")
     got = html_extract.extracted(df)
