@@ -62,11 +62,11 @@ class Profile:
     switch: str = "ح"
     conjunction: str = "و"
     bare_first: bool = False
-    longest: int = 160
+    longest: int | None = None  # letters of a name without its marks
 
 
 PROFILE_A = Profile()
-PROFILE_B = Profile(terms=TERMS_B, bare_first=True)
+PROFILE_B = Profile(terms=TERMS_B, bare_first=True, longest=160)
 
 
 _PART = r"[\p{L}\p{N}\p{M}_]"
@@ -79,14 +79,16 @@ def _edge(pattern: str) -> str:
 
 def with_chain_links(df: DataFrame, text: str, profile: Profile = PROFILE_A, name: str = "found") -> DataFrame:
     """``df`` with ``array<struct(term, name, end)>`` of the chain at the head of a text (C1, C2), empty when there is
-    none. A name runs to the next comma, term, honorific or end marker; the chain goes on while only fillers follow a
-    name; a term without a name passes to the next term; asides between dashes are passed over. The pieces between terms
-    are read in steps, each step once per piece."""
+    none. A name runs to the next comma, term, honorific or end marker, of which the profile's ``longest`` letters are kept;
+    the chain goes on while only fillers follow a name, not the rest of a longer one; a term without a name passes to the
+    next term; asides between dashes are passed over. The pieces between terms are read in steps, each step once per piece."""
     terms, fillers = any_of(profile.terms), any_of(profile.fillers)
     honour, end = any_of(profile.honorifics), any_of(profile.ends)
     filler = rf"(?:[\s،,:;.\"'\-]|{_edge(fillers)}|{_edge(honour)})"
     stop = rf"(?=\s*(?:[،,:;.\"()]|{_edge(fillers)}|{_edge(honour)}|{_edge(end)}|$))"
-    one_name = rf"^([^،,:;.\"()]{{1,{profile.longest}}}?){stop}"
+    one_name = rf"^([^،,:;.\"()]+?){stop}"
+    letters = rf"^[\p{{M}}ـ]*(?:[^\p{{M}}ـ][\p{{M}}ـ]*){{0,{profile.longest}}}"
+    bound = lambda c: c if profile.longest is None else F.regexp_extract(c, letters, 0)
     plain = F.regexp_replace(F.col(text), r"\s[-–—ـ]\s[^-–—ـ]{1,80}\s[-–—ـ](?=\s)", " ")
     head = F.regexp_replace(plain, r"^[\s\d\-–—().:\[\]]+", "")
     marked = F.regexp_replace(head, _edge(rf"{re.escape(profile.conjunction)}?({terms})"), "\u0001$1\u0002")
@@ -96,7 +98,7 @@ def with_chain_links(df: DataFrame, text: str, profile: Profile = PROFILE_A, nam
     cut = F.transform(F.slice("_pieces", 2, F.size("_pieces")), lambda p: F.struct(
         F.substring_index(p, "\u0002", 1).alias("term"), lead(F.substring_index(p, "\u0002", -1)).alias("rest")))
     named = F.transform(cut, lambda p: F.struct(p["term"].alias("term"), p["rest"].alias("rest"), F.when(
-        p["rest"].rlike(rf"^{_edge(end)}"), "").otherwise(F.regexp_extract(p["rest"], one_name, 1)).alias("name")))
+        p["rest"].rlike(rf"^{_edge(end)}"), "").otherwise(bound(F.regexp_extract(p["rest"], one_name, 1))).alias("name")))
     tails = F.transform(named, lambda p: F.struct(p["term"].alias("term"), p["name"].alias("name"),
                                                   lead(F.substr(p["rest"], F.length(p["name"]) + 1)).alias("tail")))
     rows = rows.withColumn("_first", first).withColumn("_read", F.transform(tails, lambda p: F.struct(
@@ -104,9 +106,9 @@ def with_chain_links(df: DataFrame, text: str, profile: Profile = PROFILE_A, nam
     stops = F.array_position(F.transform("_read", lambda p: p["stops"]), True).cast("int")
     kept = F.filter(F.when(stops > 0, F.slice("_read", 1, stops)).otherwise(F.col("_read")), lambda p: (p["name"] != "") | p["end"])
     out = lambda items: F.transform(items, lambda p: F.struct(p["term"].alias("term"), p["name"].alias("name"), p["end"].alias("end")))
-    opens = F.array(F.struct(F.lit("").alias("term"), F.col("_first").alias("name"), F.lit(False).alias("end")))
+    opens = F.array(F.struct(F.lit("").alias("term"), F.trim(bound(F.col("_first"))).alias("name"), F.lit(False).alias("end")))
     none = F.array().cast("array<struct<term:string,name:string,end:boolean>>")
-    bare = (F.col("_first") != "") & (F.size("_read") > 0) & (F.length("_first") <= profile.longest)
+    bare = (F.col("_first") != "") & (F.size("_read") > 0)
     whole = (F.when(bare, F.concat(opens, out(kept))).otherwise(out(kept)) if profile.bare_first
              else F.when(F.col("_first") == "", out(kept)).otherwise(none))
     return rows.withColumn(name, whole).drop("_pieces", "_first", "_read")

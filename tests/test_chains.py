@@ -27,6 +27,18 @@ def test_bare_first_name_on_the_second_scale(spark):
     assert read(spark, "محمد بن يحيى، عن أحمد، عن النبي قال", C.PROFILE_B)[2] == [(1, "محمد بن يحيى"), (1, "أحمد")]
 
 
+def test_long_names(spark):
+    long = "محمد" + " بن عبد الله" * 20
+    marked = "مُحَمَّدٌ" + " بْنُ عَبْدِ اللَّهِ" * 12
+    assert len(long) > 160 and len(marked) > 160
+    names = [(1, "سفيان"), (1, long), (1, marked), (1, "أحمد")]
+    assert read(spark, f"حدثنا سفيان، عن {long}، عن {marked}، عن أحمد، عن النبي قال")[2] == names
+    # the second scale keeps the first 160 letters; marks are no letters, and what follows is no filler
+    cut = long[:160].strip()
+    assert read(spark, f"سفيان، عن {marked}، عن {long}، عن أحمد، عن النبي قال", C.PROFILE_B)[2] == [(1, "سفيان"), (1, marked), (1, cut)]
+    assert read(spark, f"{long}، عن أحمد، عن النبي قال", C.PROFILE_B)[2] == [(1, cut), (1, "أحمد")]
+
+
 def test_roads_meet(spark):
     chains, links, names = read(spark, "حدثنا مسدد، عن سفيان ح وحدثنا قتيبة، عن سفيان، عن الزهري، عن النبي قال")
     assert names == [(1, "مسدد"), (1, "سفيان"), (2, "قتيبة"), (2, "سفيان"), (2, "الزهري")]
