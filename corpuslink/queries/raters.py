@@ -1,5 +1,8 @@
 """Raters, models and rank tests (I) over the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslink.functions import pvalues as V
@@ -224,58 +227,74 @@ def models_unit_features(spark, d):
     return features(spark, d)
 
 
-def fitted(spark, d, rater=1):
-    rows, categories = M.rated_units(report_ratings(spark, d).where(F.col("rater") == rater), features(spark, d))
-    rows = M.frozen(rows)
-    design = M.Design(rows)
-    grouped = M.frozen(design.grouped(rows))
-    return rows, design, grouped, categories, M.fit_ordinal(grouped, categories)
+RATERS = 100
+
+
+def fitted(spark, d):
+    """Each rater of the table: (rater, rows, design, grouped, categories, fit), the fit null where there is none."""
+    ratings, facts = M.frozen(report_ratings(spark, d)), M.frozen(features(spark, d))
+    raters = [r["rater"] for r in ratings.select("rater").distinct().orderBy("rater").limit(RATERS + 1).collect()]
+    if len(raters) > RATERS:
+        raise ValueError(f"a model is fitted for each of at most {RATERS} raters")
+    for rater in raters:
+        rows, categories = M.rated_units(ratings.where(F.col("rater") == rater), facts)
+        rows = M.frozen(rows)
+        design = M.Design(rows)
+        grouped = M.frozen(design.grouped(rows))
+        yield rater, rows, design, grouped, categories, M.fit_ordinal(grouped, categories)
+
+
+def by_rater(tables):
+    """The union of one table per rater, with the rater as the first column."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(rater).alias("rater"), "*") for rater, df in tables if df is not None])
 
 
 @query("models_coefficients")
 def models_coefficients(spark, d):
-    _rows, design, _grouped, _categories, fit = fitted(spark, d)
-    return M.coefficients(spark, fit, design.columns)
+    return by_rater((rater, M.coefficients(spark, fit, design.columns))
+                    for rater, _rows, design, _grouped, _categories, fit in fitted(spark, d) if fit is not None)
 
 
 @query("models_factor_tests")
 def models_factor_tests(spark, d):
-    _rows, design, grouped, categories, fit = fitted(spark, d)
-    return M.factor_tests(spark, grouped, fit, design.columns, categories)
+    return by_rater((rater, M.factor_tests(spark, grouped, fit, design.columns, categories))
+                    for rater, _rows, design, grouped, categories, fit in fitted(spark, d) if fit is not None)
+
+
+def predictions(spark, d):
+    for rater, rows, design, _grouped, _categories, fit in fitted(spark, d):
+        if fit is not None:
+            yield rater, M.predicted(rows.drop("rater"), design, fit)
 
 
 @query("models_accuracy")
 def models_accuracy(spark, d):
-    rows, design, _grouped, _categories, fit = fitted(spark, d)
-    return M.accuracy(M.predicted(rows, design, fit))
+    return by_rater((rater, M.accuracy(rows)) for rater, rows in predictions(spark, d))
 
 
 @query("models_calibration")
 def models_calibration(spark, d):
-    rows, design, _grouped, _categories, fit = fitted(spark, d)
-    return M.calibration(M.predicted(rows, design, fit))
+    return by_rater((rater, M.calibration(rows)) for rater, rows in predictions(spark, d))
+
+
+def surprises(spark, d):
+    return by_rater((rater, M.surprises(rows).select("side", "place", "report_id", "y", "likely", "p")) for rater, rows in predictions(spark, d))
 
 
 @query("models_surprises")
 def models_surprises(spark, d):
-    rows, design, _grouped, _categories, fit = fitted(spark, d)
-    return M.surprises(M.predicted(rows, design, fit)).select("side", "place", "report_id", "y", "likely", "p")
+    return surprises(spark, d)
 
 
 @query("models_shared_surprises")
 def models_shared_surprises(spark, d):
-    found = None
-    for rater in (1, 2):
-        rows, design, _grouped, _categories, fit = fitted(spark, d, rater)
-        mine = M.surprises(M.predicted(rows, design, fit)).select(F.lit(rater).alias("rater"), "side", "report_id", "p")
-        found = mine if found is None else found.union(mine)
-    return M.shared_surprises(found)
+    return M.shared_surprises(surprises(spark, d))
 
 
 @query("models_brant")
 def models_brant(spark, d):
-    _rows, design, grouped, categories, _fit = fitted(spark, d)
-    return M.brant(spark, grouped, categories, [c[0] for c in design.columns])
+    return by_rater((rater, M.brant(spark, grouped, categories, [c[0] for c in design.columns]))
+                    for rater, _rows, design, grouped, categories, _fit in fitted(spark, d))
 
 
 # ------------------------------------------------------------------ rank tests

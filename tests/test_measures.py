@@ -116,3 +116,17 @@ def test_contained_pairs_against_all_pairs(spark):
     got = {(r["a"], r["b"]) for r in RE.contained_pairs(items, others, 0.5).collect()}
     want = {(i, j) for i, s in enumerate(sets[:30]) for j, t in enumerate(sets[30:]) if len(set(s) & set(t)) / min(len(s), len(t)) >= 0.5}
     assert got == want
+
+
+def test_models_read_every_rater(spark):
+    import __spark_entry__ as entry
+    from corpuslink.queries.corpus import report_ratings
+    folder = "/root/testdata/sf0.001"
+    odd = entry.queries()["models_surprises"](spark, folder).collect()
+    assert {r["rater"] for r in odd} == {r["rater"] for r in report_ratings(spark, folder).collect()}
+    by = {}
+    for r in odd:
+        by.setdefault((r["side"], r["report_id"]), set()).add(r["rater"])
+    shared = {(r["side"], r["report_id"]): r["raters"] for r in entry.queries()["models_shared_surprises"](spark, folder).collect()}
+    want = {k: len(v) for k, v in by.items() if len(v) >= 2}
+    assert len(want) <= 80 and shared == want and any(not by[k] & {1, 2} for k in want)
