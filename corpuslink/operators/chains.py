@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslink.functions.text import WORD, normalize
 from corpuslink.operators.graph import pairs_of_links
-from corpuslink.plans.ordered import last_before, next_in_chain, top_within
+from corpuslink.plans.ordered import last_before, next_in_chain, running_total, top_within
 from corpuslink.session import frozen
 
 BORROWED, NO_CHAIN, CONTINUED, NOTE = "BORROWED", "NO_CHAIN", "CONTINUED", "NOTE"
@@ -177,20 +178,30 @@ def expand_alternates(links: DataFrame, conjunction: str = r"\s+و(?=\p{L}{3})")
 
 
 def cut_repeats(links: DataFrame, key: str = "name") -> DataFrame:
-    """A name that stands twice in a chain (C5): what lies between the two mentions is cut; when the first mention is the
-    first link, what begins at the second is a chain of its own (``part`` 2). ``links(chain_id, position, …)``.
-
-    Only names said more than once are paired: with the mention before them, found by numbering the mentions."""
-    said = links.groupBy("chain_id", key).agg(F.min("position").alias("_first"), F.max("position").alias("_again"), F.count(F.lit(1)).alias("_n"))
-    cut = said.where("_n > 1").groupBy("chain_id").agg(F.min(F.struct("_first", "_again")).alias("_cut"))
-    rows = links.join(cut, "chain_id", "left")
-    first, again = F.col("_cut._first"), F.col("_cut._again")
-    inside = F.coalesce((F.col("position") > first) & (F.col("position") <= again) & (first > 1), F.lit(False))
-    part = F.when((first == 1) & (F.col("position") >= again), 2).otherwise(1)
-    kept = rows.where(~inside).withColumn("part", part)
-    moved = (F.when((first > 1) & (F.col("position") > again), F.col("position") - (again - first))
-             .when(F.col("part") == 2, F.col("position") - again + 1).otherwise(F.col("position")))
-    return kept.withColumn("position", moved).drop("_cut")
+    """A name that stands twice in a chain (C5): what lies between its first and its last mention is cut; what begins at a
+    further mention of the first link's name is a chain of its own (``part`` 2, 3 …). ``links(chain_id, position, …)``.
+
+    No name stands twice in a part afterwards: each round cuts one repeat of every part that has one left, and writes only
+    those parts again. A missing name repeats nothing."""
+    head = links.where("position = 1").select("chain_id", F.col(key).alias("_head"))
+    begins = F.coalesce((F.col(key) == F.col("_head")).cast("int"), F.lit(0))
+    rows = running_total(links.join(head, "chain_id", "left"), ["chain_id"], [F.col("position")], begins, "_said")
+    rows = frozen(rows.withColumn("part", F.greatest(F.lit(1), F.col("_said")).cast("int")).drop("_head", "_said"))
+    place, columns = ["chain_id", "part"], [*links.columns, "part"]
+    starts = rows.where("part > 1").groupBy(*place).agg(F.min("position").alias("_start"))
+    open_parts = rows.join(starts, place, "left").withColumn("position", F.col("position") - F.coalesce("_start", F.lit(1)) + 1).select(*columns)
+    done = []
+    while True:
+        said = open_parts.where(F.col(key).isNotNull()).groupBy(*place, key).agg(
+            F.min("position").alias("_first"), F.max("position").alias("_again"), F.count(F.lit(1)).alias("_n"))
+        cut = frozen(said.where("_n > 1").groupBy(*place).agg(F.min(F.struct("_first", "_again")).alias("_cut")))
+        done.append(open_parts.join(cut, place, "left_anti").select(*columns))
+        if cut.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        first, again = F.col("_cut._first"), F.col("_cut._again")
+        kept = open_parts.join(cut, place).where((F.col("position") <= first) | (F.col("position") > again))
+        moved = F.when(F.col("position") > again, F.col("position") - (again - first)).otherwise(F.col("position"))
+        open_parts = frozen(kept.withColumn("position", moved).select(*columns))
 
 
 def borrow_previous(reports: DataFrame, chains: DataFrame, links: DataFrame, from_him: str, same_chain: str) -> tuple[DataFrame, DataFrame]:

@@ -138,3 +138,31 @@ def test_mentions_and_runs(spark):
     rows = spark.createDataFrame([("c", i, i, h, g) for i, h, g in [(1, True, False), (2, False, True), (3, False, True), (4, False, False), (5, False, True)]],
                                  "collection string, report_id long, number_sort long, h boolean, g boolean")
     assert sorted(r["report_id"] for r in R.runs(rows, F.col("h"), F.col("g")).collect()) == [1, 2, 3]
+
+
+def cut_by_hand(names):
+    parts = []
+    for name in names:
+        if not parts or name is not None and name == names[0]:
+            parts.append([])
+        parts[-1].append(name)
+    for part in parts:
+        at = 0
+        while at < len(part):
+            again = max(i for i, name in enumerate(part) if i == at or name is not None and name == part[at])
+            del part[at + 1:again + 1]
+            at += 1
+    return parts
+
+
+def test_every_repeat_is_cut(spark):
+    from random import Random
+    draw = Random(5)
+    chains = ["xabacdce", "abacbdb", "abacad", "abc", "xabacb", *("".join(draw.choices("abcdef", k=draw.randint(1, 12))) for _ in range(60))]
+    chains = [list(c) for c in chains] + [[None, "a", None, "b", "a"], ["a", None, None, "a"]]
+    rows = [(i, p, name) for i, c in enumerate(chains) for p, name in enumerate(c, 1)]
+    out = C.cut_repeats(spark.createDataFrame(rows, "chain_id long, position long, name string"))
+    got = {(r["chain_id"], r["part"], r["position"]): r["name"] for r in out.collect()}
+    assert out.count() == len(got)
+    assert got == {(i, k, p): name for i, c in enumerate(chains) for k, part in enumerate(cut_by_hand(c), 1) for p, name in enumerate(part, 1)}
+    assert [got[0, 1, p] for p in range(1, 5)] == list("xace") and (0, 1, 5) not in got
