@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with their DuckDB checks where SQL can say them."""
+"""The operators as queries over the given tables, with their DuckDB checks where SQL can say them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslink.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, packing, secrets, substring_dedup, token_counts, toxicity
+from corpuslink.llm import (best_fit, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, ngram_join, packing, secrets, substring_dedup,
+                            token_counts, toxicity, whitening)
 from corpuslink.session import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +169,32 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     counted = token_counts.token_counts(table(spark, folder, "documents", "doc_id", "text"), path, keep_text=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op11_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, w, 10 + (90 * len(w) * docs) // terms AS m FROM d, s WHERE len(w) > 0),
+t AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(w) AS term FROM m) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2, 3),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN t USING (term) JOIN f USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test item's ten best documents."""
+    return lexical_search.search(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return best_fit.packed(best_fit.pieces(table(spark, folder, "documents", "doc_id", "text"), path))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector's whitened components."""
+    return whitening.whitened(table(spark, folder, "embeddings", "vec_id", "embedding"))
