@@ -27,7 +27,9 @@ SURE, EVIDENCE, GUESS, NEIGHBOURS, FAMOUS = 1.0, 0.8, 0.7, 0.6, 0.5
 class Rules:
     """Which rules run and with what parameters."""
 
-    on: frozenset[str] = frozenset({"marks", "order", "companion", "teacher", "client", "impossible", "neighbours", "one_side"})
+    on: frozenset[str] = frozenset({"marks", "order", "companion", "teacher", "client", "bare", "elsewhere", "impossible", "neighbours", "famous", "father",
+                                    "one_side", "father_pair"})
+    guesses: bool = True
     first_generation: int = 9
     trust: float = 0.7
     rounds: int = 3
@@ -38,8 +40,18 @@ class Rules:
     after: int = 4
     before: int = 6
     death_years: int = 80
+    pair_least: int = 1
+    pair_few: int = 3
     authors: dict[str, int] = field(default_factory=dict)
 
+    def use(self, rule: str) -> bool:
+        """Whether a rule runs: switched on, and, if it only infers, with guesses allowed."""
+        return rule in self.on and (self.guesses or rule not in GUESSING)
+
+
+# The rules that infer where the sources are silent.
+GUESSING = frozenset({"bare", "elsewhere", "neighbours", "famous", "one_side", "father_pair"})
+
 
 # ------------------------------------------------------------------ candidates of names
 def _bare(word: Column) -> Column:
@@ -57,11 +69,24 @@ def _in_order(short: Column, long: Column) -> Column:
     return met > F.size(short)
 
 
+def turned(words: Column) -> Column:
+    """The orders a name may be looked up in (E1): as written, and with a nisba or a kunya that stands before the given name
+    behind the lineage. Words keep their articles here."""
+    n = F.size(words)
+    first = F.try_element_at(words, F.lit(1))
+    later = lambda k: F.array_contains(F.slice(words, k + 1, F.greatest(n - k, F.lit(0))), "بن")
+    behind = lambda k: F.concat(F.slice(words, k + 1, F.greatest(n - k, F.lit(0))), F.slice(words, 1, k))
+    nisba = (n > 3) & F.startswith(first, F.lit("ال")) & later(1)
+    kunya = (n > 4) & first.isin("ابو", "ام") & later(2)
+    return F.when(nisba, F.array(words, behind(1))).when(kunya, F.array(words, behind(2))).otherwise(F.array(words))
+
+
 def name_candidates(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(name, person_id, tier, way)`` for distinct names (E1): a whole alias, or the same given name and father with the
-    other words in order; names nothing fits are tried again without the accusative ending. ``aliases(person_id, alias,
-    tier)``. Names and aliases meet by a key: the whole name, or its given name and father."""
-    asked = names.select("name").distinct().withColumn("_w", looked_up(F.col("name"))).where(F.size("_w") > 0)
+    other words in order, in each order the name may be turned to; names nothing fits are tried again without the accusative
+    ending. ``aliases(person_id, alias, tier)``. Names and aliases meet by a key: the whole name, or its given name and father."""
+    asked = names.select("name").distinct().withColumn("_o", F.explode(turned(without_spelling(name_tokens(F.col("name"))))))
+    asked = asked.select("name", F.transform("_o", _bare).alias("_w")).where(F.size("_w") > 0)
     known = aliases.select("person_id", "tier", looked_up(F.col("alias")).alias("_a")).where(F.size("_a") > 0)
 
     def find(wanted: DataFrame) -> DataFrame:
@@ -108,11 +133,18 @@ def keep_if_any(cands: DataFrame, keep: Column) -> DataFrame:
 
 def narrow_ends(cands: DataFrame, chains: DataFrame, sizes: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The first link is of a late generation, the last of a chain that reaches the origin of the first (E4); no
-    generation passes. ``sizes(chain_id, size)``."""
-    rows = cands.join(chains.select("chain_id", "reaches"), "chain_id").join(sizes, "chain_id")
+    generation passes. A collection whose author heads its own chains (``rules.authors``) takes him where the name may
+    mean him. ``sizes(chain_id, size)``."""
+    rows = cands.join(chains.select("chain_id", "reaches", *(["collection"] if rules.authors else [])), "chain_id").join(sizes, "chain_id")
     g = F.col("generation")
     if "teacher" in rules.on:
-        rows = keep_if_any(rows, (F.col("position") != 1) | g.isNull() | (g >= rules.first_generation))
+        late = g.isNull() | (g >= rules.first_generation)
+        if rules.authors:
+            own = F.create_map(*[F.lit(x) for pair in rules.authors.items() for x in pair])[F.col("collection")]
+            heads = F.max(F.coalesce(F.col("person_id") == own, F.lit(False)).cast("int")).over(W.partitionBy(*SLOT)) == 1
+            rows = rows.withColumn("_heads", heads)
+            late = F.when(F.col("_heads"), F.col("person_id") == own).otherwise(late)
+        rows = keep_if_any(rows, (F.col("position") != 1) | late)
     if "companion" in rules.on:
         rows = keep_if_any(rows, (F.col("position") != F.col("size")) | ~F.col("reaches") | g.isNull() | (g == 1))
     return rows.select(*cands.columns)
@@ -251,23 +283,30 @@ def by_neighbours(results: DataFrame, cands: DataFrame, rules: Rules = Rules())
     """Open links decided by both neighbours (E10): the candidate seen with both, in two chains or more and three times
     the next; the last link by its student alone, in one chain more. Repeated as links become known."""
     for _ in range(rules.rounds):
-        edges = frozen(trusted_edges(results, rules.trust))
-        asked = _open(results, cands).where(F.col("student").isNotNull() & (F.col("teacher").isNotNull() | F.col("last")))
-        score = F.when(F.col("last"), F.col("_below")).otherwise(F.least("_below", "_above"))
-        best = _lead(_scored(asked, cands, edges), score)
-        won = frozen(best.where((F.col("_best") >= rules.least + F.col("_last")) & (F.col("_best") >= rules.lead * F.col("_second"))
-                                & (F.col("_best") > F.col("_second"))))
+        won = frozen(neighbours_won(results, cands, frozen(trusted_edges(results, rules.trust)), rules))
         if won.isEmpty():
             break
         results = _taken(results, won, NEIGHBOURS, "neighbours")
     return results
 
 
+def neighbours_won(results: DataFrame, cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
+    """The links of ``results`` that one round of E10 decides, ``_who`` for each."""
+    asked = _open(results, cands).where(F.col("student").isNotNull() & (F.col("teacher").isNotNull() | F.col("last")))
+    score = F.when(F.col("last"), F.col("_below")).otherwise(F.least("_below", "_above"))
+    best = _lead(_scored(asked, cands, edges), score)
+    return best.where((F.col("_best") >= rules.least + F.col("_last")) & (F.col("_best") >= rules.lead * F.col("_second")) & (F.col("_best") > F.col("_second")))
+
+
 def by_one_side(results: DataFrame, cands: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Open links with a known neighbour on one side (E11): six chains or more and five times the next; a neighbour known
     only as famous does not count beside a better one; with both known the teacher decides, if the student does not
     gainsay it."""
-    edges = frozen(trusted_edges(results, rules.trust))
+    return _taken(results, one_side_won(results, cands, frozen(trusted_edges(results, rules.trust)), rules), NEIGHBOURS, "one_side")
+
+
+def one_side_won(results: DataFrame, cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
+    """The links of ``results`` that E11 decides, ``_who`` for each."""
     asked = _open(results, cands)
     weak = lambda end: F.coalesce(F.col(f"{end}_confidence"), F.lit(0.0)) <= FAMOUS
     both = F.col("student").isNotNull() & F.col("teacher").isNotNull()
@@ -283,23 +322,61 @@ def by_one_side(results: DataFrame, cands: DataFrame, rules: Rules = Rules()) ->
     mine = rows.where(both).select(*SLOT, F.col("who").alias("_who"), F.col("_below").alias("_mine"))
     best = best.join(kept, SLOT, "left").join(mine, [*SLOT, "_who"], "left")
     agreed = F.coalesce(F.col("_mine") >= F.col("_most"), F.lit(True))
-    won = best.where((F.col("_best") >= rules.one_least) & (F.col("_best") >= rules.one_lead * F.greatest(F.coalesce("_second", F.lit(0)), F.lit(1))) & agreed)
-    return _taken(results, won, NEIGHBOURS, "one_side")
+    return best.where((F.col("_best") >= rules.one_least) & (F.col("_best") >= rules.one_lead * F.greatest(F.coalesce("_second", F.lit(0)), F.lit(1))) & agreed)
+
+
+# The words for a father and a grandfather in a chain.
+FATHER_WORDS, GRANDFATHER_WORDS = ("ابيه", "ابي", "ابوه"), ("جده", "جدي")
+
+
+def kin(links: DataFrame) -> DataFrame:
+    """``(chain_id, position, at, up)`` for every link that names a relative of the one before: the nearest link before it
+    that names a person, and how many generations above him the relative is (E12). "His grandfather" after another
+    relative is one generation further, else two. Pointers are doubled, so a run of relatives of any length takes rounds by the
+    logarithm of its length."""
+    name = normalize(F.col("name"))
+    named = links.select(*SLOT, F.when(name.isin(*FATHER_WORDS), 1).when(name.isin(*GRANDFATHER_WORDS), 2).alias("_k")).where(F.col("_k").isNotNull())
+    before = named.select("chain_id", (F.col("position") + 1).alias("position"), F.lit(True).alias("_after_kin"))
+    up = F.when(F.col("_after_kin"), 1).otherwise(F.col("_k"))
+    now = frozen(named.join(before, SLOT, "left").select(*SLOT, (F.col("position") - 1).alias("at"), up.alias("up")))
+    while True:
+        jump = now.select("chain_id", F.col("position").alias("at"), F.col("at").alias("_at"), F.col("up").alias("_up"))
+        step = now.join(jump, ["chain_id", "at"], "left")
+        if step.where(F.col("_at").isNotNull()).isEmpty():
+            return now
+        now = frozen(step.select(*SLOT, F.coalesce("_at", "at").alias("at"), (F.col("up") + F.coalesce("_up", F.lit(0))).alias("up")), now)
+
+
+def ancestors(rows: DataFrame, fathers: DataFrame) -> DataFrame:
+    """``rows`` with the ancestor of ``son`` that lies ``up`` generations above as ``father``; rows without one go. The table
+    of fathers is squared each round: rounds by the logarithm of the greatest number of generations."""
+    climb = fathers.select("son", "father")
+    now = frozen(rows.withColumn("father", F.col("son")).withColumn("_left", F.col("up")))
+    while not now.where("_left > 0").isEmpty():
+        step = now.join(climb.select(F.col("son").alias("father"), F.col("father").alias("_next")), "father", "left")
+        odd = F.col("_left") % 2 == 1
+        now = frozen(step.where(~odd | F.col("_next").isNotNull()).select(*rows.columns, F.when(odd, F.col("_next")).otherwise(F.col("father")).alias("father"),
+                                                                         F.floor(F.col("_left") / 2).cast("int").alias("_left")), now)
+        climb = frozen(climb.join(climb.select(F.col("son").alias("father"), F.col("father").alias("_above")), "father").select("son", F.col("_above").alias("father")))
+    return now.drop("_left")
 
 
 def relatives(links: DataFrame, results: DataFrame, fathers: DataFrame, persons: DataFrame) -> DataFrame:
-    """"His father", "his grandfather" read from the person before (E12): ``(chain_id, position, person_id)``.
-    ``fathers(son, father)``; a father of a later generation than the link after is not taken."""
-    steps = F.when(normalize(F.col("name")).isin("ابيه", "ابي", "ابوه"), 1).when(normalize(F.col("name")).isin("جده", "جدي"), 2)
-    asked = links.select(*SLOT, steps.alias("_steps")).where(F.col("_steps").isNotNull())
-    before = results.select("chain_id", (F.col("position") + 1).alias("position"), F.col("person_id").alias("son")).where(F.col("son").isNotNull())
-    one = fathers.select("son", "father")
-    two = one.join(one.select(F.col("son").alias("father"), F.col("father").alias("grandfather")), "father").select("son", F.col("grandfather").alias("father"))
-    kin = one.withColumn("_steps", F.lit(1)).union(two.withColumn("_steps", F.lit(2)))
-    after = results.select("chain_id", (F.col("position") - 1).alias("position"), F.col("person_id").alias("_after"))
+    """"His father", "his grandfather" and runs of them, read from the person before (E12): ``(chain_id, position, person_id)``.
+    ``fathers(son, father)``; a relative of an earlier generation than the person after him is not taken."""
+    return relatives_won(kin(links), results, fathers, persons).drop("confidence")
+
+
+def relatives_won(asked: DataFrame, results: DataFrame, fathers: DataFrame, persons: DataFrame) -> DataFrame:
+    """The open links of ``asked`` (their ``kin``) that E12 decides, sure as far as the person before is, else a guess."""
+    known = results.where(F.col("person_id").isNotNull()).select("chain_id", "position", "person_id", "confidence")
+    base = known.select("chain_id", F.col("position").alias("at"), F.col("person_id").alias("son"), F.col("confidence").alias("_sure"))
+    rows = ancestors(asked.join(known.select(*SLOT), SLOT, "left_anti").join(base, ["chain_id", "at"]), fathers)
+    after = known.select("chain_id", (F.col("position") - 1).alias("position"), F.col("person_id").alias("_after"))
     g = lambda end, name: persons.select(F.col("person_id").alias(end), F.col("generation").alias(name))
-    rows = asked.join(before, SLOT).join(kin, ["son", "_steps"]).join(after, SLOT, "left").join(g("father", "_gf"), "father", "left").join(g("_after", "_ga"), "_after", "left")
-    return rows.where(~F.coalesce(F.col("_ga") > F.col("_gf"), F.lit(False))).select(*SLOT, F.col("father").alias("person_id"))
+    rows = rows.join(after, SLOT, "left").join(g("father", "_gf"), "father", "left").join(g("_after", "_ga"), "_after", "left")
+    sure = F.when(F.col("_sure") >= EVIDENCE, EVIDENCE).otherwise(GUESS)
+    return rows.where(~F.coalesce(F.col("_ga") > F.col("_gf"), F.lit(False))).select(*SLOT, F.col("father").alias("person_id"), sure.alias("confidence"))
 
 
 # What each thing a father's entry shares with the son's lineage weighs.
@@ -320,13 +397,13 @@ def weighed_fathers(pairs: DataFrame, least: float = 2.0, gap: int = 6) -> DataF
 
 
 def father_pairs(results: DataFrame, cands: DataFrame, links: DataFrame, fathers: DataFrame, persons: DataFrame, rules: Rules = Rules(),
-                 least: int = 1, few: int = 3) -> DataFrame:
+                 edges: DataFrame | None = None) -> DataFrame:
     """A son open between namesakes, followed by "his father": both decided by the one pair the chains have seen (E14):
     ``(chain_id, position, son, father)`` for the son's link."""
-    edges = trusted_edges(results, rules.trust)
+    edges = trusted_edges(results, rules.trust) if edges is None else edges
     asked = _open(results, cands).select(*SLOT, "student", "_open")
-    his = links.select("chain_id", (F.col("position") - 1).alias("position"), normalize(F.col("name")).alias("_n")).where(
-        F.col("_n").isin("ابيه", "ابوه")).select(*SLOT)
+    his = links.select(*SLOT, normalize(F.col("name")).alias("_n")).where(F.col("_n").isin(*FATHER_WORDS)).join(
+        results.where(F.col("person_id").isNotNull()).select(*SLOT), SLOT, "left_anti").select("chain_id", (F.col("position") - 1).alias("position"))
     above = results.select("chain_id", (F.col("position") - 2).alias("position"), F.col("person_id").alias("teacher"))
     g = lambda end, name: persons.select(F.col("person_id").alias(end), F.col("generation").alias(name))
     rows = (asked.join(his, SLOT).join(cands.select(*SLOT, F.col("person_id").alias("son")), SLOT).join(fathers, "son").join(above, SLOT, "left")
@@ -339,21 +416,22 @@ def father_pairs(results: DataFrame, cands: DataFrame, links: DataFrame, fathers
     best = two.groupBy(*SLOT).agg(F.max(F.when(F.col("place") == 1, F.struct("son", "father"))).alias("_x"), F.max(F.when(F.col("place") == 1, F.col("_score"))).alias("_best"),
                                   F.max(F.when(F.col("place") == 2, F.col("_score"))).alias("_second"), F.count(F.lit(1)).alias("_rows"),
                                   F.max("_open").alias("_open"), F.max(F.coalesce("student", "teacher")).alias("_near"))
-    alone = (F.col("_rows") == 1) & (F.col("_open") <= few) & F.col("_near").isNotNull()
+    alone = (F.col("_rows") == 1) & (F.col("_open") <= rules.pair_few) & F.col("_near").isNotNull()
     second = F.coalesce("_second", F.lit(0))
-    seen = (F.col("_best") >= least) & (F.col("_best") >= rules.lead * second) & (F.col("_best") > second)
+    seen = (F.col("_best") >= rules.pair_least) & (F.col("_best") >= rules.lead * second) & (F.col("_best") > second)
     return best.where(alone | seen).select(*SLOT, "_x.son", "_x.father")
 
 
 def drop_impossible(results: DataFrame, persons: DataFrame, rules: Rules = Rules(), rounds: int | None = None) -> DataFrame:
     """Pairs that cannot be (E15): a person who is his own teacher, a teacher four generations later or six earlier, or who
     died eighty years later. The less certain of the two is left open; on a tie the teacher, except at the first link.
-    One pair of a chain at a time, until none is left (or for ``rounds``)."""
+    One pair of a chain at a time, until none is left (or for ``rounds``). A chain without such a pair is never looked at
+    again: each round reads and writes only the chains that lost a link in the one before."""
     facts = persons.select("person_id", "generation", "death_year")
-    done = 0
+    now, settled, done = results, [], 0
     while rounds is None or done < rounds:
         done += 1
-        known = results.join(facts, "person_id", "left")
+        known = now.join(facts, "person_id", "left")
         after = known.select("chain_id", (F.col("position") - 1).alias("position"), F.col("person_id").alias("_t"), F.col("confidence").alias("_ct"),
                              F.col("generation").alias("_gt"), F.col("death_year").alias("_dt"))
         pair = known.join(after, SLOT).where(F.col("person_id").isNotNull() & F.col("_t").isNotNull())
@@ -364,13 +442,15 @@ def drop_impossible(results: DataFrame, persons: DataFrame, rules: Rules = Rules
         cs, ct = F.coalesce("confidence", F.lit(0.0)), F.coalesce("_ct", F.lit(0.0))
         student = (cs < ct) | ((cs == ct) & (F.col("position") == 1) & ~same & ~older)
         bad = pair.where(same | older | later | died).withColumn("_drop", F.when(student, F.col("position")).otherwise(F.col("position") + 1))
-        first = frozen(bad.groupBy("chain_id").agg(F.min_by("_drop", "position").alias("position")).withColumn("_bad", F.lit(True)))
+        first = frozen(bad.groupBy("chain_id").agg(F.min_by("_drop", "position").alias("_drop")))
         if first.isEmpty():
             break
-        rows = results.join(first, SLOT, "left")
-        gone = F.coalesce("_bad", F.lit(False))
-        results = frozen(rows.select(*SLOT, *[F.when(~gone, F.col(c)).alias(c) for c in ("person_id", "confidence", "rule")], "candidates"))
-    return results
+        settled.append(now.join(first, "chain_id", "left_anti"))
+        gone = F.col("position") == F.col("_drop")
+        now = frozen(now.join(first, "chain_id").select(*SLOT, *[F.when(~gone, F.col(c)).alias(c) for c in ("person_id", "confidence", "rule")], "candidates"))
+    for part in settled:
+        now = now.unionByName(part)
+    return now
 
 
 def rule_counts(results: DataFrame) -> DataFrame:
@@ -412,20 +492,143 @@ def overview(links: DataFrame, persons: DataFrame, scale: str = "scale") -> Data
     return people.join(counts, scale, "full").na.fill(0)
 
 
-def resolve(links: DataFrame, chains: DataFrame, persons: DataFrame, aliases: DataFrame, marks: DataFrame | None = None,
-            rules: Rules = Rules()) -> DataFrame:
-    """All links of the chains with their persons, the rules in their fixed order."""
+class Evidence:
+    """The evidence of all chains together, worked out on deltas.
+
+    Chains without an open link are left alone from the start. Of the others the table ``base`` is written once; what the rules
+    decide is a small table beside it. The neighbours' rounds look only at the ``frontier``: chains in which a link was decided
+    since they were last looked at, and those with an open link that an edge seen since then speaks for (null: all chains).
+    Edges are counted once and then grow by the pairs of newly trusted links."""
+
+    def __init__(self, results: DataFrame, cands: DataFrame, links: DataFrame, persons: DataFrame, fathers: DataFrame | None, rules: Rules):
+        self.rules, self.persons, self.fathers = rules, persons, fathers
+        several = cands.groupBy(*SLOT).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(*SLOT)
+        self.cands = frozen(cands.join(several, SLOT, "left_semi"))
+        waiting = results.where(F.col("person_id").isNull()).select("chain_id").distinct()
+        self.whole = results.join(waiting, "chain_id", "left_anti")
+        self.base = frozen(results.join(waiting, "chain_id", "left_semi"))
+        self.links = frozen(links.select(*SLOT, "name").join(waiting, "chain_id", "left_semi"))
+        self.kin = frozen(kin(self.links))
+        self.edges = frozen(trusted_edges(results, rules.trust))
+        self.decided = frozen(self.base.limit(0).select(*SLOT, "person_id", "confidence", "rule"))
+        self.frontier: DataFrame | None = None
+
+    def now(self, chains: DataFrame | None = None, decided: DataFrame | None = None) -> DataFrame:
+        """The links of some chains (all with open ones) as they stand."""
+        new = (self.decided if decided is None else decided).select(*SLOT, F.col("person_id").alias("_p"), F.col("confidence").alias("_c"), F.col("rule").alias("_r"))
+        rows = self.base if chains is None else self.base.join(chains, "chain_id", "left_semi")
+        pick = lambda a, b: F.coalesce(a, b).alias(b)
+        return rows.join(new, SLOT, "left").select(*SLOT, pick("_p", "person_id"), pick("_c", "confidence"), pick("_r", "rule"), "candidates")
+
+    def take(self, won: DataFrame) -> bool:
+        """Add decisions ``(chain_id, position, person_id, confidence, rule)``; whether there were any. The chains they change
+        join the frontier."""
+        won = frozen(won.select(*SLOT, "person_id", "confidence", "rule"))
+        changed = frozen(won.select("chain_id").distinct())
+        if changed.isEmpty():
+            return False
+        both = frozen(self.decided.unionByName(won))
+        if not won.where(F.col("confidence") >= self.rules.trust).isEmpty():
+            count = lambda decided, sign: trusted_edges(self.now(changed, decided), self.rules.trust).withColumn("weight", F.col("weight") * sign)
+            new = frozen(count(both, 1).unionByName(count(self.decided, -1)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight <> 0"))
+            self.edges = frozen(self.edges.unionByName(new).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+            asked = _open(self.now(None, both), self.cands).select(*SLOT, "student", "teacher").join(self.cands.select(*SLOT, F.col("person_id").alias("who")), SLOT)
+            below = asked.join(new, (asked["student"] == new["src"]) & (asked["who"] == new["dst"]), "left_semi")
+            above = asked.join(new, (asked["who"] == new["src"]) & (asked["teacher"] == new["dst"]), "left_semi")
+            changed = changed.union(below.select("chain_id")).union(above.select("chain_id"))
+        self.decided = both
+        if self.frontier is not None:
+            self.frontier = frozen(self.frontier.union(changed).distinct())
+        return True
+
+    def neighbours(self) -> None:
+        """E10 until a round decides nothing, at most ``rules.rounds``."""
+        for _ in range(self.rules.rounds if self.rules.use("neighbours") else 0):
+            asked, self.frontier = self.frontier, self.base.select("chain_id").limit(0)
+            cands = self.cands if asked is None else self.cands.join(asked, "chain_id", "left_semi")
+            won = neighbours_won(self.now(asked), cands, self.edges, self.rules)
+            if not self.take(won.select(*SLOT, F.col("_who").alias("person_id"), F.lit(NEIGHBOURS).alias("confidence"), F.lit("neighbours").alias("rule"))):
+                break
+
+    def famous(self, table: DataFrame) -> bool:
+        open_links = self.now().where(F.col("person_id").isNull()).select(*SLOT).join(self.links, SLOT)
+        return self.take(famous(open_links, table))
+
+    def relatives(self) -> bool:
+        if self.fathers is None or "father" not in self.rules.on:
+            return False
+        return self.take(relatives_won(self.kin, self.now(), self.fathers, self.persons).withColumn("rule", F.lit("father")))
+
+    def one_side(self) -> bool:
+        won = one_side_won(self.now(), self.cands, self.edges, self.rules)
+        return self.take(won.select(*SLOT, F.col("_who").alias("person_id"), F.lit(NEIGHBOURS).alias("confidence"), F.lit("one_side").alias("rule")))
+
+    def father_pairs(self) -> bool:
+        if self.fathers is None:
+            return False
+        won = frozen(father_pairs(self.now(), self.cands, self.links, self.fathers, self.persons, self.rules, self.edges))
+        pair = [F.struct("position", F.col("son").alias("person_id")), F.struct((F.col("position") + 1).alias("position"), F.col("father").alias("person_id"))]
+        both = won.select("chain_id", F.explode(F.array(*pair)).alias("_l")).select("chain_id", "_l.*")
+        return self.take(both.withColumn("confidence", F.lit(NEIGHBOURS)).withColumn("rule", F.lit("father_pair")))
+
+
+def settled(cands: DataFrame, rule: str) -> DataFrame:
+    """Candidates after a rule, with the number now left at their link (``n``) and, where it has just left one of several,
+    the rule as the link's ``way``."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*SLOT))
+    rows = cands.withColumn("_n", n)
+    return rows.withColumn("way", F.when((F.col("_n") == 1) & (F.col("n") > 1), rule).otherwise(F.col("way"))).withColumn("n", F.col("_n")).drop("_n")
+
+
+def resolve(links: DataFrame, chains: DataFrame, persons: DataFrame, aliases: DataFrame, marks: DataFrame | None = None, rules: Rules = Rules(), *,
+            entries: DataFrame | None = None, bare: DataFrame | None = None, known_names: DataFrame | None = None,
+            fathers: DataFrame | None = None) -> DataFrame:
+    """All links of the chains with their persons, the rules in their fixed order (E1–E16): ``(chain_id, position, person_id,
+    confidence, rule, candidates)``.
+
+    First each link by itself: names looked up (E1, E2; inside ``entries(person_id, entry)`` where nothing fits, E9), the marks of
+    the collection (E3), the ends (E4), the order of generations (E5), patrons named in entries (E6), bare names by their
+    neighbours (``bare``, E7). Then the chains together, on deltas: neighbours (E10), famous bearers of a name (``known_names(name,
+    person_id)``, E8), relatives (``fathers(son, father)``, E12), one neighbour alone (E11), son and father together (E14), each
+    followed by the neighbours again; last what cannot be (E15). A rule runs when it is in ``rules.on`` and, if it only infers,
+    when ``rules.guesses``; a table that is not given leaves its rule out."""
     found = frozen(best_tier(name_candidates(links.select("name"), aliases)))
-    cands = frozen(candidates(links, found, persons))
+    if entries is not None and rules.use("elsewhere"):
+        more = elsewhere(links.select("name").distinct().join(found.select("name").distinct(), "name", "left_anti"), entries)
+        found = frozen(found.unionByName(more))
+    kind = found.groupBy("name").agg(F.max("way").alias("way"))
+    rows = candidates(links, found, persons)
     if marks is not None and "marks" in rules.on:
-        cands = frozen(with_mark(cands, chains, marks))
-    counts = frozen(cands.groupBy(*SLOT).agg(F.count(F.lit(1)).alias("candidates")))
+        several = rows.groupBy(*SLOT).agg(F.count(F.lit(1)).alias("n"))
+        rows = with_mark(rows, chains, marks).join(several, SLOT)
+    else:
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*SLOT)))
+    named = links.select(*SLOT, "name").join(kind, "name").select(*SLOT, "way")
+    cands = settled(rows.join(named, SLOT).withColumn("candidates", F.count(F.lit(1)).over(W.partitionBy(*SLOT))), "marks")
     sizes = links.groupBy("chain_id").agg(F.max("position").alias("size"))
-    cands = narrow_ends(cands, chains, sizes, rules)
-    cands = monotone(cands) if "order" in rules.on else frozen(cands)
-    results = frozen(decided(links, cands, counts))
-    if "neighbours" in rules.on:
-        results = by_neighbours(results, cands, rules)
-    if "one_side" in rules.on:
-        results = by_one_side(results, cands, rules)
+    cands = frozen(settled(narrow_ends(cands, chains, sizes, rules), "ends"))
+    if "order" in rules.on:
+        cands = settled(monotone(cands), "order")
+    if entries is not None and "client" in rules.on:
+        cands = settled(clients(cands, links, entries), "client")
+    if bare is not None and rules.use("bare"):
+        cands = settled(bare_names(cands, links, bare), "bare")
+    cands = frozen(cands)
+    alone = cands.where("n = 1")
+    guessed = alone.where(F.col("way").isin("bare", "elsewhere")).select(*SLOT)
+    first = cands.select(*SLOT, "candidates").distinct()
+    results = decided(links, cands, first, guessed).drop("rule").join(alone.select(*SLOT, F.col("way").alias("rule")), SLOT, "left")
+    results = frozen(results.select(*SLOT, "person_id", "confidence", "rule", "candidates"))
+    said = Evidence(results, cands.select(*SLOT, "person_id"), links, persons, fathers, rules)
+    said.neighbours()
+    if known_names is not None and rules.use("famous") and said.famous(known_names):
+        said.neighbours()
+    if said.relatives():
+        said.neighbours()
+    for rule, step in (("one_side", said.one_side), ("father_pair", said.father_pairs)):
+        if rules.use(rule) and step():
+            said.neighbours()
+            if said.relatives():
+                said.neighbours()
+    results = frozen(said.whole.unionByName(said.now()))
     return drop_impossible(results, persons, rules) if "impossible" in rules.on else results

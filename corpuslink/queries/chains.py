@@ -304,3 +304,93 @@ def resolve_weighed_fathers(spark, d):
     return E.weighed_fathers(pairs)
 
 
+
+
+# ------------------------------------------------------------------ the whole resolution
+# names in the chains: of a quarter of the links a name that several persons bear, of some "his father"; fathers are the
+# persons before in a run of twelve
+NAMED = ["l_partkey % 25 = 3", "l_partkey % 4 = 0"]
+
+
+def named_links(spark, d):
+    from corpuslink.plans.ordered import number_within
+    lines = X.table(spark, d, "lineitem").select("l_orderkey", *X.LINK_ORDER)
+    rows = number_within(lines, ["l_orderkey"], [F.col(c) for c in X.LINK_ORDER], "position", hot=X.hot_key(spark, d, "lineitem", "l_orderkey"))
+    name = F.when(F.expr(NAMED[0]) & (F.col("position") > 1), "أبيه").when(F.expr(NAMED[1]), F.concat(F.lit("group "), (F.col("l_suppkey") % 29).cast("string")))
+    own = X.persons(spark, d).select(F.col("person_id").alias("l_suppkey"), F.col("name").alias("_own"))
+    return rows.join(own, "l_suppkey").select(F.col("l_orderkey").alias("chain_id"), "position", F.coalesce(name, F.col("_own")).alias("name"))
+
+
+def fathers_of(spark, d):
+    ids = X.persons(spark, d).select(F.col("person_id").alias("son"))
+    return ids.where("son % 12 > 0 AND son > 1").select("son", (F.col("son") - 1).alias("father"))
+
+
+def resolution(spark, d, rules=E.Rules(authors={"BUILDING": 7})):
+    persons, chains = X.persons(spark, d), X.chains(spark, d)
+    group = F.concat(F.lit("group "), (F.col("person_id") % 29).cast("string"))
+    aliases = persons.select("person_id", F.explode(F.array(F.col("name"), group)).alias("alias"), F.lit(0).alias("tier"))
+    segments = X.collections(spark, d).select("collection")
+    marks = persons.select("person_id").join(segments, F.pmod(F.crc32("collection"), F.lit(6)) != F.col("person_id") % 6).select("person_id", F.col("collection").alias("mark"))
+    entries = persons.select("person_id", F.concat(F.col("name"), F.lit(" مولى Supplier#"), F.lpad((F.col("person_id") + 1).cast("string"), 9, "0")).alias("entry"))
+    famous = persons.groupBy(group.alias("name")).agg(F.min("person_id").alias("person_id")).where(F.col("person_id") % 10 == 0)
+    return E.resolve(named_links(spark, d), chains, persons, aliases, marks, rules, entries=entries, known_names=famous, fathers=fathers_of(spark, d))
+
+
+@query("resolve_all")
+def resolve_all(spark, d):
+    return resolution(spark, d)
+
+
+@query("resolve_all_counts")
+def resolve_all_counts(spark, d):
+    return E.rule_counts(resolution(spark, d)).withColumn("confidence", r6("confidence"))
+
+
+@query("resolve_all_without_guesses")
+def resolve_all_without_guesses(spark, d):
+    return E.rule_counts(resolution(spark, d, E.Rules(guesses=False))).withColumn("confidence", r6("confidence"))
+
+
+# relatives: every third link is a relative of the one before, every ninth a grandfather
+KIN = """b AS (SELECT chain_id, position, coalesce(person_id, 0) AS p, CASE WHEN position > 1 AND (chain_id + position) % 3 = 0 THEN CASE WHEN (chain_id + position) % 9 = 0 THEN 2 ELSE 1 END
+    WHEN position > 1 AND (chain_id + position) % 7 = 0 THEN 2 END AS step FROM links)"""
+
+
+def kin_links(spark, d):
+    at = F.col("chain_id") + F.col("position")
+    word = F.when((F.col("position") > 1) & (at % 3 == 0), F.when(at % 9 == 0, "جده").otherwise("أبيه")).when((F.col("position") > 1) & (at % 7 == 0), "جده")
+    return X.links(spark, d).withColumn("name", F.coalesce(word, F.lit("x")))
+
+
+@query("resolve_relatives", "links persons", KIN + """, w(chain_id, position, p, kin) AS (SELECT chain_id, position, nullif(p, 0), false FROM b WHERE position = 1 UNION ALL
+    SELECT b.chain_id, b.position, CASE WHEN b.step IS NULL THEN nullif(b.p, 0) WHEN w.p % 12 >= s.up AND w.p > s.up AND (n.p IS NULL OR NOT coalesce(1 + n.p % 12 > 1 + w.p % 12 - s.up, false)) THEN w.p - s.up END,
+    b.step IS NOT NULL FROM w JOIN b ON b.chain_id = w.chain_id AND b.position = w.position + 1 CROSS JOIN LATERAL (SELECT CASE WHEN w.kin THEN 1 ELSE b.step END AS up) s
+    LEFT JOIN (SELECT chain_id, position, nullif(p, 0) AS p FROM b WHERE step IS NULL) n ON n.chain_id = b.chain_id AND n.position = b.position + 1)
+    SELECT chain_id, position, p AS person_id FROM w WHERE kin AND p IS NOT NULL""")
+def resolve_relatives(spark, d):
+    links = kin_links(spark, d)
+    known = links.select("chain_id", "position", F.when(F.col("name") == "x", F.col("person_id")).alias("person_id"), F.lit(1.0).alias("confidence"))
+    return E.relatives(links, known, fathers_of(spark, d), X.persons(spark, d)).select("chain_id", F.col("position").cast("long"), "person_id")
+
+
+# a link after an open one is "his father"
+@query("resolve_father_pairs", "persons", CANDS + """, k AS (SELECT b.*, coalesce(lag(open) OVER w, false) AND NOT open AS kin FROM base b WINDOW w AS (PARTITION BY chain_id ORDER BY position)),
+    res AS MATERIALIZED (SELECT chain_id, position, open, kin, CASE WHEN NOT open AND NOT kin THEN s END AS p FROM k),
+    ed AS MATERIALIZED (SELECT a.p AS src, b.p AS dst, count(*) AS w FROM res a JOIN res b ON b.chain_id = a.chain_id AND b.position = a.position + 1 WHERE a.p IS NOT NULL AND b.p IS NOT NULL GROUP BY ALL),
+    r AS (SELECT o.chain_id, o.position, st.p AS st, te.p AS te, c.person_id AS son, c.person_id - 1 AS father, coalesce(e.w, 0) + coalesce(f.w, 0) AS score FROM res o
+    JOIN res h ON h.chain_id = o.chain_id AND h.position = o.position + 1 AND h.kin JOIN cand c ON c.chain_id = o.chain_id AND c.position = o.position AND c.person_id % 12 > 0 AND c.person_id > 1
+    LEFT JOIN res st ON st.chain_id = o.chain_id AND st.position = o.position - 1 LEFT JOIN res te ON te.chain_id = o.chain_id AND te.position = o.position + 2
+    LEFT JOIN ed e ON e.src = st.p AND e.dst = c.person_id LEFT JOIN ed f ON f.src = c.person_id - 1 AND f.dst = te.p WHERE o.open AND NOT coalesce(1 + te.p % 12 > 1 + (c.person_id - 1) % 12, false)),
+    q AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second, count(*) OVER (PARTITION BY chain_id, position) AS rows FROM r WINDOW w AS (PARTITION BY chain_id, position ORDER BY score DESC, son DESC)),
+    nc AS (SELECT chain_id, position, count(*) AS few FROM cand GROUP BY ALL)
+    SELECT chain_id, position, son, father FROM q JOIN nc USING (chain_id, position) WHERE n = 1 AND few >= 2 AND ((rows = 1 AND few <= 3 AND coalesce(st, te) IS NOT NULL)
+    OR (score >= 1 AND score >= 3 * coalesce(second, 0) AND score > coalesce(second, 0)))""")
+def resolve_father_pairs(spark, d):
+    rows = slots(spark, d)
+    after = rows.where("open").select("chain_id", (F.col("position") + 1).alias("position"), F.lit(True).alias("_h"))
+    rows = rows.join(after, ["chain_id", "position"], "left").withColumn("kin", F.coalesce("_h", F.lit(False)) & ~F.col("open"))
+    links = rows.select("chain_id", "position", F.when(F.col("kin"), "أبيه").otherwise("x").alias("name"))
+    sure = ~F.col("open") & ~F.col("kin")
+    known = rows.select("chain_id", "position", F.when(sure, F.col("s")).alias("person_id"), F.when(sure, 1.0).alias("confidence"), F.when(sure, "name").alias("rule"), F.lit(1).alias("candidates"))
+    return E.father_pairs(known, cands(spark, d), links, fathers_of(spark, d), X.persons(spark, d)).select("chain_id", F.col("position").cast("long"), "son", "father")
