@@ -12,7 +12,7 @@ piece. A piece of more than half a sequence opens a sequence of its own; what it
    rank, and as many follow it into one gap as the longest of them fits;
 5. gaps shrink by what came in, those too small for any piece close, and the next round takes what waits.
 
-No step holds more than one range; broadcasts are the counts of ranges. A round without a match opens sequences for all that is
+No step holds more than one range of about ``RANGE_ROWS`` pieces and gaps; broadcasts are the counts of ranges. A round without a match opens sequences for all that is
 left, so that every round places pieces and the rounds end.
 
 Ids: the file's vocabulary and merges are those of a byte-level model whose merges are numbered in order; ``tiktoken`` then gives
@@ -32,14 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslink.session import frozen, removed
 
 SIZE = 1024
 END_ID = 2
+RANGE_ROWS = 100_000
 # fixed values: how byte-level models spell bytes, and the pattern of their pre-tokens
 PRINTED = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,9 +49,7 @@ class ByteIds:
     """The ids of texts by a tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as file:
             self.fast = self._numbered(json.load(file))
 
@@ -80,16 +78,30 @@ class ByteIds:
                 return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
             except ValueError:
                 pass
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+_loaded: dict[str, ByteIds] = {}  # one model while a worker tokenizes; the sweeps let it go
+
+
+def byte_ids(path: str) -> ByteIds:
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = ByteIds(path)
+    return _loaded[path]
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with ``ids`` also the ids: every document in pieces of at most ``size``, of
     which only the first may be shorter."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ByteIds(path)
+        model = byte_ids(path)
         for batch in batches:
             names, at, starts, lengths, crcs, parts = batch.column(0), [], [], [], [], []
             places = []
@@ -162,6 +174,7 @@ def _swept(rows: DataFrame) -> DataFrame:
     names = [f.name for f in rows.schema.fields if f.name != "spread"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()
         sweep, part, failed = Sweep(), TaskContext.get().partitionId(), 0
         blank = None
         for batch in batches:
@@ -242,17 +255,18 @@ def packed(cut: DataFrame, size: int = SIZE) -> DataFrame:
         both = waiting.withColumn("is_piece", F.lit(True)).unionByName(gaps.where(F.col("free") >= min(lengths)).select(*none, F.col("free").alias("size"), F.col("bin").alias("key"), F.lit(False).alias("is_piece")))
         order = [F.desc("size"), F.asc("is_piece"), F.asc("spread"), F.asc("key")]
         both = both.withColumn("spread", F.xxhash64("key"))
-        swept = frozen(_swept(both.repartitionByRange(*order).sortWithinPartitions(*order)))
+        ranges = -(-(total + new + sum(room.values())) // RANGE_ROWS)
+        swept = frozen(_swept(both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)))
         open_ = swept.where(F.col("rank").isNotNull())
         sizes = open_.groupBy("part", "is_piece").agg(F.count("*"), F.when(F.col("is_piece"), F.max("size")).otherwise(F.min("size")))
         taken = spark.createDataFrame(claims([tuple(r) for r in sizes.collect()]), "part int, lo bigint, hi bigint, gap_part int, gap_rank bigint, each bigint")  # a few numbers a range
         free = open_.where(~F.col("is_piece")).select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("key").alias("found"))
         claim = open_.where("is_piece").join(F.broadcast(taken.withColumnRenamed("gap_rank", "first_gap")), (open_["part"] == taken["part"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").drop(taken["part"])
         claim = claim.withColumn("gap_rank", F.col("first_gap") + F.expr("(rank - lo) div each")).join(free, ["gap_part", "gap_rank"], "left")
-        done = frozen(swept.where(F.col("is_piece") & F.col("bin").isNotNull()).select(*carried, "size", "key", "bin").unionByName(claim.select(*carried, "size", "key", F.col("found").alias("bin"))))
+        done = frozen(swept.where(F.col("is_piece") & F.col("bin").isNotNull()).select(*carried, "size", "key", "bin").unionByName(claim.select(*carried, "size", "key", F.col("found").alias("bin"))).coalesce(ranges))
         left = swept.where(~F.col("is_piece")).select(F.col("key").alias("bin"), F.col("size").alias("free"))
         came = claim.where(F.col("found").isNotNull()).select(F.col("found").alias("bin"), (-F.col("size")).alias("free"))
-        gaps = frozen(left.unionByName(came).groupBy("bin").agg(F.sum("free").alias("free")).where(F.col("free") > 0))
+        gaps = frozen(left.unionByName(came).groupBy("bin").agg(F.sum("free").alias("free")).where(F.col("free") > 0).coalesce(ranges))
         for table in (swept, *old):
             removed(table)
         old = [gaps]
