@@ -204,6 +204,52 @@ def cut_repeats(links: DataFrame, key: str = "name") -> DataFrame:
         open_parts = frozen(kept.withColumn("position", moved).select(*columns))
 
 
+RESTARTS = 4
+# Names that repeat nothing, the words for relatives, a name joined to another by "and".
+NOT_A_REPEAT = ("عبد الله",)
+AND_ANOTHER = r"\sو(?:\S|$)"
+RELATIVE_WORDS = ("ابيه", "ابي", "ابوه", "جده", "جدي", "امه", "عمه", "اخيه")
+
+
+def cut_restarts(links: DataFrame, rounds: int = RESTARTS) -> DataFrame:
+    """A road that was begun again without a sign (C5): of two mentions of a name the road is read to the first and goes on from
+    the second; if the first is the road's beginning, the second begins a road of its own (``part`` 2, 3 …). Two mentions are one
+    man, and no namesake, only where the same name follows both, where the link after the first is heard in the first person
+    (``fresh``), or where between them a name is joined by "and". ``links(chain_id, position, name, fresh)``.
+
+    A round makes the first such cut of every road, at most ``rounds`` times, and reads only the roads that it cut before. Relatives, names
+    of one or two letters and those that begin or end many roads repeat nothing, nor does a name directly behind itself."""
+    said = name_key(F.col("name"))
+    usable = (F.length(said) > 2) & ~said.isin(*NOT_A_REPEAT) & ~normalize(F.col("name")).isin(*RELATIVE_WORDS)
+    columns = [*[c for c in links.columns if c != "part"], "part"]
+    rows = links.withColumn("part", F.lit(1)).withColumn("_said", said).withColumn("_key", F.when(usable, said)).withColumn(
+        "_and", normalize(F.col("name")).rlike(AND_ANOTHER).cast("int"))
+    place, done = ["chain_id", "part"], []
+    rows = frozen(rows)
+    for turn in range(rounds + 1):
+        after = rows.select(*place, (F.col("position") - 1).alias("position"), F.col("_said").alias("_next"), F.col("fresh").alias("_anew"))
+        marked = frozen(running_total(rows, place, [F.col("position")], F.col("_and"), "_ands").join(after, [*place, "position"], "left"))
+        first = marked.where(F.col("_key").isNotNull()).select(*place, "_key", F.col("position").alias("_j"), F.col("_next").alias("_next_j"), F.col("_anew").alias("_anew_j"),
+                                                               (F.col("_ands") - F.col("_and")).alias("_ands_j"))
+        again = marked.where(F.col("_key").isNotNull()).select(*place, "_key", F.col("position").alias("_i"), "_next", (F.col("_ands") - F.col("_and")).alias("_ands_i"))
+        same = (F.col("_next") == F.col("_next_j")) | F.col("_anew_j") | (F.col("_ands_i") > F.col("_ands_j"))
+        pairs = again.join(first, [*place, "_key"]).where((F.col("_i") > F.col("_j") + 1) & F.coalesce(same, F.lit(False)))
+        cut = frozen(pairs.groupBy(*place).agg(F.min(F.struct("_i", "_j")).alias("_cut")))
+        if turn == rounds or cut.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(cut, place, "left_anti"))
+        i, j = F.col("_cut._i"), F.col("_cut._j")
+        held = rows.join(cut, place).withColumn("_own", j == 1)
+        parts = rows.groupBy("chain_id").agg(F.max("part").alias("_parts"))
+        kept = held.where(F.col("_own") | (F.col("position") <= j) | (F.col("position") > i)).join(parts, "chain_id")
+        new = F.col("_own") & (F.col("position") >= i)
+        moved = F.when(new, F.col("position") - i + 1).when(~F.col("_own") & (F.col("position") > i), F.col("position") - (i - j)).otherwise(F.col("position"))
+        part = F.when(new, F.col("_parts") + F.col("part")).otherwise(F.col("part"))
+        rows = frozen(kept.withColumn("_p", moved).withColumn("part", part).drop("position", "_cut", "_own", "_parts").withColumnRenamed("_p", "position").select(*rows.columns))
+    return reduce(DataFrame.unionByName, done).select(*columns)
+
+
 def borrow_previous(reports: DataFrame, chains: DataFrame, links: DataFrame, from_him: str, same_chain: str) -> tuple[DataFrame, DataFrame]:
     """Reports without a chain that point to the one before (C6): "from him" takes the last link, "with this chain" the
     whole chain of the nearest earlier report of the collection that has one. ``reports(report_id, collection,

@@ -15,7 +15,6 @@ from corpuslink.session import frozen
 FUZZY_BELOW = 10
 LOOSE_COST, ONE_OFF_COST = 1000, 2000
 RERANK = 400
-QUERIES_AT_ONCE = 200
 WEAK_BELOW = 0.7
 
 
@@ -47,25 +46,62 @@ def _loose_same(query: Column, word: Column) -> Column:
     return (word == query) | ((F.length(query) >= 3) & F.startswith(word, query))
 
 
+def _begin(word: Column) -> Column:
+    """What a query word of three letters or more and a name word that it begins have in common; a shorter one is met whole."""
+    return F.when(F.length(word) < 3, F.concat(F.lit("="), word)).otherwise(F.concat(F.lit("^"), F.substring(word, 1, 3)))
+
+
+def _unarticled(word: Column) -> Column:
+    return F.when(F.startswith(word, F.lit("ال")) & (F.length(word) > 3), F.substring(word, 3, 1000)).otherwise(word)
+
+
+def _whole(word: Column) -> Column:
+    return F.concat(F.lit("="), word)
+
+
+def _bent(word: Column) -> Column:
+    """The first four letters of a word, and those with one of them but the first left out: two words one letter apart, or
+    one and a beginning of the other, that agree in their first letter have one of these in common."""
+    head = F.substring(word, 1, 4)
+    cut = F.transform(F.sequence(F.lit(2), F.greatest(F.length(head), F.lit(2))), lambda i: F.concat(F.substr(head, F.lit(1), i - 1), F.substr(head, i + 1)))
+    return F.transform(F.array_union(F.array(head), cut), lambda k: F.concat(F.lit("~"), k))
+
+
+# The keys that words of queries and of names meet by, of each pass: of a query word any one, of a name word all.
+PASSES = (
+    (_same, 0, "", lambda q: F.array(_begin(q)), lambda w: F.array(_begin(w), _begin(_unarticled(w)), _whole(w), _whole(_unarticled(w)))),
+    (_loose_same, LOOSE_COST, "_loose", lambda q: F.array(F.when(F.length(q) < 3, _whole(q)).otherwise(_begin(q))), lambda w: F.array(_begin(w), _whole(w))),
+    (one_off, ONE_OFF_COST, "_loose", lambda q: F.when(F.length(q) < 4, F.array(_whole(q))).otherwise(_bent(q)), lambda w: F.array_append(_bent(w), _whole(w))),
+)
+
+
 def search_persons(names: DataFrame, queries: DataFrame, uses: DataFrame | None = None, own_weight: int = 10) -> DataFrame:
     """Persons for each query with their score (Q17): ``(query_id, person_id, score, pass)``. ``names(person_id, name,
     own)`` (own = the entry itself), ``queries(query_id, text)``, ``uses(person_id, links)`` to break ties.
 
     The exact pass runs for every query; the loose pass for queries with fewer than ten matches; the one-letter-off
-    pass for those still short. The queries are the small side; names are scanned once per pass, as there is no key
-    for "contains in order"."""
+    pass for those still short. In each pass the names' words are posted under keys, and a query is looked up by the one of its
+    words whose keys have the fewest postings; only the names found there are compared word by word."""
     key = lambda c: F.transform(blank_split(c), skeleton)
     arabic = lambda c: c.rlike("[؀-ۿ]")
-    if queries.count() > QUERIES_AT_ONCE:
-        raise ValueError(f"at most {QUERIES_AT_ONCE} queries at once: names are scanned per query")
     asked = queries.select("query_id", F.when(arabic(F.col("text")), name_tokens(F.col("text"))).otherwise(
         key(F.lower("text"))).alias("_q"), arabic(F.col("text")).alias("_arabic"))
-    asked = asked.withColumn("_q_loose", F.transform("_q", loose))
-    people = names.select("person_id", "own", name_tokens(F.col("name")).alias("_words"), key(F.col("name")).alias("_bones"))
-    people = people.withColumn("_words_loose", F.transform("_words", loose)).withColumn("_bones_loose", F.transform("_bones", loose))
-
-    def run(wanted: DataFrame, same, cost: int, tail: str, number: int) -> DataFrame:
-        pairs = people.crossJoin(wanted).select(  # the queries: a handful, bounded above
+    asked = frozen(asked.withColumn("_q_loose", F.transform("_q", loose)))
+    people = names.select("person_id", "own", name_tokens(F.col("name")).alias("_words"), key(F.col("name")).alias("_bones"), F.monotonically_increasing_id().alias("_row"))
+    people = frozen(people.withColumn("_words_loose", F.transform("_words", loose)).withColumn("_bones_loose", F.transform("_bones", loose)))
+
+    def run(wanted: DataFrame, same, cost: int, tail: str, query_keys, name_keys, number: int) -> DataFrame:
+        posted = lambda column, is_arabic: people.select("_row", F.lit(is_arabic).alias("_arabic"), F.explode(F.array_distinct(F.flatten(
+            F.transform(column + tail, name_keys)))).alias("_key"))
+        postings = frozen(posted("_words", True).unionByName(posted("_bones", False)))
+        words = wanted.select("query_id", "_arabic", F.posexplode("_q" + tail).alias("_at", "_w"))
+        keys = frozen(words.select("query_id", "_arabic", "_at", F.explode(F.array_distinct(query_keys(F.col("_w")))).alias("_key")))
+        asked_for = keys.select("_arabic", "_key").distinct()
+        counts = postings.join(asked_for, ["_arabic", "_key"], "left_semi").groupBy("_arabic", "_key").agg(F.count(F.lit(1)).alias("_n"))
+        rare = keys.join(counts, ["_arabic", "_key"], "left").groupBy("query_id", "_at").agg(F.sum(F.coalesce("_n", F.lit(0))).alias("_n"))
+        rare = rare.groupBy("query_id").agg(F.min_by("_at", F.struct("_n", "_at")).alias("_at"))
+        near = keys.join(rare, ["query_id", "_at"]).join(postings, ["_arabic", "_key"]).select("query_id", "_row").distinct()
+        pairs = near.join(wanted, "query_id").join(people, "_row").select(
             "query_id", "person_id", "own", F.col("_q" + tail).alias("_query"),
             F.when(F.col("_arabic"), F.col("_words" + tail)).otherwise(F.col("_bones" + tail)).alias("_name"))
         scored = pairs.withColumn("_s", ordered_score(F.col("_query"), F.col("_name"), same)).where(F.col("_s").isNotNull())
@@ -73,13 +109,13 @@ def search_persons(names: DataFrame, queries: DataFrame, uses: DataFrame | None
         return scored.groupBy("query_id", "person_id").agg((F.max(F.col("_s") * weight) - cost).alias("score")).withColumn(
             "pass", F.lit(number))
 
-    out = frozen(run(asked, _same, 0, "", 0))
-    for number, (same, cost) in enumerate(((_loose_same, LOOSE_COST), (one_off, ONE_OFF_COST)), start=1):
+    out = frozen(run(asked, *PASSES[0], 0))
+    for number in (1, 2):
         counts = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-        short = asked.join(counts, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < FUZZY_BELOW).drop("_n")
+        short = frozen(asked.join(counts, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < FUZZY_BELOW).drop("_n"))
         if short.isEmpty():
             break
-        more = run(short, same, cost, "_loose", number)
+        more = run(short, *PASSES[number], number)
         out = frozen(out.union(more.join(out.select("query_id", "person_id"), ["query_id", "person_id"], "left_anti")))
     if uses is None:
         return out

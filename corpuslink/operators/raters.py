@@ -12,6 +12,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,80 +212,83 @@ def posterior(prior: list[float], theta: dict[str, list[list[float]]]) -> Column
         a, likelihood[F.concat_ws(":", v["rater"], v["grade"].cast("string"))], lambda x, y: x * y))
 
 
-def _expected_counts(data: DataFrame, raters: list[str], models: dict[int, tuple[np.ndarray, np.ndarray]] | None) -> dict:
-    """One round over ``data(rep, n, raters, grades)``: per replicate the log-likelihood, Σ p(k) and each rater's expected
-    counts. Without models the votes' own shares stand for the probabilities."""
-    place = {r: i for i, r in enumerate(raters)}
-
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            sizes = part["raters"].map(len).to_numpy()
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            who = np.array([place[r] for r in np.concatenate(part["raters"].to_numpy())])
-            what = np.concatenate(part["grades"].to_numpy()).astype(int)
-            weight = part["n"].to_numpy(float)
-            for rep, index in part.groupby("rep").indices.items():
-                if models is not None and rep not in models:
-                    continue
-                votes = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in index])
-                first = np.concatenate([[0], np.cumsum(sizes[index])[:-1]])
-                if models is None:
-                    p = np.add.reduceat(np.eye(K)[what[votes]], first) / sizes[index][:, None]
-                    loglik = 0.0
-                else:
-                    prior, theta = models[rep]
-                    logs = np.add.reduceat(np.log(theta[who[votes], :, what[votes]]), first) + np.log(np.maximum(prior, 1e-12))
-                    top = logs.max(axis=1, keepdims=True)
-                    p = np.exp(logs - top)
-                    total = p.sum(axis=1, keepdims=True)
-                    loglik = float((weight[index] * (np.log(total) + top)[:, 0]).sum())
-                    p = p / total
-                p = p * weight[index][:, None]
-                counts = np.zeros((len(raters), K, K))
-                np.add.at(counts, (who[votes], slice(None), what[votes]), np.repeat(p, sizes[index], axis=0))
-                flat = np.concatenate([[loglik], p.sum(axis=0), counts.ravel()])
-                yield pd.DataFrame({"rep": rep, "at": np.arange(len(flat)), "v": flat})
-
-    sums = data.mapInPandas(batches, "rep int, at int, v double").groupBy("rep", "at").agg(F.sum("v").alias("v")).collect()
-    out: dict[int, np.ndarray] = {}
-    for row in sums:
-        out.setdefault(row["rep"], np.zeros(1 + K + len(raters) * K * K))[row["at"]] = row["v"]
-    return out
-
-
-def fit_all(data: DataFrame, iterations: int, tolerance: float) -> dict[int, DawidSkene]:
-    """The model of every replicate of ``data(rep, votes, n)`` at once (I4, I5): one pass a round over the patterns; what
-    returns is replicates × raters × K² numbers. A replicate whose likelihood stands is left as it is."""
-    rows = frozen(data.select(F.col("rep").cast("int").alias("rep"), F.col("n").cast("double").alias("n"),
-                              F.transform("votes", lambda v: v["rater"]).alias("raters"), F.transform("votes", lambda v: v["grade"]).alias("grades")))
+def _expected_counts(data: DataFrame, raters: list[str], reps: list[int], models: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round over ``data(weights, raters, grades)`` for the replicates ``reps``: their log-likelihoods, Σ p(k) and each
+    rater's expected counts. A batch of patterns is one matrix of votes; the probabilities under all models and the counts are
+    two matrix products. Without models the votes' own shares stand for the probabilities. A task hands on one array, and arrays
+    are added in two steps."""
+    place, n, a = {r: i for i, r in enumerate(raters)}, len(raters), len(reps)
+    size = a * (1 + K + n * K * K)
+    if models is not None:
+        priors = np.log(np.maximum(models[0], 1e-12))
+        logs = np.log(models[1]).transpose(1, 3, 0, 2).reshape(n * K, a * K)
+
+    def share(batch: pa.RecordBatch) -> np.ndarray:
+        sizes = pa.compute.list_value_length(batch.column("raters")).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        who = np.array([place[r] for r in batch.column("raters").flatten().to_pylist()], int)
+        votes = np.zeros((len(batch), n * K))
+        np.add.at(votes, (row, who * K + batch.column("grades").flatten().to_numpy()), 1)
+        weight = batch.column("weights").flatten().to_numpy().reshape(len(batch), -1)[:, reps]
+        if models is None:
+            p = np.repeat((votes.reshape(-1, n, K).sum(axis=1) / sizes[:, None])[:, None, :], a, axis=1)
+            loglik = np.zeros(a)
+        else:
+            p = (votes @ logs).reshape(-1, a, K) + priors
+            top = p.max(axis=2, keepdims=True)
+            p = np.exp(p - top)
+            total = p.sum(axis=2, keepdims=True)
+            loglik = (weight * (np.log(total) + top)[:, :, 0]).sum(axis=0)
+            p = p / total
+        p = p * weight[:, :, None]
+        counts = (votes.T @ p.reshape(-1, a * K)).reshape(n, K, a, K).transpose(2, 0, 3, 1)
+        return np.concatenate([loglik, p.sum(axis=0).ravel(), counts.ravel()])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((share(b) for b in batches if len(b)), np.zeros(size))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["share"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x.as_py()) for b in batches for x in b.column(0)), np.zeros(size))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["share"])
+
+    parts = max(1, math.isqrt(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = data.mapInArrow(first, "share binary").repartition(parts).mapInArrow(second, "share binary").collect()  # a few arrays
+    flat = sum((np.frombuffer(r[0]) for r in rows), np.zeros(size))
+    return flat[:a], flat[a:a + a * K].reshape(a, K), flat[a + a * K:].reshape(a, n, K, K)
+
+
+def fit_all(data: DataFrame, limits: list[tuple[int, float]]) -> dict[int, DawidSkene]:
+    """The models of all replicates of ``data(votes, weights)`` at once (I4, I5): ``weights`` holds a pattern's weight in each
+    replicate, ``limits`` each one's most rounds and tolerance. One pass a round over the patterns; what returns is replicates ×
+    raters × K² numbers. A replicate whose likelihood stands is left as it is; one without any weight has no model."""
+    rows = frozen(data.select("weights", F.transform("votes", lambda v: v["rater"].cast("string")).alias("raters"),
+                              F.transform("votes", lambda v: v["grade"].cast("int")).alias("grades")))
     raters = sorted(r[0] for r in rows.select(F.explode("raters")).distinct().collect())
     found: dict[int, DawidSkene] = {}
-    models: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
-    previous: dict[int, float] = {}
-    for turn in range(1, iterations + 2):
-        sums = _expected_counts(rows, raters, models)
-        following = {}
-        for rep, flat in sums.items():
+    reps, models, before, turn = list(range(len(limits))), None, {}, 0
+    while reps and raters:
+        loglik, shares, counts = _expected_counts(rows, raters, reps, models)
+        going = []
+        for i, rep in enumerate(reps):
             if models is not None:
-                prior, theta = models[rep]
-                named = {r: theta[i].tolist() for i, r in enumerate(raters)}
-                found[rep] = DawidSkene(prior.tolist(), named, flat[0], turn - 1)
-                if turn > iterations or (rep in previous and abs(flat[0] - previous[rep]) < tolerance * abs(previous[rep])):
+                found[rep] = DawidSkene(models[0][i].tolist(), {r: models[1][i, j].tolist() for j, r in enumerate(raters)}, float(loglik[i]), turn)
+                rounds, tolerance = limits[rep]
+                if turn >= rounds or (rep in before and abs(loglik[i] - before[rep]) < tolerance * abs(before[rep])):
                     continue
-                previous[rep] = flat[0]
-            counts = flat[1 + K:].reshape(len(raters), K, K) + 0.5
-            following[rep] = (flat[1:1 + K] / flat[1:1 + K].sum(), counts / counts.sum(axis=2, keepdims=True))
-        if not following:
-            break
-        models = following
+                before[rep] = loglik[i]
+            if shares[i].sum() > 0:
+                going.append(i)
+        turn += 1
+        counts = counts[going] + 0.5
+        models = (shares[going] / shares[going].sum(axis=1, keepdims=True), counts / counts.sum(axis=3, keepdims=True))
+        reps = [reps[i] for i in going]
     return found
 
 
 def dawid_skene(patterns_: DataFrame, iterations: int = 200, tolerance: float = 1e-6) -> DawidSkene:
     """EM for the raters' confusion matrices (I4): soft-majority start, +0.5 smoothing, until the likelihood stands."""
-    return fit_all(patterns_.withColumn("rep", F.lit(0)), iterations, tolerance)[0]
+    return fit_all(patterns_.withColumn("weights", F.array(F.col("n").cast("double"))), [(iterations, tolerance)])[0]
 
 
 def with_posterior(patterns_: DataFrame, model: DawidSkene) -> DataFrame:
@@ -346,13 +351,15 @@ def measured_against(patterns_: DataFrame, model: DawidSkene, raters: list[str])
 
 
 def strictness(patterns_: DataFrame, refits: int = 40, seed: int = SEED) -> DataFrame:
-    """Strictness of every rater with its 95% interval from refits on resampled units."""
+    """Strictness of every rater with its 95% interval from refits on resampled units (I5). The fit on all units and the refits
+    are the replicates of one estimation: a pattern carries its resampled weights as an array."""
     spark = patterns_.sparkSession
-    data = frozen(patterns_)
-    value = dawid_skene(data).strictness()
-    fits = fit_all(resampled(data, ["pattern"], replicates=refits, seed=seed), 60, 1e-5) if refits else {}
-    found = [(rep, r, v) for rep, model in fits.items() for r, v in model.strictness().items()]
-    out = spark.createDataFrame(sorted(value.items()), "rater string, strictness double")
+    n = F.col("n").cast("double")
+    draw = lambda rep: poisson_draw(n, F.pmod(F.xxhash64(F.lit(seed), rep, F.col("pattern")), F.lit(1 << 52)) / float(1 << 52)).cast("double")
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(refits - 1).cast("long")), draw) if refits else F.array().cast("array<double>")
+    fits = fit_all(patterns_.withColumn("weights", F.concat(F.array(n), drawn)), [(200, 1e-6)] + [(60, 1e-5)] * refits)
+    out = spark.createDataFrame(sorted(fits[0].strictness().items()), "rater string, strictness double")
+    found = [(rep, r, v) for rep, model in fits.items() if rep for r, v in model.strictness().items()]
     if not found:
         return out
     draws = spark.createDataFrame(found, "rep int, rater string, strictness double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslink.functions.rules import citation_marks
 from corpuslink.functions.text import WORD, normalize, tokens
+from corpuslink.operators.dictionary import occurring
 from corpuslink.plans.ordered import running_total, top_within
 from corpuslink.session import frozen
 
@@ -224,21 +225,20 @@ def best_parallels(items: DataFrame, others: DataFrame, threshold: float = 0.6,
 
 # ------------------------------------------------------------------ phrases
 HEAD = 400
-PATTERNS_AT_ONCE = 5000
 
 
 def phrase_tags(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(report_id, tag)`` by phrases (R10). ``texts(report_id, scale, norm, chain)``; ``patterns(tag, scale, how,
     pattern)`` with how = any, all, head (the first 400 letters) or chain (the stored chain). A tag's patterns are of
-    one kind; the table is a rule table, looked at for every text."""
-    if patterns.count() > PATTERNS_AT_ONCE:
-        raise ValueError(f"a phrase table holds at most {PATTERNS_AT_ONCE} patterns")
-    told = patterns.select("tag", F.col("scale").alias("_scale"), "how", normalize(F.col("pattern")).alias("_p"))
-    hay = F.when(F.col("how") == "head", F.substring("norm", 1, HEAD)).when(F.col("how") == "chain", F.col("chain")).otherwise(F.col("norm"))
-    hits = texts.join(told, (F.col("scale") == F.col("_scale")) & F.coalesce(F.contains(hay, F.col("_p")), F.lit(False)))
+    one kind. The patterns are a dictionary: each text is read once for all of them."""
+    told = frozen(patterns.select("tag", "scale", F.when(F.col("how").isin("head", "chain"), F.col("how")).otherwise("norm").alias("kind"),
+                                  normalize(F.col("pattern")).alias("string")))
+    hays = {"norm": F.col("norm"), "head": F.substring("norm", 1, HEAD), "chain": F.col("chain")}
+    found = occurring(texts, "report_id", hays, told)
+    hits = found.join(told, ["kind", "string"]).join(texts.select("report_id", "scale"), ["report_id", "scale"], "left_semi")
     needed = patterns.groupBy("tag").agg(F.max(F.when(F.col("how") == "all", 1).otherwise(0)).alias("_all"),
                                          F.countDistinct("pattern").alias("_n"))
-    found = hits.groupBy("report_id", "tag").agg(F.countDistinct("_p").alias("_found")).join(needed, "tag")
+    found = hits.groupBy("report_id", "tag").agg(F.countDistinct("string").alias("_found")).join(needed, "tag")
     return found.where((F.col("_all") == 0) | (F.col("_found") == F.col("_n"))).select("report_id", "tag")
 
 
@@ -253,9 +253,10 @@ def tag_summary(tags: DataFrame, reports: DataFrame, parallels: DataFrame | None
 
 
 def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """In how many texts each event's phrases occur (R12). ``phrases(event, phrase)``: any of an event's phrases."""
-    told = phrases.select("event", normalize(F.col("phrase")).alias("_p"))
-    hits = texts.join(told, F.contains(F.col("norm"), F.col("_p"))).select("event", "report_id").distinct()
+    """In how many texts each event's phrases occur (R12). ``phrases(event, phrase)``: any of an event's phrases. The phrases
+    are a dictionary: each text is read once for all of them."""
+    told = frozen(phrases.select("event", F.lit("norm").alias("kind"), normalize(F.col("phrase")).alias("string")))
+    hits = occurring(texts, "report_id", {"norm": F.col("norm")}, told).join(told, ["kind", "string"]).select("event", "report_id").distinct()
     counts = hits.groupBy("event").agg(F.count(F.lit(1)).alias("texts"))
     return phrases.select("event").distinct().join(counts, "event", "left").na.fill(0, ["texts"])
 

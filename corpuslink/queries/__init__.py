@@ -4,7 +4,7 @@ from importlib import import_module
 
 from corpuslink.queries.registry import ORACLES, QUERIES
 
-MODULES = ("corpus", "graph", "text", "search", "relations", "raters", "chains", "meaning", "tables")
+MODULES = ("corpus", "graph", "entries", "text", "search", "relations", "raters", "chains", "meaning", "tables")
 
 for _name in MODULES:
     import_module(f"corpuslink.queries.{_name}")

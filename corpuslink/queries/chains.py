@@ -79,10 +79,14 @@ def chains_undo_joins(spark, d):
     return C.undo_joins(links.unionByName(tail), audit).groupBy("chain_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("chains_cut_repeats", "links", """s AS (SELECT chain_id, person_id, min(position) AS f, max(position) AS g FROM links WHERE person_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
-    c AS (SELECT chain_id, min(f) AS f, arg_min(g, f) AS g FROM s GROUP BY 1), r AS (SELECT l.*, f, g FROM links l LEFT JOIN c USING (chain_id))
-    SELECT chain_id, CAST(CASE WHEN f = 1 AND position >= g THEN 2 ELSE 1 END AS INTEGER) AS part, CASE WHEN f > 1 AND position > g THEN position - (g - f)
-    WHEN f = 1 AND position >= g THEN position - g + 1 ELSE position END AS position, person_id FROM r WHERE NOT coalesce(f > 1 AND position > f AND position <= g, false)""")
+CUT = """k AS (SELECT *, coalesce(person_id, -position) AS key, first_value(coalesce(person_id, -position)) OVER w AS head FROM links WINDOW w AS (PARTITION BY chain_id ORDER BY position)),
+    p AS (SELECT *, CAST(sum(CASE WHEN key = head THEN 1 ELSE 0 END) OVER (PARTITION BY chain_id ORDER BY position) AS INTEGER) AS part FROM k),
+    s AS (SELECT chain_id, part, list(key ORDER BY position) AS l FROM p GROUP BY ALL),
+    r AS (SELECT chain_id, part, 1 AS at, l FROM s UNION ALL SELECT chain_id, part, at + 1, l[1:at] || l[len(l) - list_position(list_reverse(l), l[at]) + 2:] FROM r WHERE at <= len(l)),
+    e AS (SELECT chain_id, part, unnest(l) AS key, unnest(range(1, len(l) + 1)) AS position FROM r WHERE at = len(l) + 1)"""
+
+
+@query("chains_cut_repeats", "links", CUT + " SELECT chain_id, part, position, CASE WHEN key > 0 THEN key END AS person_id FROM e")
 def chains_cut_repeats(spark, d):
     links = X.links(spark, d)
     known = C.cut_repeats(links.withColumn("_k", F.coalesce(F.col("person_id"), -F.col("position"))), "_k")

@@ -140,14 +140,24 @@ def relations_phrase_counts(spark, d):
     return R.phrase_counts(normed(spark, d), phrases)
 
 
-@query("relations_mentions", "reports", SCALED + r""" SELECT scale, count(*) AS texts FROM s WHERE contains(norm, 'en la') OR
-    regexp_matches(regexp_replace(norm, '(^|[^\p{L}\p{N}_])(of|in) the', '', 'g'), 'the') GROUP BY 1""")
+@query("relations_mentions", "reports", SCALED + r""", o AS (SELECT report_id, norm, unnest(range(1, len(parts))) AS k, parts FROM (SELECT report_id, norm, string_split(norm, 'the') AS parts FROM s)),
+    c AS (SELECT report_id, right(' ' || substr(norm, 1, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 3 * (k - 1) AS BIGINT)), 16) AS before FROM o),
+    f AS (SELECT DISTINCT report_id FROM c WHERE NOT regexp_matches(before, '[^\p{L}\p{N}_](of|in)\s.{0,12}$'))
+    SELECT scale, count(*) AS texts FROM s WHERE contains(norm, 'en la') OR report_id IN (SELECT report_id FROM f) GROUP BY 1""")
 def relations_mentions(spark, d):
-    # "the" counts unless "of" or "in" stands directly before it; "en la" always counts
-    found = R.mentions(scaled(spark, d), ["the", "en la"], "the", ["of", "in"], reach=0)
+    # "the" counts unless "of" or "in" stands in the letters before it; "en la" always counts
+    found = R.mentions(scaled(spark, d), ["the", "en la"], "the", ["of", "in"])
     return found.groupBy("scale").agg(F.count(F.lit(1)).alias("texts"))
 
 
+# a thousand phrases at once: the first twelve letters of every body, in all the others
+@query("relations_phrase_table", "reports", NORM + """, p AS (SELECT DISTINCT substr(norm, 1, 12) AS event FROM n WHERE length(norm) >= 12)
+    SELECT event, count(DISTINCT report_id) AS texts FROM p JOIN n ON contains(norm, event) GROUP BY 1""")
+def relations_phrase_table(spark, d):
+    begins = normed(spark, d).where(F.length("norm") >= 12).select(F.substring("norm", 1, 12).alias("event")).distinct()
+    return R.phrase_counts(normed(spark, d), begins.withColumn("phrase", F.col("event")))
+
+
 @query("relations_mentions_by_scale", "reports", SCALED + """, m AS (SELECT * FROM s WHERE contains(norm, 'que la') OR contains(norm, 'of the'))
     SELECT scale, report_id, CAST(place AS INTEGER) AS place, total FROM (SELECT *, row_number() OVER (PARTITION BY scale ORDER BY
     collection, report_id) AS place, count(*) OVER (PARTITION BY scale) AS total FROM m) WHERE place <= 20""")

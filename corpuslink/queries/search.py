@@ -227,16 +227,19 @@ def search_page(spark, d):
     return S.page(found, order, 50, 25).select("report_id", "collection", "total")
 
 
-@query("search_highlights", "reports", NORM + """ SELECT report_id, CAST((length(norm) - length(replace(norm, 'tion', ''))) / 4
-    AS BIGINT) AS marks, CAST(strpos(norm, 'tion') - 1 AS INTEGER) AS first_start FROM n WHERE contains(norm, 'tion')
-    AND length(text) = length(norm)""")
+@query("search_highlights", "reports", NORM + """, h AS (SELECT report_id, text, string_split(norm, 'tion') AS parts FROM n WHERE contains(norm, 'tion')),
+    m AS (SELECT report_id, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 4 * (k - 1) AS BIGINT) AS p FROM (SELECT report_id, parts, unnest(range(1, len(parts))) AS k FROM h)),
+    c AS (SELECT report_id, i, CAST(sum(length({FOLD})) OVER (PARTITION BY report_id ORDER BY i) AS BIGINT) AS upto FROM (SELECT report_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM h)),
+    a AS (SELECT m.report_id, p, i AS start FROM m ASOF JOIN c ON c.report_id = m.report_id AND m.p < c.upto),
+    e AS (SELECT m.report_id, p, i AS stop FROM m ASOF LEFT JOIN c ON c.report_id = m.report_id AND m.p + 4 < c.upto)
+    SELECT a.report_id, CAST(sum(coalesce(stop, length(text)) - start) AS INTEGER) AS letters, CAST(min(start) AS INTEGER) AS first_start FROM a JOIN e USING (report_id, p) JOIN h ON h.report_id = a.report_id GROUP BY 1""".replace(
+        "{FOLD}", T.normalize_sql("ch")))
 def search_highlights(spark, d):
     found = normed(spark, d).where(S.matches([["tion"]], "all", False))
-    marked = S.highlighted(found, ["tion"]).where(F.length("text") == F.length("norm"))
+    marked = S.highlighted(found, ["tion"])
     # marks that touch are shown as one: their letters are counted
     letters = F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
-    return marked.select("report_id", (letters / 4).cast("long").alias("marks"),
-                         F.element_at("spans", 1)["start"].alias("first_start"))
+    return marked.select("report_id", letters.alias("letters"), F.element_at("spans", 1)["start"].alias("first_start"))
 
 
 @query("search_assembled", "reports", """SELECT r.report_id, CAST(count(*) AS INTEGER) AS texts, first(r.language) AS language,
@@ -366,6 +369,16 @@ def people_search(spark, d):
     return P.search_persons(part_names(spark, d), queries)
 
 
+# every name is asked for, thousands of queries at once
+@query("people_search_all", "", """n AS (SELECT p_partkey, replace(p_name, 'rod', 'red') AS p_name, string_split(replace(p_name, 'rod', 'red'), ' ') AS w FROM part), q AS (SELECT DISTINCT w, p_name AS text FROM n)
+    SELECT text, count(*) AS persons, max(CASE WHEN n.p_name = q.text THEN 10 * (len(q.w) + 102) ELSE 10 * len(q.w) END) AS best FROM q JOIN n ON len(q.w) = 2 AND n.w = q.w GROUP BY 1""")
+def people_search_all(spark, d):
+    names = part_names(spark, d).withColumn("name", F.replace("name", F.lit("rod"), F.lit("red")))
+    queries = names.select(F.col("name").alias("text")).distinct().withColumn("query_id", F.col("text"))
+    found = P.search_persons(names, queries).where("pass = 0")
+    return found.groupBy(F.col("query_id").alias("text")).agg(F.count(F.lit(1)).alias("persons"), F.max("score").cast("int").alias("best"))
+
+
 @query("people_keyword_search", "", """SELECT p_partkey AS person_id, CASE WHEN contains(p_name, 'red') AND contains(p_name, 'bolt')
     THEN 0 ELSE 1 END AS tier FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'red')
     AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'bolt')""")

@@ -1,5 +1,7 @@
 """Reading chains and tying names, on literal rows."""
 
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from corpuslink.operators import chains as C
@@ -166,3 +168,45 @@ def test_every_repeat_is_cut(spark):
     assert out.count() == len(got)
     assert got == {(i, k, p): name for i, c in enumerate(chains) for k, part in enumerate(cut_by_hand(c), 1) for p, name in enumerate(part, 1)}
     assert [got[0, 1, p] for p in range(1, 5)] == list("xace") and (0, 1, 5) not in got
+
+
+def restarts_by_hand(links, rounds=4):
+    """[(key, said, fresh, joined)] of one road -> its roads, as lists of places in the road."""
+    roads, done = [(list(range(len(links))), 0)], []
+    while roads:
+        road, turn = roads.pop(0)
+        hit = None
+        for b in range(len(road)) if turn < rounds else ():
+            key = links[road[b]][0]
+            for a in range(b - 1):
+                if key is not None and links[road[a]][0] == key and hit is None:
+                    follows = b + 1 < len(road) and links[road[a + 1]][1] == links[road[b + 1]][1]
+                    if follows or links[road[a + 1]][2] or any(links[road[x]][3] for x in range(a, b)):
+                        hit = a, b
+        if hit is None:
+            done.append(road)
+        elif hit[0] == 0:
+            roads += [(road[:hit[1]], turn + 1), (road[hit[1]:], turn + 1)]
+        else:
+            roads.append((road[:hit[0] + 1] + road[hit[1] + 1:], turn + 1))
+    return sorted(done)
+
+
+def test_restarts_are_cut_behind_the_guard(spark):
+    from random import Random
+    draw = Random(8)
+    pool = ["شعبة", "سفيان", "الزهري", "نافع", "عبد الله", "أبيه", "حفص وعمر"]
+    chains = [[(draw.choice(pool), draw.random() < 0.15) for _ in range(draw.randint(1, 9))] for _ in range(80)]
+    chains.append([("شعبة", False), ("محمد بن سالم", False), ("حفص بن عمر", False), ("شعبة", False), ("محمد بن سالم", False)])
+    chains.append([("عبد الرحمن", False), ("سفيان", False), ("عبد الرحمن", False)])
+    rows = [(c, i, name, fresh) for c, chain in enumerate(chains) for i, (name, fresh) in enumerate(chain, 1)]
+    links = spark.createDataFrame(rows, "chain_id long, position int, name string, fresh boolean").withColumn("_at", F.col("position"))
+    got = defaultdict(lambda: defaultdict(list))
+    for r in C.cut_restarts(links).orderBy("chain_id", "part", "position").collect():
+        got[r["chain_id"]][r["part"]].append((r["position"], r["_at"] - 1))
+    key = {r["name"]: r["k"] for r in spark.createDataFrame([(n,) for n in pool + ["محمد بن سالم", "حفص بن عمر", "عبد الرحمن"]], "name string").select("name", C.name_key(F.col("name")).alias("k")).collect()}
+    for c, chain in enumerate(chains):
+        marked = [(None if n in ("عبد الله", "أبيه") else key[n], key[n], fresh, n == "حفص وعمر") for n, fresh in chain]
+        assert all([p for p, _ in part] == list(range(1, len(part) + 1)) for part in got[c].values())
+        assert sorted([at for _, at in part] for part in got[c].values()) == restarts_by_hand(marked), chain
+    assert len(got[len(chains) - 1][1]) == 3 and len(got[len(chains) - 2]) == 2
