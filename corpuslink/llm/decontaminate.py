@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslink.llm.memory import tidy
 from corpuslink.llm.words import ALNUM, U64, signed, words_of
 from corpuslink.session import frozen
 
@@ -50,7 +51,7 @@ def test_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                                                   pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.string())],
                                                  ["code", "words", "gram", "item"])
 
-    return items.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "code bigint, words int, gram binary, item string").distinct()
+    return items.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), "code bigint, words int, gram binary, item string").distinct()
 
 
 class _Set:
@@ -127,7 +128,7 @@ def _pass(docs: DataFrame, text_col: str, rows: list, keep_text: bool) -> DataFr
             carried = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), found], [*carried, "_found"])
 
-    return docs.mapInArrow(run, result)
+    return docs.mapInArrow(tidy(run), result)
 
 
 def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -184,7 +185,7 @@ def without_hits(docs: DataFrame, items: DataFrame, mode: str = "spans", text_co
             columns_ = [pa.array(texts, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns_, batch.schema.names)
 
-    cut = found.mapInArrow(run, found.schema)
+    cut = found.mapInArrow(tidy(run), found.schema)
     return cut.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).select(*columns)
 
 

@@ -135,8 +135,11 @@ def counted(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col:
     slices = sliced(words.withColumn("size", F.least(F.char_length("term"), F.lit(long))), "term", "size", slice_chars)
     for k, part in enumerate(slices):
         sent.append(context.broadcast([(r[0], r[1]) for r in part.select("term", "number").collect()]))  # at most slice_chars characters
-        out = _counted(out, 1, sent[-1], long, k < len(slices) - 1)
+        last = k == len(slices) - 1
+        before, out = out, _counted(out, 1, sent[-1], long, not last)
+        out = out if last else frozen(out, before)
     done = frozen(out.where("n_terms > 0").withColumn("row", F.monotonically_increasing_id()))
+    removed(before)
     for one in sent:
         one.destroy()
     return done

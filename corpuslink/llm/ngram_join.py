@@ -13,7 +13,9 @@ different classes are verified as well that pass the size, position and parity f
 the classes, so none that matters is left out; there is no cap. Verification counts the shared shingles of the two texts.
 
 The parity filter compares bit fields in which every shingle of a set turns one bit: two fields differ in at most as many
-bits as the sets differ in shingles, so a pair whose fields differ in more than linked sets may can be left out safely.
+bits as the sets differ in shingles, so a pair whose fields differ in more than linked sets may can be left out safely. Lists
+carry a field of ``BITS`` bits; before texts are compared, pairs of large sets are held against wider fields, of at least a bit
+for each shingle (fields of two widths are compared by folding the wider one).
 
 Defined cases: a null text, and one without words, has an empty set and links with nothing; a text shorter than a shingle is
 one shingle; repeated rows are texts of their own with equal sets; a null id is never the smallest unless all are null; an
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 
 from corpuslink.llm.components import components
 from corpuslink.llm.keys import BROADCAST_KEYS, only
+from corpuslink.llm.memory import tidy
 from corpuslink.llm.words import NOT_WHITE, U64, Words, mixed, signed, words_of
-from corpuslink.session import frozen
+from corpuslink.session import frozen, removed
 
 WORDS, PERCENT = 5, 80
 CROWDED = 200_000
@@ -83,27 +86,33 @@ def crowded(texts: DataFrame, size: int, most: int = CROWDED) -> tuple[np.ndarra
                     sets, held = [], 0
         yield summary()
 
-    found = texts.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    found = texts.select("text").mapInArrow(tidy(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "code").limit(most).toPandas()
     codes = rows["code"].to_numpy(np.int64, copy=True).view(U64)
     order = np.argsort(codes)
     return codes[order], np.arange(len(codes) - 1, -1, -1)[order]
 
 
+def parity(own: np.ndarray, width: int) -> np.ndarray:
+    """A field of ``width`` bits in which every shingle turns the bit of its low bits."""
+    odd = np.bincount((own & U64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def heads(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(row, id, n, one, two, head, bits): every text's set by its size, a 128-bit sum and its parity field, and the head of the
-    ordered set."""
+    """(row, id, n, one, two, head, bits, wide): every text's set by its size, a 128-bit sum and its parity fields (``wide`` is empty
+    for sets of at most BITS shingles), and the head of the ordered set."""
     shared = texts.sparkSession.sparkContext.broadcast(crowded(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = shared.value
         for batch in batches:
-            n, one, two, head, bits = [], [], [], [], []
+            n, one, two, head, bits, wide = [], [], [], [], [], []
             for _, _, words in words_of(batch.column(2), NOT_WHITE, True):
                 for own in shingle_sets(words, size):
                     n.append(len(own))
-                    parity = np.bincount((own & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                    bits.append(np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8"))
+                    bits.append(parity(own, BITS))
+                    wide.append(parity(own, 1 << (len(own) - 1).bit_length()) if len(own) > BITS else [])
                     with np.errstate(over="ignore"):
                         one.append(int(signed(mixed(own).sum(keepdims=True, dtype=U64))[0]))
                         two.append(int(signed(mixed(own ^ U64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U64))[0]))
@@ -118,16 +127,18 @@ def heads(texts: DataFrame, size: int, percent: int) -> DataFrame:
                     else:
                         head.append(signed(own[:need]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                              pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                                             ["row", "id", "n", "one", "two", "head", "bits"])
+                                              pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))],
+                                             ["row", "id", "n", "one", "two", "head", "bits", "wide"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, n int, one bigint, two bigint, head array<bigint>, bits array<bigint>")
+    return texts.select("row", "id", "text").mapInArrow(tidy(run), f"row bigint, id {kind}, n int, one bigint, two bigint, head array<bigint>, bits array<bigint>, wide array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts reach the threshold. ``reps``: one row of ``texts`` for each variant."""
-    pairs = frozen(pairs)
+    """The (a, b) of ``pairs`` whose texts reach the threshold, written. ``reps``: one row of ``texts`` for each variant."""
+    own = lambda side: reps.select(F.col("variant").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}"))
+    pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(_differ_little("wide_a", "wide_b", "n_a", "n_b", percent))
+    pairs = frozen(pairs.select("a", "b"))
     sides = pairs.select(F.explode(F.array("a", "b")).alias("variant")).distinct()
     wanted = frozen(sides.join(reps, "variant").select("variant", "row"))
     n = wanted.count()
@@ -154,7 +165,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, size: int, pe
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    done = frozen(both.mapInArrow(tidy(run), "a bigint, b bigint"))
+    for table in (pairs, wanted, named):
+        removed(table)
+    return done
 
 
 def _may_link(n: str, m: str, i: str, j: str, percent: int) -> str:
@@ -164,8 +178,11 @@ def _may_link(n: str, m: str, i: str, j: str, percent: int) -> str:
 
 
 def _differ_little(x: str, y: str, n: str, m: str, percent: int) -> str:
-    """Parity filter: sets of n and m that link differ in at most (100 - percent) / (100 + percent) of n + m shingles."""
-    apart = f"aggregate(zip_with({x}, {y}, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b)"
+    """Parity filter, by fields of the same or of twice the width: sets of n and m that link differ in at most (100 - percent) / (100 + percent) of n + m shingles."""
+    halves = lambda f: f"zip_with(slice({f}, 1, size({f}) div 2), slice({f}, size({f}) div 2 + 1, size({f}) div 2), (a, b) -> a ^ b)"
+    distance = lambda f, g: f"aggregate(zip_with({f}, {g}, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b)"
+    apart = (f"CASE WHEN size({x}) = size({y}) THEN {distance(x, y)} WHEN size({x}) = 2 * size({y}) THEN {distance(halves(x), y)} "
+             f"WHEN size({y}) = 2 * size({x}) THEN {distance(x, halves(y))} ELSE 0 END")
     return f"{100 + percent} * {apart} <= {100 - percent} * ({n} + {m})"
 
 
@@ -177,7 +194,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = heads(texts, words, percent)
     sets = frozen(sets.withColumn("variant", F.xxhash64("n", "one", "two")).withColumn("group", F.xxhash64("n", "head")).drop("one", "two"))
     full = sets.where("n > 0")
-    reps = frozen(full.groupBy("variant").agg(F.min("row").alias("row"), F.min("group").alias("group"), F.min("n").alias("n"), F.first("bits").alias("bits")))
+    reps = frozen(full.groupBy("variant").agg(F.min("row").alias("row"), F.min("group").alias("group"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     members = reps.groupBy("group").agg(F.min("variant").alias("lead"), F.count("*").alias("variants"))
     posted = full.select("group", "n", "head").dropDuplicates(["group"]).select("group", "n", F.size("head").alias("held"), F.posexplode("head").alias("place", "shingle"))
     posted = frozen(posted)
@@ -189,7 +206,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     common = shared.groupBy("group").agg((F.count("*") / F.max("held")).alias("common"))
     first = F.min(F.struct((-F.col("common")).alias("own"), "n", "group", "place")).alias("first")
     firsts = frozen(shared.join(common, "group").groupBy("shingle").agg(first))
-    shared = frozen(shared.drop("held").join(firsts, "shingle"))
+    removed(posted)
+    shared = frozen(shared.drop("held").join(firsts, "shingle"), shared)
     meet = shared.where("group <> first.group").where(_may_link("n", "first.n", "place", "first.place", percent)).select("group", F.col("first.group").alias("to")).distinct()
     leads = members.select(F.col("group").alias("to"), F.col("lead").alias("b"))
     across = meet.join(leads, "to").join(reps.select("group", F.col("variant").alias("a")), "group").select("a", "b")
@@ -198,7 +216,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     tried = frozen(across.unionByName(within).distinct().join(fields.select(F.col("variant").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_x")), "a")
                    .join(fields.select(F.col("variant").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_y")), "b")
                    .where(_differ_little("_x", "_y", "_n", "_m", percent)).select("a", "b"))
-    links = frozen(_verified(tried, texts, reps, words, percent))
+    links = _verified(tried, texts, reps, words, percent)
     found = components(links)
 
     # what still joins different classes: by shingle, and within groups of several variants
@@ -208,13 +226,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     within = of.join(members.where("variants > 1").select("group"), "group").select(F.col("group").alias("shingle"), "group", F.lit(0).alias("place"), "variant", "n", "class")
     lists = frozen(lists.select("shingle", "group", "place", "variant", "n", "class").unionByName(within))
     open_ = lists.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
-    lists = frozen(lists.join(open_, "shingle").join(fields.select("variant", "bits"), "variant"))
+    lists = frozen(lists.join(open_, "shingle").join(fields.select("variant", "bits"), "variant"), lists)
     x, y = lists.alias("x"), lists.alias("y")
     pairs = x.join(y, F.expr("x.shingle = y.shingle AND x.class < y.class AND " + _may_link("x.n", "y.n", "x.place", "y.place", percent)
                             + " AND " + _differ_little("x.bits", "y.bits", "x.n", "y.n", percent)))
     pairs = pairs.select(F.col("x.variant").alias("a"), F.col("y.variant").alias("b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = frozen(_verified(pairs, texts, reps, words, percent))
+    more = _verified(pairs, texts, reps, words, percent)
+    for table in (shared, lists, firsts, of):
+        removed(table)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
@@ -222,7 +242,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     smallest = full.groupBy("variant").agg(F.min("id").alias("id")).join(labels, "variant")
     smallest = smallest.groupBy("class").agg(F.min("id").alias("component_id")).join(labels, "class").select("variant", "component_id")
     out = sets.select("id", F.col("n").cast("long").alias("n_shingles"), "variant").join(smallest, "variant", "left")
-    return out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    done = frozen(out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+    for table in (sets, reps, tried, links, more):
+        removed(table)
+    return done
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslink.llm.memory import forgotten, tidy
 from corpuslink.session import frozen
 
 SIZE = 2048
@@ -106,7 +107,7 @@ class WordIds:
         return b"".join(out)
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[str, WordIds] = forgotten({})
 
 
 def word_ids(path: str) -> WordIds:
@@ -138,7 +139,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = PIECE.replace("doc_id bigint", f"doc_id {source.schema['doc_id'].dataType.simpleString()}")
-    return source.mapInArrow(run, kind + (", ids binary" if ids else ""))
+    return source.mapInArrow(tidy(run), kind + (", ids binary" if ids else ""))
 
 
 def best_pattern(prices: np.ndarray, lengths: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslink.llm.memory import tidy
 from corpuslink.session import frozen
 
 SAMPLE = 12_000
@@ -222,7 +223,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     counts = (Counter(), Counter())
         yield summary()
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "feature string, toxic bigint, clean bigint")
+    counted = rows.select("text", "toxic").mapInArrow(tidy(run), "feature string, toxic bigint, clean bigint")
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -243,7 +244,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE) -> Grammar:
             held = [sorted(_in_context(t, shared.value)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], ["held"])
 
-    held = [r[0] for r in rows.where("toxic = 1").select("text").mapInArrow(hold, "held array<string>").collect()]
+    held = [r[0] for r in rows.where("toxic = 1").select("text").mapInArrow(tidy(hold), "held array<string>").collect()]
     contexts = Counter(x.rpartition(" ")[0] for x in {x for text in held for x in text})
     texts = [{x.rpartition(" ")[0] for x in text} for text in held]
     share = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -272,7 +273,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE) -> Grammar:
             columns = [pa.array([k[i] for k in known], pa.int32() if i < 3 else pa.float64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["n", "heavy", "soft", "guess", "toxic"])
 
-    seen = rows.select("text", "toxic").mapInArrow(cells, "n int, heavy int, soft int, guess double, toxic int")
+    seen = rows.select("text", "toxic").mapInArrow(tidy(cells), "n int, heavy int, soft int, guess double, toxic int")
     for n, heavy, soft, guess, toxic, clean in seen.groupBy("n", "heavy", "soft").agg(F.avg("guess"), F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect():
         share = logistic(guess) if n else 0.02
         value = math.log((toxic + GUESS * share) / (clean + GUESS * (1 - share)))
@@ -343,7 +344,7 @@ def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text", keep_text:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= limit) for s in scores], pa.int32())], [*names, "score", "predicted"])
 
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def not_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from corpuslink.llm.memory import forgotten
+
 PIECE_BYTES = 1 << 19
 U64 = np.uint64
 
@@ -57,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = forgotten({})
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -456,4 +456,4 @@ def test_toxicity_is_learnt(spark, nothing):
 
 def test_registered():
     assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("""html_extract chat_format secrets ngram_join packing toxicity
-        exact_dedup substring_dedup decontaminate token_counts""".split(), 1))
+        exact_dedup substring_dedup decontaminate token_counts lexical_search best_fit_packing whitening""".split(), 1))
