@@ -355,9 +355,9 @@ def strictness(patterns_: DataFrame, refits: int = 40, seed: int = SEED) -> Data
     are the replicates of one estimation: a pattern carries its resampled weights as an array."""
     spark = patterns_.sparkSession
     n = F.col("n").cast("double")
-    draw = lambda rep: poisson_draw(n, F.pmod(F.xxhash64(F.lit(seed), rep, F.col("pattern")), F.lit(1 << 52)) / float(1 << 52)).cast("double")
-    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(refits - 1).cast("long")), draw) if refits else F.array().cast("array<double>")
-    fits = fit_all(patterns_.withColumn("weights", F.concat(F.array(n), drawn)), [(200, 1e-6)] + [(60, 1e-5)] * refits)
+    draw = lambda rep: poisson_draw(n, F.pmod(F.xxhash64(F.lit(seed), F.lit(rep).cast("long"), "pattern"), F.lit(1 << 52)) / float(1 << 52)).cast("double")
+    drawn = [draw(rep) for rep in range(refits)]
+    fits = fit_all(patterns_.withColumn("weights", F.array(n, *drawn)), [(200, 1e-6)] + [(60, 1e-5)] * refits)
     out = spark.createDataFrame(sorted(fits[0].strictness().items()), "rater string, strictness double")
     found = [(rep, r, v) for rep, model in fits.items() if rep for r, v in model.strictness().items()]
     if not found:

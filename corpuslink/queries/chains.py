@@ -82,11 +82,11 @@ def chains_undo_joins(spark, d):
 CUT = """k AS (SELECT *, coalesce(person_id, -position) AS key, first_value(coalesce(person_id, -position)) OVER w AS head FROM links WINDOW w AS (PARTITION BY chain_id ORDER BY position)),
     p AS (SELECT *, CAST(sum(CASE WHEN key = head THEN 1 ELSE 0 END) OVER (PARTITION BY chain_id ORDER BY position) AS INTEGER) AS part FROM k),
     s AS (SELECT chain_id, part, list(key ORDER BY position) AS l FROM p GROUP BY ALL),
-    r AS (SELECT chain_id, part, 1 AS at, l FROM s UNION ALL SELECT chain_id, part, at + 1, l[1:at] || l[len(l) - list_position(list_reverse(l), l[at]) + 2:] FROM r WHERE at <= len(l)),
-    e AS (SELECT chain_id, part, unnest(l) AS key, unnest(range(1, len(l) + 1)) AS position FROM r WHERE at = len(l) + 1)"""
+    r AS (SELECT chain_id, part, 1 AS k, l FROM s UNION ALL SELECT chain_id, part, k + 1, list_concat(list_slice(l, 1, k), list_slice(l, len(l) - list_position(list_reverse(l), list_extract(l, k)) + 2, len(l))) FROM r WHERE k <= len(l)),
+    e AS (SELECT chain_id, part, unnest(l) AS key, unnest(range(1, len(l) + 1)) AS position FROM r WHERE k = len(l) + 1)"""
 
 
-@query("chains_cut_repeats", "links", CUT + " SELECT chain_id, part, position, CASE WHEN key > 0 THEN key END AS person_id FROM e")
+@query("chains_cut_repeats", "links", CUT + " SELECT chain_id, part, position, CASE WHEN key >= 0 THEN key END AS person_id FROM e")
 def chains_cut_repeats(spark, d):
     links = X.links(spark, d)
     known = C.cut_repeats(links.withColumn("_k", F.coalesce(F.col("person_id"), -F.col("position"))), "_k")

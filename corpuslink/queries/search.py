@@ -229,11 +229,12 @@ def search_page(spark, d):
 
 @query("search_highlights", "reports", NORM + """, h AS (SELECT report_id, text, string_split(norm, 'tion') AS parts FROM n WHERE contains(norm, 'tion')),
     m AS (SELECT report_id, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + 4 * (k - 1) AS BIGINT) AS p FROM (SELECT report_id, parts, unnest(range(1, len(parts))) AS k FROM h)),
-    c AS (SELECT report_id, i, CAST(sum(length({FOLD})) OVER (PARTITION BY report_id ORDER BY i) AS BIGINT) AS upto FROM (SELECT report_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM h)),
+    u AS (SELECT report_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM h), f AS (SELECT ch, length({FOLD}) AS n FROM (SELECT DISTINCT ch FROM u)),
+    c AS (SELECT report_id, i, CAST(sum(f.n) OVER (PARTITION BY report_id ORDER BY i) AS BIGINT) AS upto FROM u JOIN f USING (ch)),
     a AS (SELECT m.report_id, p, i AS start FROM m ASOF JOIN c ON c.report_id = m.report_id AND m.p < c.upto),
     e AS (SELECT m.report_id, p, i AS stop FROM m ASOF LEFT JOIN c ON c.report_id = m.report_id AND m.p + 4 < c.upto)
     SELECT a.report_id, CAST(sum(coalesce(stop, length(text)) - start) AS INTEGER) AS letters, CAST(min(start) AS INTEGER) AS first_start FROM a JOIN e USING (report_id, p) JOIN h ON h.report_id = a.report_id GROUP BY 1""".replace(
-        "{FOLD}", T.normalize_sql("ch")))
+        "{FOLD}", normalize_sql("ch")))
 def search_highlights(spark, d):
     found = normed(spark, d).where(S.matches([["tion"]], "all", False))
     marked = S.highlighted(found, ["tion"])
