@@ -220,7 +220,7 @@ def cut_restarts(links: DataFrame, rounds: int = RESTARTS) -> DataFrame:
     A round makes the first such cut of every road, at most ``rounds`` times, and reads only the roads that it cut before. Relatives, names
     of one or two letters and those that begin or end many roads repeat nothing, nor does a name directly behind itself."""
     said = name_key(F.col("name"))
-    usable = (F.length(said) > 2) & ~said.isin(*NOT_A_REPEAT) & ~normalize(F.col("name")).isin(*RELATIVE_WORDS)
+    usable = (F.length(said) > 2) & ~normalize(F.col("name")).isin(*NOT_A_REPEAT, *RELATIVE_WORDS)
     columns = [*[c for c in links.columns if c != "part"], "part"]
     rows = links.withColumn("part", F.lit(1)).withColumn("_said", said).withColumn("_key", F.when(usable, said)).withColumn(
         "_and", normalize(F.col("name")).rlike(AND_ANOTHER).cast("int"))

