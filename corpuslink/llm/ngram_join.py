@@ -39,7 +39,7 @@ from corpuslink.session import frozen, removed
 WORDS, PERCENT = 5, 80
 CROWDED = 200_000
 CHUNK, OFTEN = 1_000_000, 4
-BITS = 1024
+BITS = 2048
 
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
