@@ -72,10 +72,10 @@ h AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m WHERE list_max(list
 s AS (SELECT doc_id, source, rank, kind, vals[i] AS value, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start,
     length(whole[i]) AS n FROM h WHERE length(vals[i]) >= least),
 g AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM s WHERE rank < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]'))),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM g GROUP BY 1),
+o AS (SELECT value, count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 3 AS live FROM g GROUP BY 1),
 r AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
-    string_agg(span, ',' ORDER BY start, rank, n) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank, n) FILTER (rank < 3 OR owners = 1) AS spans,
-    count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners > 1) AS n_copied FROM g JOIN o USING (value) GROUP BY doc_id)
+    string_agg(span, ',' ORDER BY start, rank, n) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank, n) FILTER (rank < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM g JOIN o USING (value) GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
     coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN r USING (doc_id)""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,18 +1,18 @@
 """Secret scans: pattern candidates in every text, judged by who else holds the same value.
 
 Candidates are hashed where they are found; no value is stored or shuffled. Their hashes are counted over the whole corpus by
-distinct repositories and owners: a value that several owners hold is a copied example, one that a single owner holds looks
-live. Three kinds are always reported: ``assign`` (a named value of eight or more characters), ``access`` (key identifiers)
+distinct repositories and owners: a value that more than ``max_owners`` owners hold, or that more than ``max_repositories``
+repositories of one owner hold, is a copied example; one that is held by fewer looks live. Three kinds are always reported: ``assign`` (a named value of eight or more characters), ``access`` (key identifiers)
 and ``hex`` (32 or more hexadecimal digits). A fourth, ``opaque`` (20 or more characters of mixed case with digits), is far
-too broad to report by its pattern; its spans are added only where the value belongs to at most ``max_owners`` owners.
+too broad to report by its pattern; its spans are added only where the value looks live.
 
 Counting goes from (value, owner, repository) to (value, owner) to value, each step combined before its shuffle, so that a
 value which a third of all rows hold is a few rows per task. The counts go back to the candidates over salted keys.
 Everything is DataFrame functions. Positions are code points, ends exclusive.
 
 Defined cases: a null text is empty and has no span; a null owner or repository counts as one of its own; ties cannot occur
-(spans are ordered by start, kind and end); repeated rows each get their result, and count as one repository; an empty table
-gives an empty table; other columns are not read."""
+(spans are ordered by start, kind and end); repeated rows each get their result, and count as one repository; a text of any length
+is matched whole (a row has to fit a JVM string); an empty table gives an empty table; other columns are not read."""
 
 from __future__ import annotations
 
@@ -25,7 +25,9 @@ from corpuslink.llm.arrays import running
 from corpuslink.session import frozen
 
 MAX_OWNERS = 1
+MAX_REPOSITORIES = 3
 SALTS = 8
+JUDGED = "array<struct<start:bigint,rank:int,end:bigint,hash:string,owners:bigint,repositories:bigint,live:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -77,10 +79,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per row of ``docs``: id, base (spans of the three kinds), added (opaque spans of owner-specific values), n_live
-    and n_copied (spans, of any kind, whose value has at most / more than ``max_owners`` owners). ``repo_col``: what counts as
-    a repository, the row's id if none is named."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = MAX_OWNERS,
+         max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per row of ``docs``: id, base (spans of the three kinds), added (opaque spans of values that look live), judged (all
+    spans with the owners and repositories of their values and the verdict), n_live and n_copied (spans of any kind of either
+    verdict). ``repo_col``: what counts as a repository, the row's id if none is named."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"), text.alias("text"))
     rows = rows.select("id", "owner", "repo", F.xxhash64("id", "owner", "repo", "text").alias("key"),
@@ -88,15 +91,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = frozen(rows)
 
     spans = rows.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("key", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("s")).select("key", "owner", "repo", "s.*")
-    owners = ownership(spans).select("hash", "owners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    owners = ownership(spans).select("hash", "owners", "repositories", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     judged = spans.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(owners, ["hash", "salt"])
-    live = F.col("owners") <= max_owners
-    judged = judged.groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("start", "rank", "end", "hash", live.alias("live")))).alias("judged"))
-    rows = rows.join(judged, "key", "left")
-    some = F.coalesce("judged", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,hash:string,live:boolean>>"))
-    added = F.transform(F.filter(some, lambda s: s["live"] & (s["rank"] == KINDS.index(OPAQUE))), lambda s: F.struct(s["start"], s["rank"], s["end"], s["hash"]))
-    return rows.select("id", F.sort_array("base").alias("base"), F.sort_array(added).alias("added"),
-                       F.size(F.filter(some, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(some, lambda s: ~s["live"])).cast("long").alias("n_copied"))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    verdict = F.struct("start", "rank", "end", "hash", "owners", "repositories", live.alias("live"))
+    judged = judged.groupBy("key").agg(F.sort_array(F.collect_set(verdict)).alias("judged"))  # rows that repeat add nothing
+    rows = rows.join(judged, "key", "left").withColumn("judged", F.coalesce("judged", F.array().cast(JUDGED)))
+    opaque = F.filter("judged", lambda s: s["live"] & (s["rank"] == KINDS.index(OPAQUE)))
+    added = F.transform(opaque, lambda s: F.struct(s["start"], s["rank"], s["end"], s["hash"]))
+    return rows.select("id", F.sort_array("base").alias("base"), F.sort_array(added).alias("added"), "judged",
+                       F.size(F.filter("judged", lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter("judged", lambda s: ~s["live"])).cast("long").alias("n_copied"))
 
 
 def written(spans: Column) -> Column:

@@ -343,6 +343,18 @@ def test_secrets(spark, nothing):
     assert red[3] == 'x [SECRET]" y' and red[0] is None and own not in red[8] and shared in red[8]
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    """A value in more repositories than the limit is copied even where one owner holds them all; repeated rows add none."""
+    mine, wide = "Ab3dEf6hIj9kLm2nOp5q", "Zy9xWv7uTs5rQp3oNm1l"
+    rows = [(i, f"see {mine}", "one") for i in range(3)] + [(i, f"see {wide}", "one") for i in range(10, 14)] + [(20, f"{mine[:10]} none", None)]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id bigint, text string, source string").withColumn("judged", F.lit(1))
+    got = secrets.scan(df).collect()
+    assert sorted((r.id, r.n_live, r.n_copied, len(r.added)) for r in got) == sorted([(0, 1, 0, 1)] * 3 + [(1, 1, 0, 1), (2, 1, 0, 1)] + [(i, 0, 1, 0) for i in range(10, 14)] + [(20, 0, 0, 0)])
+    assert {(r.judged[0].owners, r.judged[0].repositories) for r in got if r.judged} == {(1, 3), (1, 4)}
+    assert secrets.scan(df, max_repositories=9).where("n_copied > 0").count() == 0
+
+
+
 # 2
 
 def test_chat_round_trip(spark):
