@@ -70,6 +70,18 @@ def relations_counts(spark, d):
     return R.related_counts(copies, known, pairs, origins(spark, d))
 
 
+@query("relations_related_reports", "reports", PAIRS + """, og AS (SELECT report_id, CASE WHEN length(text) % 3 <> 0 THEN length(text) % 7
+    END AS origin FROM reports), two AS (SELECT a, b, c FROM rel UNION ALL SELECT b, a, c FROM rel)
+    SELECT a AS asked, b AS report_id, CASE WHEN c >= 0.5 THEN 'same' ELSE 'same_report' END AS kind, round(c, 3) AS score FROM two
+    JOIN og x ON x.report_id = a JOIN og y ON y.report_id = b WHERE c >= 0.5 OR x.origin = y.origin""")
+def relations_related_reports(spark, d):
+    """The related reports of every report."""
+    copies, known, pairs = R.related(texts(spark, d))
+    reports = X.reports(spark, d).select("report_id", "collection", F.col("report_id").alias("number_sort"))
+    found = R.related_reports(copies, known, pairs, origins(spark, d), reports, X.reports(spark, d).select("report_id"))
+    return found.select("asked", "report_id", "kind", "score")
+
+
 @query("relations_origins", "links chains", """SELECT report_id, arg_max(person_id, position) FILTER (WHERE position = last) AS origin
     FROM (SELECT report_id, person_id, position, max(position) OVER (PARTITION BY chain_id) AS last FROM links JOIN chains
     USING (chain_id)) GROUP BY 1""")
