@@ -39,6 +39,14 @@ def graph_pagerank(spark, d):
     return G.pagerank(G.edges(X.links(spark, d))).withColumn("score", F.round("score", 9))
 
 
+# the fifteen most central persons
+@query("graph_central", "links", pagerank_sql(60).replace("SELECT p AS person_id, round(v, 9) AS score FROM r60",
+                                                         "SELECT p AS person_id, round(v, 9) AS score FROM r60 ORDER BY round(v, 9) DESC, p LIMIT 15"))
+def graph_central(spark, d):
+    ranks = G.pagerank(G.edges(X.links(spark, d))).withColumn("score", F.round("score", 9))
+    return ranks.orderBy(F.desc("score"), "person_id").limit(15)
+
+
 @query("graph_top_neighbours", "links", EDGES + """, b AS (SELECT src AS person_id, 'teacher' AS part, dst AS other, weight
     FROM edges UNION ALL SELECT dst, 'student', src, weight FROM edges) SELECT person_id, part, other, weight,
     CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY person_id, part
