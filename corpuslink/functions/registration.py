@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from corpuslink.functions.text import FOLD_FROM, FOLD_SEVERAL, FOLD_TO, LATIN_CLASS, LATIN_SEVERAL, RARE_CLASS, WORD
+from corpuslink.functions.text import FOLD_FROM, FOLD_SEVERAL, FOLD_TO, LATIN_CLASS, LATIN_SEVERAL, RARE_LETTER, WORD
 
 
 def _quoted(text: str) -> str:
@@ -20,7 +20,7 @@ def _normalize(text: str) -> str:
     pairs = ", ".join(f"{_quoted(c)}, {_quoted(f)}" for c, f in FOLD_SEVERAL.items())
     rare = f"array_join(transform(split({folded}, ''), c -> coalesce(map({pairs})[c], c)), '')"
     marks = "'\\'`'"
-    return (f"CASE WHEN octet_length({text}) = length({text}) THEN lower(translate({text}, {marks}, '')) WHEN {text} RLIKE {_quoted(RARE_CLASS)} "
+    return (f"CASE WHEN octet_length({text}) = length({text}) THEN lower(translate({text}, {marks}, '')) WHEN {text} RLIKE {_quoted(RARE_LETTER)} "
             f"THEN {rare} WHEN {text} RLIKE {_quoted(LATIN_CLASS)} THEN {latin} ELSE {folded} END")
 
 

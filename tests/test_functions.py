@@ -32,6 +32,22 @@ def test_tokens(spark, text, tokens):
     assert one(spark, text, lambda c: T.tokens(T.normalize(c))) == tokens
 
 
+def test_tokens_at_once_are_those_word_by_word(spark):
+    # the last "digits" of the first text end in a line separator, so they are not digits only
+    texts = ["12\u2028 ab 123 12345 123456x 1234a a aB1 \U0001d400\U0001d401c d\u00e9j\u00e0vu \t x\r\nyy 12-3 ٣٣ \u00a0 a\u00a0b", "", "  ", "7"]
+    by_word = lambda c: F.filter(F.transform(T.blank_split(c), T.token), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}+\z"))
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select(T.tokens(F.col("x")).alias("a"), by_word(F.col("x")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"][0] == "12\u2028"
+
+
+def test_letters_that_become_several_are_looked_for_beyond_ascii_only(spark):
+    assert T.RARE_LETTER.startswith("[^")
+    texts = [c for c in T.FOLD_SEVERAL] + ["plain ascii", "été ß Ĳ", "a½", "\ufdfa b", "…"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select(
+        F.col("x").rlike(T.RARE_CLASS).alias("a"), F.col("x").rlike(T.RARE_LETTER).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+
+
 @pytest.mark.parametrize("a,b,near", [("zubeyr", "zubyer", True), ("abc", "abc", True), ("abc", "abd", True), ("abc", "ab", True),
                                       ("abcd", "badc", False), ("abc", "cba", False)])
 def test_near(spark, a, b, near):
