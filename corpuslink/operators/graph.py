@@ -81,7 +81,10 @@ def reports_of_persons(links: DataFrame, chains: DataFrame, reports: DataFrame)
 def father_edges(people: DataFrame) -> DataFrame:
     """Son → father read from names (G6). ``people(person_id, segments, generation)``: the name's patronymic segments;
     the son's segments 2–4 (or 2–3) are the father's first ones. The deepest fitting key counts; fathers of an earlier
-    generation are preferred, later ones never; the father must be the only one left."""
+    generation are preferred, later ones never; the father must be the only one left.
+
+    Fathers of one key and generation are one row with the smallest, the greatest and whether there are more than two, which is
+    all that is asked of them: a son meets as many rows as there are generations, not as there are namesakes."""
     kept = people.select("person_id", "segments", "generation")
     sides = []
     for depth in (3, 2):
@@ -90,16 +93,20 @@ def father_edges(people: DataFrame) -> DataFrame:
             F.col("person_id").alias("son"), F.col("generation").alias("son_generation"), key(2).alias("key"),
             F.lit(depth).alias("depth"))
         fathers = kept.where(F.size("segments") >= depth).select(
-            F.col("person_id").alias("father"), F.col("generation").alias("father_generation"), key(1).alias("key"))
-        sides.append(sons.join(fathers, "key").where(F.col("son") != F.col("father")).drop("key"))
+            F.col("person_id").alias("father"), F.col("generation").alias("father_generation"), key(1).alias("key")).distinct()
+        alike = fathers.groupBy("key", "father_generation").agg(
+            F.min("father").alias("_low"), F.max("father").alias("_high"), (F.count(F.lit(1)) > 2).alias("_more"))
+        sides.append(sons.join(alike, "key").drop("key"))
+    pairs = sides[0].union(sides[1])
+    # the son himself is no father; where there are more than two, two are left without him
+    other = lambda end, beside: F.when(F.col("_more") | (F.col(end) != F.col("son")), F.col(end)).when(F.col(beside) != F.col("son"), F.col(beside))
+    pairs = pairs.select("son", "son_generation", "father_generation", "depth", other("_low", "_high").alias("_low"), other("_high", "_low").alias("_high"))
     later = F.col("father_generation") > F.col("son_generation")
-    pairs = sides[0].union(sides[1]).where(~F.coalesce(later, F.lit(False)))
+    pairs = pairs.where(F.col("_low").isNotNull() & ~F.coalesce(later, F.lit(False)))
     earlier = F.coalesce(F.col("father_generation") < F.col("son_generation"), F.lit(False)).cast("int")
-    pairs = pairs.withColumn("earlier", earlier)
-    best = pairs.groupBy("son").agg(F.max(F.struct("depth", "earlier")).alias("_best"))
-    fit = pairs.join(best, "son").where(F.struct("depth", "earlier") == F.col("_best"))
-    return (fit.groupBy("son").agg(F.countDistinct("father").alias("_n"), F.min("father").alias("father"))
-            .where(F.col("_n") == 1).select("son", "father"))
+    ends = pairs.groupBy("son", "depth", earlier.alias("earlier")).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    best = ends.groupBy("son").agg(F.max_by(F.struct("_low", "_high"), F.struct("depth", "earlier")).alias("_best"))
+    return best.where("_best._low = _best._high").select("son", F.col("_best._low").alias("father"))
 
 
 def closure(tree: DataFrame, parent: str = "parent_id", node: str = "node_id") -> DataFrame:
