@@ -383,16 +383,30 @@ def relatives_won(asked: DataFrame, results: DataFrame, fathers: DataFrame, pers
 FATHER_WEIGHTS = {"grandfather": 2.0, "kunya": 1.0, "tribe": 1.0, "city": 0.5, "patron": 1.0, "names_son": 3.0}
 
 
+def alike_fathers(people: DataFrame, same: list[str]) -> DataFrame:
+    """The fathers that agree in all columns of ``same`` as one row: ``father`` the smallest, ``last`` the greatest, ``alike`` how
+    many. ``people(father, …same)``, each person once."""
+    return people.groupBy(*same).agg(F.min("father").alias("father"), F.max("father").alias("last"), F.count(F.lit(1)).alias("alike"))
+
+
+def without_himself(pairs: DataFrame, himself: Column) -> DataFrame:
+    """Pairs of a son and a row of ``alike_fathers``, the son taken out of the row that holds him (``himself``)."""
+    other = F.when(himself & (F.col("father") == F.col("son")), F.col("last")).otherwise(F.col("father"))
+    return pairs.withColumn("alike", F.col("alike") - F.coalesce(himself, F.lit(False)).cast("int")).withColumn("father", other).where("alike > 0")
+
+
 def weighed_fathers(pairs: DataFrame, least: float = 2.0, gap: int = 6) -> DataFrame:
     """The father among candidates by what the entry shares with the son's lineage (E13): the heaviest, two or more, alone
     at the top, of the son's generation or up to six before. ``pairs(son, father, son_generation, father_generation,
-    grandfather, kunya, tribe, city, patron, names_son)``, the features true or false."""
+    grandfather, kunya, tribe, city, patron, names_son)``, the features true or false. With a column ``alike`` a pair stands for so
+    many fathers of the same features and generation (``alike_fathers``): no row is needed for each of them."""
     weight = sum((F.when(F.col(k), F.lit(w)).otherwise(0.0) for k, w in FATHER_WEIGHTS.items()), F.lit(0.0))
     apart = F.col("son_generation") - F.col("father_generation")
     rows = pairs.withColumn("_w", weight).where(F.coalesce(apart.between(0, gap), F.lit(True)))
+    rows = rows.withColumn("_alike", F.col("alike") if "alike" in pairs.columns else F.lit(1))
     two = top_within(rows, ["son"], [F.desc("_w"), F.asc("father")], 2)
-    best = two.groupBy("son").agg(F.max(F.when(F.col("place") == 1, F.col("father"))).alias("father"),
-                                  F.max(F.when(F.col("place") == 1, F.col("_w"))).alias("weight"), F.max(F.when(F.col("place") == 2, F.col("_w"))).alias("_next"))
+    best = two.groupBy("son").agg(F.max(F.when(F.col("place") == 1, F.col("father"))).alias("father"), F.max(F.when(F.col("place") == 1, F.col("_w"))).alias("weight"),
+                                  F.max(F.when((F.col("place") == 2) | (F.col("_alike") > 1), F.col("_w"))).alias("_next"))
     return best.where((F.col("weight") >= least) & (F.col("_next").isNull() | (F.col("weight") > F.col("_next")))).drop("_next")
 
 
@@ -467,22 +481,28 @@ def to_match(links: DataFrame, chains: DataFrame, share: int = 50) -> DataFrame:
 def link_list(entries: DataFrame, persons: DataFrame, years: int = 3, deep_years: int = 10) -> DataFrame:
     """Entries of an outside list tied to persons (E18): name and father must agree, the deeper the better; years within
     three, or within ten when name, father and grandfather agree; the one left alone at the greatest depth.
-    ``entries(entry_id, name, year)``, ``persons(person_id, name, death_year)``. Blocked by the first three words."""
+    ``entries(entry_id, name, year)``, ``persons(person_id, name, death_year)``. Blocked by the first three words and by years
+    that may be near. Entries of one name and year are compared once, and so are persons: of several alike none is alone."""
     words = lambda c: without_spelling(name_tokens(c))
     head = lambda c: F.array_join(F.slice(c, 1, 3), " ")
-    left = entries.select("entry_id", "year", words(F.col("name")).alias("_e")).withColumn("_k", head("_e"))
-    right = persons.select("person_id", "death_year", words(F.col("name")).alias("_p")).where(F.size("_p") >= 3).withColumn("_k", head("_p"))
+    wide = max(1, years, deep_years)
+    asked = entries.select("entry_id", "year", words(F.col("name")).alias("_e")).where((F.size("_e") >= 3) & F.col("year").isNotNull())
+    left = asked.select("_e", "year").distinct().withColumn("_k", head("_e")).withColumn("_span", F.floor(F.col("year") / wide))
+    right = persons.select("person_id", "death_year", words(F.col("name")).alias("_p")).where((F.size("_p") >= 3) & F.col("death_year").isNotNull()).groupBy(
+        "_p", "death_year").agg(F.min("person_id").alias("person_id"), F.count(F.lit(1)).alias("_alike")).withColumn("_k", head("_p")).withColumn(
+        "_span", F.explode(F.array(*[F.floor(F.col("death_year") / wide) + i for i in (-1, 0, 1)])))
     same = F.filter(F.sequence(F.lit(1), F.least(F.size("_e"), F.size("_p"))), lambda i: F.element_at(F.col("_e"), i) != F.element_at(F.col("_p"), i))
     run = F.when(F.size(same) > 0, F.try_element_at(same, F.lit(1)) - 1).otherwise(F.least(F.size("_e"), F.size("_p")))
-    rows = left.where(F.size("_e") >= 3).join(right, "_k").withColumn("depth", F.floor((run + 1) / 2).cast("int"))
+    apart = F.abs(F.col("death_year") - F.col("year"))
+    rows = left.join(right, ["_k", "_span"]).where(apart <= wide).withColumn("depth", F.floor((run + 1) / 2).cast("int"))
     # both go on with a father's name, and it is another: another man
     clash = (F.col("depth") < 3) & (F.size("_e") > run + 1) & (F.size("_p") > run + 1) & (F.try_element_at(F.col("_e"), run.cast("int")) == "بن")
-    apart = F.abs(F.col("death_year") - F.col("year"))
-    near = F.coalesce(apart <= years, F.lit(False)) | ((F.col("depth") >= 3) & F.coalesce(apart <= deep_years, F.lit(False)))
-    two = top_within(rows.where(~F.coalesce(clash, F.lit(False)) & near), ["entry_id"], [F.desc("depth"), F.asc("person_id")], 2)
-    best = two.groupBy("entry_id").agg(F.max(F.when(F.col("place") == 1, F.col("person_id"))).alias("person_id"), F.max("depth").alias("depth"),
-                                       F.max(F.when(F.col("place") == 2, F.col("depth"))).alias("_next"))
-    return best.where(F.col("_next").isNull() | (F.col("depth") > F.col("_next"))).drop("_next")
+    near = (apart <= years) | ((F.col("depth") >= 3) & (apart <= deep_years))
+    two = top_within(rows.where(~F.coalesce(clash, F.lit(False)) & near), ["_e", "year"], [F.desc("depth"), F.asc("person_id")], 2)
+    best = two.groupBy("_e", "year").agg(F.max(F.when(F.col("place") == 1, F.col("person_id"))).alias("person_id"), F.max("depth").alias("depth"),
+                                         F.max(F.when((F.col("place") == 2) | (F.col("_alike") > 1), F.col("depth"))).alias("_next"))
+    alone = best.where(F.col("_next").isNull() | (F.col("depth") > F.col("_next")))
+    return asked.join(alone, ["_e", "year"]).select("entry_id", "person_id", "depth")
 
 
 def overview(links: DataFrame, persons: DataFrame, scale: str = "scale") -> DataFrame:
