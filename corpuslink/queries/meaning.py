@@ -46,13 +46,15 @@ def meaning_lexical(spark, d):
 
 @query("meaning_search")
 def meaning_search(spark, d):
-    vocabulary, matrix = learnt(spark, d)
-    concepts = frozen(M.concepts(matrix, dims=20, steps=3, extra=10))
-    points = M.vectors(matrix, concepts)
-    weights, _unknown = M.query_weights(spark.createDataFrame(QUERIES, "query_id int, text string"), vocabulary)
-    weights = frozen(weights)
-    near = M.vectors(weights, concepts, "query_id")
-    return M.closest(M.hybrid_scores(weights, matrix, near, points))
+    counts = frozen(M.word_counts(X.reports(spark, d)))
+    documents = X.reports(spark, d).agg(F.countDistinct("report_id").alias("n"))
+    rows, words = M.weighted_rows(counts, frozen(M.learn_vocabulary(counts, documents)))
+    concepts = M.concepts_of(rows, words, dims=20, steps=3, extra=10)
+    points = M.points_of(rows, concepts)
+    weights, _unknown = M.query_weights(spark.createDataFrame(QUERIES, "query_id int, text string"), words.select("word", "idf"))
+    near = M.vectors(weights, concepts.select("word", "v"), "query_id")
+    asked = frozen(weights.join(words, "word").select("query_id", F.col("id").alias("word"), "w"))
+    return M.closest(M.hybrid_scores(asked, M.long_rows(rows), near, points))
 
 
 @query("meaning_embeddings", "", """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from corpuslink.operators import corpus as C
@@ -130,3 +131,25 @@ def test_models_read_every_rater(spark):
     shared = {(r["side"], r["report_id"]): r["raters"] for r in entry.queries()["models_shared_surprises"](spark, folder).collect()}
     want = {k: len(v) for k, v in by.items() if len(v) >= 2}
     assert len(want) <= 80 and shared == want and any(not by[k] & {1, 2} for k in want)
+
+
+def test_products_with_the_matrix_shuffle_nothing_by_document(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    dense = r.random((40, 12)) * (r.random((40, 12)) < 0.4)
+    dense[:, 0] = 1.0
+    long = spark.createDataFrame([(d, f"w{w:02d}", float(dense[d, w])) for d in range(40) for w in range(12) if dense[d, w]], "doc long, word string, w double")
+    z = r.random((12, 5))
+    rows = ME.numbered(ME.by_document(long), [f"w{w:02d}" for w in range(12)])
+    block = spark.createDataFrame([(i, z[i].tolist()) for i in range(12)], "id int, a array<double>").select("id", array_to_vector("a").alias("v"))
+    for numbers, entries in ((4_000_000, 100_000), (24, 7)):  # in one slice, and in slices of two columns, two or so documents a batch
+        monkeypatch.setattr(ME, "SLICE_NUMBERS", numbers)
+        monkeypatch.setattr(ME, "ENTRIES", entries)
+        there = {x["doc"]: x["v"].toArray() for x in ME._products(rows, block, 12, 5, False).collect()}
+        back = {x["id"]: x["v"].toArray() for x in ME._products(rows, block, 12, 5, True).collect()}
+        assert np.allclose(np.stack([there[d] for d in range(40)]), dense @ z)
+        assert np.allclose(np.stack([back[w] for w in range(12)]), dense.T @ dense @ z)
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3), (2, "z", 1), (3, "z", 1)], "doc long, word string, tf long")
+    vocabulary = spark.createDataFrame([("a", 2.0), ("b", 1.5)], "word string, idf double")
+    rows, words = ME.weighted_rows(counts, vocabulary)
+    got = ME.long_rows(rows).join(words.select(F.col("id").alias("word"), F.col("word").alias("name")), "word").select("doc", "name", F.round("w", 12))
+    assert sorted(got.collect()) == sorted(ME.tfidf(counts, vocabulary).select("doc", "word", F.round("w", 12)).collect())
