@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslink.functions.names import name_tokens, without_spelling
 from corpuslink.functions.text import normalize
 from corpuslink.operators.graph import pairs_of_links
-from corpuslink.plans.ordered import beside, top_within
+from corpuslink.plans.ordered import beside, has_hot_group, top_within
 from corpuslink.session import frozen
 
 SLOT = ["chain_id", "position"]
@@ -161,18 +161,28 @@ def order_bounds(cands: DataFrame, hot: bool | None = None) -> DataFrame:
 
 def monotone(cands: DataFrame, rounds: int | None = None, hot: bool | None = None) -> DataFrame:
     """Generations never grow towards the origin (E5): candidates outside their neighbours' bounds go, again and again
-    until nothing changes (or for ``rounds``)."""
-    state, before = frozen(cands), -1
+    until nothing changes (or for ``rounds``). Chains in which every link has one candidate cannot change and are left alone from
+    the start; each round reads and writes only the chains that lost a candidate in the one before."""
+    whole = frozen(cands)
+    several = whole.groupBy(*SLOT).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    waiting = frozen(several.select("chain_id").distinct())
+    now, settled = frozen(whole.join(waiting, "chain_id", "left_semi").select(*cands.columns)), [whole.join(waiting, "chain_id", "left_anti")]
+    hot = has_hot_group(now, ["chain_id"]) if hot is None else hot
     while rounds is None or rounds > 0:
         rounds = None if rounds is None else rounds - 1
         g = F.col("generation")
         fits = g.isNull() | ((F.col("_low").isNull() | (F.col("_low") <= g)) & (F.col("_high").isNull() | (F.col("_high") >= g)))
-        state = frozen(keep_if_any(state.join(order_bounds(state, hot), SLOT), fits).select(*cands.columns), state)
-        now = state.count()
-        if now == before:
+        some = F.max(fits.cast("int")).over(W.partitionBy(*SLOT))
+        seen = frozen(now.join(order_bounds(now, hot), SLOT).withColumn("_stays", (some == 0) | fits).select(*cands.columns, "_stays"))
+        changed = frozen(seen.where("not _stays").select("chain_id").distinct())
+        if changed.isEmpty():
             break
-        before = now
-    return state
+        left = seen.where("_stays").select(*cands.columns)
+        settled.append(left.join(changed, "chain_id", "left_anti"))
+        now = frozen(left.join(changed, "chain_id", "left_semi").select(*cands.columns), now)
+    for part in settled:
+        now = now.unionByName(part)
+    return now.select(*cands.columns)
 
 
 def clients(cands: DataFrame, links: DataFrame, entries: DataFrame) -> DataFrame:

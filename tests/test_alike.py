@@ -101,3 +101,34 @@ def test_list_linkage_compares_alike_once(spark):
     rows = E.link_list(many.select(F.col("id").alias("entry_id"), F.lit("a بن b").alias("name"), F.lit(100).alias("year")),
                        many.select(F.col("id").alias("person_id"), F.lit("a بن b").alias("name"), F.lit(101).alias("death_year")))
     assert joined_rows(rows) <= 10 * n and rows.count() == 0
+
+
+def test_order_looks_only_at_chains_that_may_change(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(c, p, x, g, 0) for c in range(40) for p in range(1, 7) for x, g in enumerate(r.sample([None, *range(1, 13)], 1 if c < 20 else r.choice([1, 2, 4])))]
+    slots = {}
+    for c, p, x, g, _ in rows:
+        slots.setdefault((c, p), []).append((x, g))
+
+    def round_of(now):
+        out = {}
+        for (c, p), mine in now.items():
+            side = lambda q: [g for _, g in now.get((c, q), [])]
+            low = min(side(p + 1)) if side(p + 1) and None not in side(p + 1) else None
+            high = max(side(p - 1)) if side(p - 1) and None not in side(p - 1) else None
+            fit = [x for x in mine if x[1] is None or ((low is None or low <= x[1]) and (high is None or high >= x[1]))]
+            out[c, p] = fit or mine
+        return out
+
+    asked, bounds = [], E.order_bounds
+    monkeypatch.setattr(E, "order_bounds", lambda cands, hot=None: (asked.append({x["chain_id"] for x in cands.select("chain_id").collect()}), bounds(cands, hot))[1])
+    df = spark.createDataFrame(rows, "chain_id long, position int, person_id long, generation int, death_year int")
+    for rounds in (1, None):
+        want, before = round_of(slots), None
+        while rounds is None and want != before:
+            before, want = want, round_of(want)
+        asked.clear()
+        got = sorted((x["chain_id"], x["position"], x["person_id"]) for x in E.monotone(df, rounds).collect())
+        assert got == sorted((c, p, x) for (c, p), v in want.items() for x, _ in v) and len(got) < len(rows)
+        assert asked[0] == {c for (c, _), v in slots.items() if len(v) > 1}
+    assert len(asked) > 2 and all(b < a for a, b in zip(asked[:-1], asked[1:]))
