@@ -37,7 +37,22 @@ def tolerant(phrase: str) -> str:
 
 
 def any_of(phrases: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(tolerant(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + ")"
+    """Any of some normalised phrases, the longest first. Their common beginnings are written once, so that a word is tried
+    letter by letter and not phrase by phrase."""
+    tree: dict = {}
+    for phrase in sorted(phrases):
+        node = tree
+        for ch in phrase:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        ways = [tolerant(ch) + branch(below) for ch, below in node.items() if ch]
+        if not ways:
+            return ""
+        return "(?:" + "|".join(ways) + ")" + ("?" if "" in node else "")
+
+    return "(?:" + branch(tree) + ")"
 
 
 # Transmission terms of the first scale's books, and the words between a name and the next term.
@@ -118,15 +133,39 @@ def with_chain_links(df: DataFrame, text: str, profile: Profile = PROFILE_A, nam
 def extract_links(texts: DataFrame, profile: Profile = PROFILE_A) -> tuple[DataFrame, DataFrame]:
     """Chains and links of texts (C1–C3): ``chains(report_id, ordinal, reaches, problem)`` and ``links(report_id, ordinal,
     position, term, name)``. A text with a switch sign has a road per part, each a chain of its own."""
-    sign = _edge(profile.switch)
-    roads = texts.select("report_id", F.posexplode(F.split("text", sign)).alias("_i", "_road"))
-    read = with_chain_links(roads.select("report_id", (F.col("_i") + 1).alias("ordinal"), "_road"), "_road", profile).drop("_road")
-    read = frozen(read.withColumn("named", F.filter("found", lambda p: p["name"] != "")))
-    chains = read.select("report_id", "ordinal", F.exists("found", lambda p: p["end"]).alias("reaches"),
-                         F.when(F.size("named") == 0, NO_CHAIN).alias("problem"))
-    links = read.select("report_id", "ordinal", F.posexplode("named").alias("_p", "_l")).select(
+    read = frozen(_roads(texts, profile))
+    return _chains(read), _links(read)
+
+
+def extract_links_only(texts: DataFrame, profile: Profile = PROFILE_A) -> DataFrame:
+    """The links of ``extract_links``: where the chains are not asked for, nothing is written on the way."""
+    return _links(_roads(texts, profile))
+
+
+def extract_chains_only(texts: DataFrame, profile: Profile = PROFILE_A) -> DataFrame:
+    """The chains of ``extract_links``: no name is written on the way."""
+    return _chains(frozen(_roads(texts, profile).select("report_id", "ordinal", *_facts())))
+
+
+def _roads(texts: DataFrame, profile: Profile) -> DataFrame:
+    roads = texts.select("report_id", F.posexplode(F.split("text", _edge(profile.switch))).alias("_i", "_road"))
+    return with_chain_links(roads.select("report_id", (F.col("_i") + 1).alias("ordinal"), "_road"), "_road", profile).drop("_road")
+
+
+def _facts() -> list[Column]:
+    return [F.exists("found", lambda p: p["end"]).alias("reaches"), F.when(~F.exists("found", lambda p: p["name"] != ""), NO_CHAIN).alias("problem")]
+
+
+def _chains(read: DataFrame) -> DataFrame:
+    chains = read if "problem" in read.columns else read.select("report_id", "ordinal", *_facts())
+    return chains.where((F.col("ordinal") == 1) | F.col("problem").isNull())
+
+
+def _links(read: DataFrame) -> DataFrame:
+    # the outer form: the plain one asks first whether there is anything, and reads every text twice for it
+    named = F.filter("found", lambda p: p["name"] != "")
+    return read.select("report_id", "ordinal", F.posexplode_outer(named).alias("_p", "_l")).where(F.col("_p").isNotNull()).select(
         "report_id", "ordinal", (F.col("_p") + 1).alias("position"), F.col("_l.term").alias("term"), F.col("_l.name").alias("name"))
-    return chains.where((F.col("ordinal") == 1) | F.col("problem").isNull()), links
 
 
 def name_key(name: Column, synonyms: dict[str, str] | None = None) -> Column:

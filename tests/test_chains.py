@@ -210,3 +210,20 @@ def test_restarts_are_cut_behind_the_guard(spark):
         assert all([p for p, _ in part] == list(range(1, len(part) + 1)) for part in got[c].values())
         assert sorted([at for _, at in part] for part in got[c].values()) == restarts_by_hand(marked), chain
     assert len(got[len(chains) - 1][1]) == 3 and len(got[len(chains) - 2]) == 2
+
+
+def test_chains_and_links_read_alone(spark):
+    text = "حدثنا سفيان، عن نافع، عن النبي ح حدثنا مالك، عن نافع"
+    texts = spark.createDataFrame([(1, text), (2, "كلام"), (3, "")], "report_id long, text string")
+    chains, links = C.extract_links(texts)
+    assert sorted(map(tuple, C.extract_links_only(texts).collect())) == sorted(map(tuple, links.collect()))
+    key = lambda rows: sorted(map(str, rows))
+    assert key(C.extract_chains_only(texts).collect()) == key(chains.collect())
+
+
+def test_phrases_are_tried_by_letters():
+    import re
+    pattern = C.any_of(("سمع", "سمعه من", "سمعت", "عن"))
+    assert pattern.count("س") == 1
+    assert [re.match(pattern + r"(?!\w)", t) is not None for t in ("سمع", "سمعه من", "سمعت", "عن", "سمعه", "عنه")] == [True] * 4 + [False] * 2
+    assert re.match(pattern, "سمعه من فلان").group() == "سمعه من"
