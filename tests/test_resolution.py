@@ -260,3 +260,17 @@ def test_turned_names(spark):
     aliases = spark.createDataFrame([(1, "عبد الله بن الزبير القرشي الحميدي", 0), (2, "الحكم بن نافع الحمصي أبو اليمان", 0)], "person_id long, alias string, tier int")
     names = spark.createDataFrame([("الحميدي عبد الله بن الزبير",), ("أبو اليمان الحكم بن نافع",), ("الحميدي",)], "name string")
     assert {(r["name"], r["person_id"]) for r in E.name_candidates(names, aliases).collect()} == {("الحميدي عبد الله بن الزبير", 1), ("أبو اليمان الحكم بن نافع", 2)}
+
+
+def test_candidates_are_classes(spark):
+    """A link has a row per generation its name is borne in, however many bear it; hits name one bearer of a class."""
+    persons = spark.createDataFrame([(p, 1 + p % 3, None) for p in range(300)], "person_id long, generation int, death_year int")
+    links = spark.createDataFrame([(c, i, n) for c in range(5) for i, n in ((1, "group"), (2, "his patron"))], "chain_id long, position int, name string")
+    chains = spark.createDataFrame([(c, "X", False) for c in range(5)], "chain_id long, collection string, reaches boolean")
+    found = spark.createDataFrame([("group", p, 0, "name") for p in range(300)], "name string, person_id long, tier int, way string")
+    alike = E.Alike(links, chains, persons, found, None, E.Rules())
+    rows = alike.candidates()
+    assert rows.count() == 15 and {(r["alike"], r["candidates"]) for r in rows.collect()} == {(100, 300)}
+    entries = spark.createDataFrame([(7, "group مولى his patron"), (8, "group مولى his patrons")], "person_id long, entry string")
+    left = alike.only(rows, E.named_clients(links, entries, found), "client").collect()
+    assert {(r["person_id"], r["n"], r["way"]) for r in left} == {(7, 1, "client")} and len(left) == 5
