@@ -2,7 +2,7 @@
 
 Texts are ``texts(report_id, collection, language, text[, …])``; their normalised form is the column ``norm``. A single
 query is one scan with a filter made of its terms; a table of queries is a join on words (``phrases_in_texts``,
-``trigram_candidates``)."""
+``trigram_candidates``) or a dictionary (``search_many``)."""
 
 from __future__ import annotations
 
@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 
 from corpuslink.functions.rules import UNRATED, rating_code
 from corpuslink.functions.text import NOT_WORD, WORD, blank_split, normalize, query_terms, snippet, words
+from corpuslink.operators.dictionary import occurring
 from corpuslink.plans.ordered import number_within, top_within
+from corpuslink.session import frozen
 
 MODES = ("all", "any", "phrase")
 WILDCARDS = "?؟*"
 # Spellings tried for one word, and the shortest word that has near spellings.
 SPELLINGS = 30
 NEAR_LENGTH = 3
+# The words that are also tried in near spellings, level by level: none, those of no text, all.
+LADDER = ("", "unknown", "all")
 
 
 @dataclass(frozen=True)
@@ -86,20 +90,24 @@ def wildcard_pattern(term: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.regexp_replace(escaped, "[?؟]", "."), F.lit("*"), F.lit(".*")), F.lit("$"))
 
 
-def spellings(vocab: DataFrame, terms: DataFrame, near: str = "") -> DataFrame:
+def spellings(vocab: DataFrame, terms: DataFrame, near: str | Column = "") -> DataFrame:
     """The spellings a term stands for (Q6, Q7): ``(query_id, term, alt)``, the 30 most frequent of the words a
-    wildcard fits; with ``near`` = "unknown" also those one letter from a word of no text, with "all" from any word. A
-    term nothing fits stands for itself. ``terms(query_id, term)`` is the side that is small; the vocabulary is
-    met by keys (words with one letter left out, the fixed beginning of a pattern), then compared."""
+    wildcard fits; with ``near`` = "unknown" also those one letter from a word of no text, with "all" from any word
+    (a column of ``terms`` where its rows differ). A term nothing fits stands for itself. ``terms(query_id, term)`` is
+    the side that is small; the vocabulary is met by keys (words with one letter left out, the fixed beginning of a
+    pattern), then compared."""
     wild = F.col("term").rlike("[?؟*]")
-    known = vocab.select(F.col("word").alias("term"), F.lit(True).alias("_known"))
-    marked = terms.join(known, "term", "left").withColumn("_near", ~wild & (F.length("term") >= NEAR_LENGTH) & (
-        F.lit(near == "all") | (F.lit(near == "unknown") & F.col("_known").isNull())))
+    near = F.lit(near) if isinstance(near, str) else near
+    asked = frozen(terms.withColumn("_ask", near))
+    known = vocab.select(F.col("word").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").withColumn("_known", F.lit(True))
+    # written, so that its size is known where the vocabulary meets it
+    marked = frozen(asked.join(known, "term", "left").withColumn("_near", ~wild & (F.length("term") >= NEAR_LENGTH) & (
+        (F.col("_ask") == "all") | (F.col("_ask") == "unknown") & F.col("_known").isNull())))
     patterns = marked.where(wild).withColumn("_p", wildcard_pattern(F.col("term")))
     by_pattern = _opened(patterns, vocab).select("query_id", "term", F.col("word").alias("alt"), "n")
     # words one letter apart have a common form among themselves and themselves with one letter left out
     close = (marked.where("_near").select("query_id", "term", F.explode(_left_out(F.col("term"))).alias("_key")).distinct()
-             .join(vocab.where(F.length("word") >= NEAR_LENGTH - 1).select("word", "n", F.explode(_left_out(F.col("word"))).alias("_key")).distinct(), "_key")
+             .join(vocab.where(F.length("word") >= NEAR_LENGTH - 1).select("word", "n", F.explode(_left_out(F.col("word"))).alias("_key")), "_key")
              .where((F.length("word") >= NEAR_LENGTH) & (F.col("word") != F.col("term")) & (F.levenshtein("term", "word", 1) >= 0))
              .select("query_id", "term", F.col("word").alias("alt"), "n").distinct())
     best = top_within(by_pattern.union(close), ["query_id", "term"], [F.desc("n"), F.asc("alt")], SPELLINGS)
@@ -197,7 +205,7 @@ def search(texts: DataFrame, vocab: DataFrame, q: SearchParams) -> tuple[DataFra
     if not typed:
         return texts.limit(0), []
     chosen, before = filtered(texts, q), None
-    for near in ("", "unknown", "all"):
+    for near in LADDER:
         terms = spelt(vocab, typed, q.mode, near)
         if terms == before:
             continue
@@ -212,19 +220,17 @@ def search_many(texts: DataFrame, vocab: DataFrame, terms: DataFrame) -> DataFra
     """A table of queries at once, all words, each at the first level of the ladder that finds anything (Q8):
     ``(query_id, level, report_id)``. ``terms(query_id, term)``.
 
-    A term has no blank, so it lies inside one blank-separated piece of a text. The spellings of each level are joined
-    to the distinct pieces that contain them, and those to their texts: only pairs of asked pieces are shuffled."""
-    levels = None
-    for level, near in enumerate(("", "unknown", "all")):
-        alts = spellings(vocab, terms, near).withColumn("level", F.lit(level))
-        levels = alts if levels is None else levels.union(alts)
-    postings = texts.select("report_id", F.explode(F.array_distinct(blank_split(F.col("norm")))).alias("word"))
-    pieces = postings.select("word").distinct()
-    held = holding(pieces, levels.select(F.col("alt").alias("part"))).withColumnRenamed("part", "alt").join(levels, "alt").select("query_id", "level", "term", "word").distinct()
+    The spellings of all levels are found at once and written, so that no plan holds them several times. They are a dictionary:
+    each text is read once for all of them, and only the pairs that match are shuffled."""
+    nears = F.array(*map(F.lit, LADDER))
+    asked = terms.select(F.posexplode(nears).alias("level", "_ask"), "query_id", "term").select(F.struct("level", "query_id").alias("query_id"), "term")
+    levels = frozen(spellings(vocab, asked, F.get(nears, F.col("query_id.level"))).select("query_id.*", "term", "alt"))
     needed = levels.groupBy("query_id", "level").agg(F.countDistinct("term").alias("_needed"))
-    hits = (held.join(postings, "word").select("query_id", "level", "report_id", "term").distinct()
-            .groupBy("query_id", "level", "report_id").agg(F.count(F.lit(1)).alias("_found"))
-            .join(needed, ["query_id", "level"]).where(F.col("_found") == F.col("_needed")))
+    strings = levels.where("alt <> ''").select(F.lit("norm").alias("kind"), F.col("alt").alias("string"))
+    held = occurring(texts, "report_id", {"norm": F.col("norm")}, strings).withColumnRenamed("string", "alt")
+    hits = frozen(held.join(levels, "alt").select("query_id", "level", "report_id", "term").distinct()
+                  .groupBy("query_id", "level", "report_id").agg(F.count(F.lit(1)).alias("_found"))
+                  .join(needed, ["query_id", "level"]).where(F.col("_found") == F.col("_needed")))
     first = hits.groupBy("query_id").agg(F.min("level").alias("level"))
     return hits.join(first, ["query_id", "level"]).select("query_id", "level", "report_id")
 
