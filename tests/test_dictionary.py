@@ -24,6 +24,19 @@ def test_strings_in_texts(spark):
     assert occurring(rows, "id", {"long": F.col("long")}, wanted.limit(0)).count() == 0
 
 
+def test_many_strings_of_one_length_are_one_pass(spark, monkeypatch):
+    monkeypatch.setattr("corpuslink.operators.dictionary.AT_ONCE", 200)
+    monkeypatch.setattr("corpuslink.operators.dictionary.TRIED_BITS", 4)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("aé𝔸") for _ in range(n))
+    texts = [(i, word(rng.choice([0, 3, 6, 7, 50, 300]))) for i in range(50)] + [(50, None), (0, "aaaaaaaa")]
+    strings = list({word(7) for _ in range(400)} | {t[:7] for _, t in texts if t and len(t) >= 7}) + ["aé", "éé"]
+    wanted = spark.createDataFrame([("x", w) for w in strings], "kind string, string string")
+    got = occurring(spark.createDataFrame(texts, "id int, t string"), "id", {"x": F.col("t")}, wanted, 500)
+    assert sorted((r["id"], r["string"]) for r in got.collect()) == sorted((i, w) for i, t in texts if t for w in strings if w in t)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
 def every_pair(names, queries):
     """All passes by comparing each query with each name."""
     key = lambda c: F.transform(blank_split(c), skeleton)
